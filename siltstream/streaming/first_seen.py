@@ -43,39 +43,44 @@ _earliest_in_batch = _earliest_in_batch.asNondeterministic()
 
 
 class FirstSeenProcessor(StatefulProcessor):
-    """Appends ``first_seen`` to each row; the state is one flag per key.
+    """Returns each row's ``columns`` and ``first_seen``; the state is one flag per key.
 
     Rows grouped under a null key are known not to be first and pass through.
     """
 
-    def __init__(self, order: Sequence[str], ttl_ms: int | None = None):
+    def __init__(self, columns: Sequence[str], order: Sequence[str], ttl_ms: int | None = None):
+        self._columns = list(columns)
         self._order = list(order)
         self._ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         schema = T.StructType([T.StructField("seen", T.BooleanType())])
         self._seen = handle.getValueState("seen", schema, ttlDurationMs=self._ttl_ms)
+        self._result = Row(*self._columns, "first_seen")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         if key[0] is None:
             for row in rows:
-                yield Row(*row, False)
+                yield self._marked(row, False)
             return
         was_seen = self._seen.exists()
         earliest = None
         for row in rows:
             if was_seen:
-                yield Row(*row, False)
+                yield self._marked(row, False)
             elif earliest is None:
                 earliest, at = row, self._position(row)
             elif self._position(row) < at:
-                yield Row(*earliest, False)
+                yield self._marked(earliest, False)
                 earliest, at = row, self._position(row)
             else:
-                yield Row(*row, False)
+                yield self._marked(row, False)
         self._seen.update((True,))
         if earliest is not None:
-            yield Row(*earliest, True)
+            yield self._marked(earliest, True)
+
+    def _marked(self, row: Row, first_seen: bool) -> Row:
+        return self._result(*row[: len(self._columns)], first_seen)
 
     def _position(self, row: Row) -> tuple:
         return _nulls_first([row[name] for name in self._order])
@@ -106,12 +111,11 @@ def mark_first_seen_stream(
             F.pmod(F.xxhash64(*order), F.lit(PASS_THROUGH_GROUPS)).cast("int"),
         ).alias("_spread"),
     )
-    fields = [T.StructField(f.name, f.dataType) for f in grouped.schema.fields]
+    fields = [T.StructField(f.name, f.dataType) for f in keyed.schema.fields]
     fields.append(T.StructField("first_seen", T.BooleanType()))
-    marked = grouped.groupBy("_key", "_spread").transformWithState(
-        statefulProcessor=FirstSeenProcessor(order, ttl_ms),
+    return grouped.groupBy("_key", "_spread").transformWithState(
+        statefulProcessor=FirstSeenProcessor(keyed.columns, order, ttl_ms),
         outputStructType=T.StructType(fields),
         outputMode="append",
         timeMode="none" if ttl_ms is None else "processingTime",
     )
-    return marked.select(*keyed.columns, "first_seen")

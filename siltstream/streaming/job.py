@@ -10,14 +10,14 @@ from pyspark.sql import SparkSession
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
-_STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def use_rocksdb_state(spark: SparkSession) -> None:
     """Keep streaming state in RocksDB, which ``transformWithState`` requires."""
-    if spark.conf.get(_STATE_PROVIDER, "") != _ROCKSDB:
-        spark.conf.set(_STATE_PROVIDER, _ROCKSDB)
+    if spark.conf.get(STATE_PROVIDER, "") != ROCKSDB_PROVIDER:
+        spark.conf.set(STATE_PROVIDER, ROCKSDB_PROVIDER)
 
 
 def shared_folder(spark: SparkSession) -> str:
