@@ -35,5 +35,11 @@ def split_logs(
 def run_log_split(
     logs: DataFrame, order: Sequence[str], path: str, job: JobOptions | None = None, **options
 ) -> StreamingQuery | None:
-    """Split logs to files below ``path``, one folder per topic."""
+    """Split logs to files below ``path``, one folder per topic.
+
+    Forgetting devices by ``ttl_ms`` keeps the job awake, so it cannot be combined
+    with ``available_now``: the job would never find itself done.
+    """
+    if options.get("ttl_ms") is not None and job is not None and job.available_now:
+        raise ValueError("ttl_ms needs a job that runs on, not available_now")
     return write_files(split_logs(logs, order, **options), path, job)

@@ -1,5 +1,6 @@
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -94,9 +95,19 @@ def test_dirty_rows_pass_the_stateful_operator(spark, tmp_path):
 
 def test_seen_devices_with_time_to_live(spark, tmp_path):
     _land(spark, tmp_path, _texts([(0, "m", "1"), (1, "m", "1")]))
-    assert _page_flags(_run_split(spark, tmp_path, ttl_ms=3_600_000)) == {0: "1", 1: "0"}
-    _land(spark, tmp_path, _texts([(2, "m", "1")]))
-    assert _page_flags(_run_split(spark, tmp_path, ttl_ms=3_600_000))[2] == "0"
+    with pytest.raises(ValueError):
+        _run_split(spark, tmp_path, ttl_ms=3_600_000)
+    stream = read_landed(spark, f"{tmp_path}/in", SCHEMA, stream=True)
+    job = JobOptions(f"{tmp_path}/checkpoint", interval_ms=200)
+    query = run_log_split(stream, ["id"], f"{tmp_path}/out", job, ttl_ms=3_600_000)
+    try:
+        deadline = time.time() + 60
+        while not any(p["numInputRows"] for p in query.recentProgress):
+            assert query.exception() is None and time.time() < deadline
+            time.sleep(0.2)
+    finally:
+        query.stop()
+    assert _page_flags(spark.read.parquet(f"{tmp_path}/out")) == {0: "1", 1: "0"}
 
 
 def test_processor_orders_missing_positions_first():
