@@ -128,7 +128,7 @@ def log_is_new_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _route(spark: SparkSession, sf_dir: str, topic: str) -> DataFrame:
-    return L.route_of(_routed_logs(spark, sf_dir), topic)
+    return L.route_of(_corrected_logs(spark, sf_dir), topic)
 
 
 def log_start_route(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,7 @@ that text only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 DATABASE = "shop"
 
@@ -17,11 +16,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def epoch_millis(ts: str) -> Column:
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of a table in one small file, spread over the cores; others as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() >= cores:
+        return rows
+    return rows.repartition(cores, key)
+
+
+def epoch_millis(ts: str) -> str:
     """Epoch millis of a zone-less timestamp, whatever the session time zone."""
-    seconds = F.unix_date(F.to_date(ts)) * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60
-    within_minute = F.floor(F.extract(F.lit("SECOND"), F.col(ts)) * 1000)
-    return seconds.cast("bigint") * 1000 + within_minute.cast("bigint")
+    return (
+        f"(unix_date(to_date({ts})) * 86400L + hour({ts}) * 3600 + minute({ts}) * 60) * 1000"
+        f" + CAST(floor(extract(SECOND FROM {ts}) * 1000) AS BIGINT)"
+    )
+
+
+# The JSON text of one app log. Absent members are NULL here and not written.
+_LOG_TEXT = """to_json(named_struct(
+  'common', named_struct(
+    'mid', if(event_id % 89 <> 0, concat('mid_', user_id), NULL),
+    'is_new', if(event_id % 3 = 0, '0', '1')),
+  'start', if(is_page, NULL, named_struct('entry', event_type, 'loading_time', k)),
+  'page', if(is_page, named_struct('page_id', event_type, 'during_time', k), NULL),
+  'displays', CASE
+    WHEN NOT is_page THEN NULL
+    WHEN k % 4 > 0
+      THEN transform(sequence(1, k % 4), i -> named_struct('item', i, 'order', i))
+    WHEN event_id % 2 = 0 THEN CAST(array() AS ARRAY<STRUCT<item: INT, `order`: INT>>) END,
+  'ts', millis,
+  'extra', named_struct('id', event_id, 'amount', value)))"""
 
 
 def log_columns(events: DataFrame) -> DataFrame:
@@ -30,59 +54,51 @@ def log_columns(events: DataFrame) -> DataFrame:
     ``event_id % 97 = 0`` is cut short, ``event_id % 89 = 0`` has no ``mid``,
     sign-ups are start records, the rest are page records with ``k % 4`` displays.
     """
-    event_id = F.col("event_id")
-    k = F.get_json_object("props", "$.k").cast("int")
-    n = F.pmod(k, F.lit(4))
-    page = F.col("event_type") != "signup"
-    keyed = event_id % 89 != 0
-    items = F.transform(
-        F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("item"), i.alias("order"))
-    )
-    no_items = F.when(event_id % 2 == 0, F.array().cast(_DISPLAYS))
-    text = F.to_json(
-        F.struct(
-            F.struct(
-                F.when(keyed, F.concat(F.lit("mid_"), F.col("user_id"))).alias("mid"),
-                F.when(event_id % 3 == 0, F.lit("0")).otherwise(F.lit("1")).alias("is_new"),
-            ).alias("common"),
-            F.when(
-                ~page, F.struct(F.col("event_type").alias("entry"), k.alias("loading_time"))
-            ).alias("start"),
-            F.when(
-                page, F.struct(F.col("event_type").alias("page_id"), k.alias("during_time"))
-            ).alias("page"),
-            F.when(page, F.when(n > 0, items).otherwise(no_items)).alias("displays"),
-            epoch_millis("ts").alias("ts"),
-            F.struct(event_id.alias("id"), F.col("value").alias("amount")).alias("extra"),
-        )
+    typed = events.selectExpr(
+        "event_id",
+        "user_id",
+        "event_type",
+        "value",
+        "event_type <> 'signup' AS is_page",
+        "CAST(get_json_object(props, '$.k') AS INT) AS k",
+        f"{epoch_millis('ts')} AS millis",
     )
-    cut = F.left(text, F.length(text) - 1)
-    return events.select(
-        event_id,
-        epoch_millis("ts").alias("ts"),
-        F.when(event_id % 97 == 0, cut).otherwise(text).alias("value"),
+    texts = typed.selectExpr("event_id", "millis AS ts", f"{_LOG_TEXT} AS text")
+    return texts.selectExpr(
+        "event_id",
+        "ts",
+        "if(event_id % 97 = 0, left(text, length(text) - 1), text) AS value",
     )
 
 
-_DISPLAYS = "array<struct<item:int,order:int>>"
+def app_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log_columns(spread(table(spark, sf_dir, "events"), "event_id"))
 
 
-def app_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return log_columns(table(spark, sf_dir, "events"))
-
-
-def _envelope(
-    name: str, op: Column, before: Column, after: Column, ts_ms: Column
-) -> Column:
-    return F.to_json(
-        F.struct(
-            before.alias("before"),
-            after.alias("after"),
-            F.struct(F.lit(DATABASE).alias("db"), F.lit(name).alias("table")).alias("source"),
-            op.alias("op"),
-            ts_ms.alias("ts_ms"),
-        )
+def _envelope(name: str, op: str, before: str, after: str, ts_ms: str) -> str:
+    return f"""to_json(named_struct(
+      'before', {before},
+      'after', {after},
+      'source', named_struct('db', '{DATABASE}', 'table', '{name}'),
+      'op', {op},
+      'ts_ms', {ts_ms})) AS value"""
+
+
+def _histories(rows: DataFrame, name: str, images: list[str], changes: list[str]) -> DataFrame:
+    """Envelopes of each row's changes, given as (seq, op, before, after) or NULL.
+
+    ``images`` are select items that define the row images ``first`` and ``second``.
+    """
+    steps = (
+        rows.selectExpr("*", *images)
+        .selectExpr("o_orderdate", f"explode(array_compact(array({', '.join(changes)}))) AS step")
+        .selectExpr("step.*", f"{epoch_millis('o_orderdate')} + step.seq AS ts_ms")
     )
+    return steps.selectExpr("seq", _envelope(name, "op", "before", "after", "ts_ms"))
+
+
+def _change(seq: int, op: str, before: str, after: str) -> str:
+    return f"named_struct('seq', {seq}, 'op', {op}, 'before', {before}, 'after', {after})"
 
 
 def order_changes(orders: DataFrame) -> DataFrame:
@@ -91,62 +107,35 @@ def order_changes(orders: DataFrame) -> DataFrame:
     Every order is inserted (a create or, in two of three cases, a snapshot read);
     even ones are then updated and every fifth one is deleted.
     """
-    key = F.col("o_orderkey")
-    updated = key % 2 == 0
-
-    def image(price: Column) -> Column:
-        return F.struct(
-            F.col("o_custkey").alias("cust"),
-            key.alias("id"),
-            price.alias("price"),
-            F.col("o_orderstatus").alias("status"),
-        )
-
-    first = image(F.col("o_totalprice"))
-    second = image(F.col("o_totalprice") + 1)
-    nothing = F.lit(None).cast(_ORDER_IMAGE)
-    history = F.array(
-        _change(1, F.when(key % 3 == 1, F.lit("c")).otherwise(F.lit("r")), nothing, first),
-        F.when(updated, _change(2, "u", first, second)),
-        F.when(key % 5 == 0, _change(3, "d", F.when(updated, second).otherwise(first), nothing)),
-    )
-    changes = orders.withColumn("_change", F.explode(F.array_compact(history)))
-    ts_ms = epoch_millis("o_orderdate") + F.col("_change.seq")
-    change = [F.col(f"_change.{name}") for name in ("op", "before", "after")]
-    return changes.select(
-        F.col("_change.seq").alias("seq"),
-        _envelope("orders", *change, ts_ms).alias("value"),
+    image = (
+        "named_struct('cust', o_custkey, 'id', o_orderkey, 'price', {price},"
+        " 'status', o_orderstatus)"
     )
-
-
-_ORDER_IMAGE = "struct<cust:bigint,id:bigint,price:double,status:string>"
-
-
-def _change(seq: int, op: Column | str, before: Column, after: Column) -> Column:
-    return F.struct(
-        F.lit(seq).alias("seq"),
-        (F.lit(op) if isinstance(op, str) else op).alias("op"),
-        before.alias("before"),
-        after.alias("after"),
+    nothing = "if(true, NULL, first)"
+    updated = "o_orderkey % 2 = 0"
+    return _histories(
+        orders,
+        "orders",
+        [
+            image.format(price="o_totalprice") + " AS first",
+            image.format(price="o_totalprice + 1") + " AS second",
+        ],
+        [
+            _change(1, "if(o_orderkey % 3 = 1, 'c', 'r')", nothing, "first"),
+            f"if({updated}, {_change(2, repr('u'), 'first', 'second')}, NULL)",
+            "if(o_orderkey % 5 = 0, "
+            + _change(3, repr("d"), f"if({updated}, second, first)", nothing)
+            + ", NULL)",
+        ],
     )
 
 
 def customer_changes(customers: DataFrame) -> DataFrame:
     """Snapshot reads of the customer table, in the same form."""
-    image = F.struct(
-        F.col("c_acctbal").alias("balance"),
-        F.col("c_custkey").alias("id"),
-        F.col("c_name").alias("name"),
-    )
-    return customers.select(
-        F.lit(1).alias("seq"),
-        _envelope(
-            "customer",
-            F.lit("r"),
-            F.lit(None).cast("struct<balance:double,id:bigint,name:string>"),
-            image,
-            F.col("c_custkey") * 10,
-        ).alias("value"),
+    image = "named_struct('balance', c_acctbal, 'id', c_custkey, 'name', c_name)"
+    nothing = f"if(true, NULL, {image})"
+    return customers.selectExpr(
+        "1 AS seq", _envelope("customer", "'r'", nothing, image, "c_custkey * 10")
     )
 
 
@@ -156,45 +145,31 @@ def attribute_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     Rows are read as a snapshot; every third one is then renamed and every seventh
     one deleted.
     """
-    key = F.col("o_orderkey")
-    name = "spu_sale_attr_value"
-
-    def image(value_name: Column) -> Column:
-        return F.struct(
-            key.alias("id"),
-            F.col("o_custkey").alias("spu_id"),
-            (key % 10).alias("base_sale_attr_id"),
-            value_name.alias("sale_attr_value_name"),
-            F.col("o_orderpriority").alias("sale_attr_name"),
-        )
-
-    first = image(F.col("o_orderstatus"))
-    second = image(F.concat(F.lit("new "), F.col("o_orderstatus")))
-    renamed = key % 3 == 0
-    nothing = F.lit(None).cast(_ATTRIBUTE_IMAGE)
-    history = F.array(
-        _change(1, "r", nothing, first),
-        F.when(renamed, _change(2, "u", first, second)),
-        F.when(key % 7 == 0, _change(3, "d", F.when(renamed, second).otherwise(first), nothing)),
-    )
-    changes = table(spark, sf_dir, "orders").withColumn(
-        "_change", F.explode(F.array_compact(history))
+    image = (
+        "named_struct('id', o_orderkey, 'spu_id', o_custkey,"
+        " 'base_sale_attr_id', o_orderkey % 10, 'sale_attr_value_name', {name},"
+        " 'sale_attr_name', o_orderpriority)"
     )
-    change = [F.col(f"_change.{field}") for field in ("op", "before", "after")]
-    return changes.select(
-        F.col("_change.seq").alias("seq"),
-        _envelope(name, *change, epoch_millis("o_orderdate") + F.col("_change.seq")).alias("value"),
+    nothing = "if(true, NULL, first)"
+    renamed = "o_orderkey % 3 = 0"
+    return _histories(
+        spread(table(spark, sf_dir, "orders"), "o_orderkey"),
+        "spu_sale_attr_value",
+        [
+            image.format(name="o_orderstatus") + " AS first",
+            image.format(name="concat('new ', o_orderstatus)") + " AS second",
+        ],
+        [
+            _change(1, repr("r"), nothing, "first"),
+            f"if({renamed}, {_change(2, repr('u'), 'first', 'second')}, NULL)",
+            "if(o_orderkey % 7 = 0, "
+            + _change(3, repr("d"), f"if({renamed}, second, first)", nothing)
+            + ", NULL)",
+        ],
     )
 
 
-_ATTRIBUTE_IMAGE = (
-    "struct<id:bigint,spu_id:bigint,base_sale_attr_id:bigint,"
-    "sale_attr_value_name:string,sale_attr_name:string>"
-)
-
-
 def database_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The change feed of the whole database: two tables on one stream."""
-    return order_changes(table(spark, sf_dir, "orders")).unionByName(
-        customer_changes(table(spark, sf_dir, "customer"))
-    )
+    orders = spread(table(spark, sf_dir, "orders"), "o_orderkey")
+    return order_changes(orders).unionByName(customer_changes(table(spark, sf_dir, "customer")))

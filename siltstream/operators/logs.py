@@ -20,6 +20,9 @@ DIRTY_TOPIC = "dwd_dirty_log"
 START_TOPIC = "dwd_start_log"
 DISPLAY_TOPIC = "dwd_display_log"
 PAGE_TOPIC = "dwd_page_log"
+TOPICS = (DIRTY_TOPIC, START_TOPIC, DISPLAY_TOPIC, PAGE_TOPIC)
+
+_ROUTES = "array<struct<topic:string,position:int,value:string>>"
 
 # Columns the log operators own; all others are carried along.
 _OWN = ("value", "mid", "is_new", "corrected")
@@ -126,7 +129,9 @@ def _routed(topic: str, value: Column, position: Column | None = None) -> Column
     )
 
 
-def route_logs(corrected: DataFrame, full_start: bool = False) -> DataFrame:
+def route_logs(
+    corrected: DataFrame, full_start: bool = False, topics: Sequence[str] = TOPICS
+) -> DataFrame:
     """Split logs into dirty, start, page and display records in one pass.
 
     Returns the carried columns plus ``topic``, ``position`` (index of a display in
@@ -134,6 +139,7 @@ def route_logs(corrected: DataFrame, full_start: bool = False) -> DataFrame:
     start record and only that member is kept (``full_start`` keeps the record);
     any other clean record is a page record and adds one row per display.
     Carried columns, topic and position identify an output row for de-duplication.
+    With ``topics`` only the records of these routes are made.
     """
     members = F.from_json(
         F.when(F.col("mid").isNotNull(), F.col("value")),
@@ -148,17 +154,26 @@ def route_logs(corrected: DataFrame, full_start: bool = False) -> DataFrame:
         .withColumn("_displays", F.when(~is_start, _displays()))
         .withColumn("_context", F.when(shown, _display_context()))
     )
-    displays = F.transform(
-        "_displays",
-        lambda display, i: _routed(DISPLAY_TOPIC, _display_text(display), i),
+    nothing = F.array().cast(_ROUTES)
+
+    def route(topic: str, records: Column) -> Column:
+        return records if topic in topics else nothing
+
+    displays = route(
+        DISPLAY_TOPIC,
+        F.transform(
+            "_displays",
+            lambda display, i: _routed(DISPLAY_TOPIC, _display_text(display), i),
+        ),
     )
-    page = F.array(_routed(PAGE_TOPIC, F.col("value")))
+    page = route(PAGE_TOPIC, F.array(_routed(PAGE_TOPIC, F.col("value"))))
+    started = F.col("value") if full_start else F.col("_start")
     routes = (
-        F.when(F.col("mid").isNull(), F.array(_routed(DIRTY_TOPIC, F.col("value"))))
-        .when(
-            is_start,
-            F.array(_routed(START_TOPIC, F.col("value") if full_start else F.col("_start"))),
+        F.when(
+            F.col("mid").isNull(),
+            route(DIRTY_TOPIC, F.array(_routed(DIRTY_TOPIC, F.col("value")))),
         )
+        .when(is_start, route(START_TOPIC, F.array(_routed(START_TOPIC, started))))
         .when(shown, F.concat(page, displays))
         .otherwise(page)
     )
@@ -188,6 +203,6 @@ def _display_text(display: Column) -> Column:
     return J.object_text(F.col("_context"), J.member("display", display))
 
 
-def route_of(routed: DataFrame, topic: str) -> DataFrame:
-    """One route of :func:`route_logs`."""
-    return routed.where(F.col("topic") == topic).drop("topic")
+def route_of(corrected: DataFrame, topic: str, full_start: bool = False) -> DataFrame:
+    """One route of :func:`route_logs` only."""
+    return route_logs(corrected, full_start, [topic]).drop("topic")
