@@ -267,6 +267,9 @@ def snapshot_then_changes(
     meanwhile are then taken back to their row at ``started_ms``, the old row of
     their first event after it. Either way the result is the exact changelog from
     ``started_ms`` on. Snapshot events have NULL in the carried columns.
+
+    This is a batch operator. To go on with a stream, write its result for the
+    changes recorded so far and start the stream at the time they end.
     """
     events = select_tables(changes, database, table).where(F.col("ts_ms") > started_ms)
     if finished_ms is not None:

@@ -141,6 +141,9 @@ def route_logs(
     Carried columns, topic and position identify an output row for de-duplication.
     With ``topics`` only the records of these routes are made.
     """
+    taken = {"topic", "position"} & set(corrected.columns)
+    if taken:
+        raise ValueError(f"rename the input columns {sorted(taken)}: routing adds its own")
     members = F.from_json(
         F.when(F.col("mid").isNotNull(), F.col("value")),
         "common variant, page variant, ts string, start variant, displays variant",

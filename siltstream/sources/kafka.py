@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Unique together and in arrival order within a partition; pass them as ``order``.
-ARRIVAL = ("timestamp", "partition", "offset")
+ARRIVAL = ("timestamp", "source_topic", "partition", "offset")
 
 
 def kafka_read_options(
@@ -40,8 +40,17 @@ def kafka_read_options(
 
 
 def text_records(records: DataFrame) -> DataFrame:
-    """Kafka rows with ``value`` as text and the arrival columns."""
-    return records.select(F.col("value").cast("string").alias("value"), "topic", *ARRIVAL)
+    """Kafka rows with ``value`` as text and the arrival columns.
+
+    ``topic`` is what a record is written to, so the one it came from is renamed.
+    """
+    return records.select(
+        F.col("value").cast("string").alias("value"),
+        "timestamp",
+        F.col("topic").alias("source_topic"),
+        "partition",
+        "offset",
+    )
 
 
 def read_topics(spark: SparkSession, stream: bool = True, **options) -> DataFrame:

@@ -1,6 +1,10 @@
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
+from siltstream.plans.change_capture import database_records
+from siltstream.plans.log_split import split_logs
 from siltstream.sinks import topics as K
 from siltstream.sources import jdbc, kafka
 from siltstream.streaming.job import JobOptions, new_folder, shared_folder
@@ -28,6 +32,28 @@ def test_kafka_rows_are_read_as_text(spark):
     assert set(kafka.ARRIVAL) < set(rows.columns)
 
 
+def test_kafka_rows_go_through_both_applications(spark):
+    log = '{"common":{"mid":"m","is_new":"1"}}'
+    event = '{"source":{"db":"d","table":"t"},"op":"c","after":{"id":1},"ts_ms":1}'
+    records = spark.createDataFrame(
+        [(log.encode(), "in", 0, i, datetime(2024, 1, 1)) for i in (7, 8)]
+        + [(event.encode(), "in", 1, 7, datetime(2024, 1, 1))],
+        "value binary, topic string, partition int, offset long, timestamp timestamp",
+    )
+    rows = kafka.text_records(records)
+    routed = split_logs(rows, kafka.ARRIVAL).collect()
+    assert {(r.partition, r.offset): r.topic for r in routed} == {
+        (0, 7): "dwd_page_log", (0, 8): "dwd_page_log", (1, 7): "dwd_dirty_log",
+    }
+    assert {r.offset: '"is_new":"0"' in r.value for r in routed if r.partition == 0} == {
+        7: False, 8: True,
+    }
+    captured = {(r.partition, r.offset): r.topic for r in database_records(rows).collect()}
+    assert captured[1, 7] == "ods_base_db" and captured[0, 7] == "ods_dirty_db"
+    with pytest.raises(ValueError):
+        split_logs(rows.withColumn("topic", F.lit("x")), kafka.ARRIVAL)
+
+
 def test_jdbc_read_options():
     options = jdbc.jdbc_read_options("jdbc:x", "t", "id", 1, 100, 8, fetchsize="1000")
     assert options["numPartitions"] == "8" and options["partitionColumn"] == "id"
