@@ -19,8 +19,9 @@ from siltstream.streaming.job import use_rocksdb_state
 # does not have to be installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Rows that cannot be a first sighting are spread over this many groups.
-PASS_THROUGH_GROUPS = 4096
+# Rows that cannot be a first sighting form this many groups per shuffle partition,
+# enough for the partitions to get about the same number of rows.
+_GROUPS_PER_PARTITION = 16
 
 
 def _nulls_first(values: Sequence[Any]) -> tuple:
@@ -102,13 +103,15 @@ def mark_first_seen_stream(
     State never expires unless ``ttl_ms`` is given.
     """
     use_rocksdb_state(keyed.sparkSession)
+    partitions = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = _GROUPS_PER_PARTITION * partitions
     candidate = keyed.withColumn("_candidate", _earliest_in_batch(F.col(key), F.struct(*order)))
     grouped = candidate.select(
         *keyed.columns,
         F.when(F.col("_candidate"), F.col(key)).alias("_key"),
         F.when(
             ~F.col("_candidate"),
-            F.pmod(F.xxhash64(*order), F.lit(PASS_THROUGH_GROUPS)).cast("int"),
+            F.pmod(F.xxhash64(*order), F.lit(groups)).cast("int"),
         ).alias("_spread"),
     )
     fields = [T.StructField(f.name, f.dataType) for f in keyed.schema.fields]
