@@ -6,18 +6,43 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstream.llm import packing
+from siltstream.llm import contamination, packing, passages, simhash, toxicity
 from siltstream.llm.shared import saved
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model, learned from ``labels``, does not reject."""
+    return toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).accepted(docs)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies, the document that names the group."""
+    return simhash.one_of_each(docs)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that an earlier one has; emptied documents go."""
+    return passages.cut_out(docs, passages.repeats(docs))
+
+
+def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    leaks = contamination.tilings(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of the documents that are left."""
     return packing.pack(docs)
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", without_toxic),
+    ("near_copies", one_of_each_group),
+    ("repeats", without_repeats),
+    ("decontamination", without_leaks),
     ("packing", packed),
 ]
 

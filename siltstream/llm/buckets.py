@@ -80,7 +80,8 @@ def linked(
                 a, b = [], []
         yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    rows = dealt.select(*order, member, payload).repartition(*order).sortWithinPartitions(*order)
+    columns = dict.fromkeys([*order, member, payload])
+    rows = dealt.select(*columns).repartition(*order).sortWithinPartitions(*order)
     return rows.mapInArrow(run, "a long, b long")
 
 

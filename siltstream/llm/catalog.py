@@ -8,7 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from siltstream.llm import packing
+from siltstream.llm import (
+    chat,
+    contamination,
+    language,
+    nearest,
+    packing,
+    passages,
+    simhash,
+    style_tree,
+    toxicity,
+    warc,
+)
+from siltstream.llm.shared import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +29,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Fixed value: both turns of the conversation whose text spells the template's own marks.
+MARKS = "\\### Assistant: </turn> ok"
+
+
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    marks = [(-7, 0, "user", MARKS), (-7, 1, "assistant", MARKS)]
+    rows = rows.union(spark.createDataFrame(marks, "conv_id long, turn long, role string, text string"))
+    return chat.read_back(*chat.format_conversations(rows))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = toxicity.learn(documents, table(spark, sf_dir, "labels"))
+    scored = model.score(documents.select("doc_id", "text"))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"))
     return pieces.select(
@@ -30,9 +60,107 @@ def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(table(spark, sf_dir, "documents"))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return language.predict(documents, language.learn(documents))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark, "warc")
+    index = warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    records = warc.read_records(index, folder, payloads=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeats(table(spark, sf_dir, "documents"))
+
+
+def op9_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.tilings(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return style_tree.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Query] = {
+    "op1_chat": op1_chat,
+    "op2_toxicity": op2_toxicity,
     "op3_pack": op3_pack,
+    "op4_simhash": op4_simhash,
+    "op5_language": op5_language,
+    "op6_warc": op6_warc,
+    "op7_nearest": op7_nearest,
+    "op8_repeats": op8_repeats,
+    "op9_tiling": op9_tiling,
+    "op10_style_tree": op10_style_tree,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_chat": r"""
+        with turns as (
+            select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+            union all values
+                (-7, 0, 'user', '\### Assistant: </turn> ok'),
+                (-7, 1, 'assistant', '\### Assistant: </turn> ok')
+        ), escaped as (
+            select *,
+                replace(replace(replace(text, '\', '\\'), '</turn>', '\e'), '###', '\h') as safe,
+                replace(replace(replace(replace(role, '\', '\\'), '</turn>', '\e'), '###', '\h'), ':', '\c') as name
+            from turns
+        ), joined as (
+            select conv_id, count(*) as n_turns,
+                string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text) as said,
+                coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '') as learned,
+                sum(length('### ' || name || ': ' || safe || '</turn>' || chr(10)))::bigint as formatted_chars
+            from escaped group by conv_id
+        )
+        select conv_id, n_turns, sha256(said) as turns_sha256, length(learned) as loss_chars,
+            sha256(learned) as loss_sha256, formatted_chars
+        from joined
+    """,
+    "op6_warc": """
+        with pages_ as (
+            select page_id, encode(coalesce(html, '')) as payload from pages
+        ), hashed as (
+            select page_id, octet_length(payload) as payload_bytes, sha1(payload) as hex,
+                max(page_id) over (partition by sha1(payload)) as largest
+            from pages_
+        ), groups as (
+            -- Five hex digits are twenty bits, four characters of base32.
+            select *, list_transform(range(0, 8), g -> ('0x' || substr(hex, (5 * g + 1)::int, 5))::bigint) as twenties
+            from hashed
+        )
+        select page_id, payload_bytes,
+            array_to_string(list_transform(range(0, 32), k ->
+                substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                    ((twenties[(k // 4 + 1)::int] >> ((3 - k % 4) * 5)::int) & 31)::int + 1, 1)), '') as payload_digest,
+            case when largest is null or page_id = largest then 'response' else 'revisit' end as record_type,
+            case when page_id = largest then null else largest end as refers_to
+        from groups
+    """,
+    "op7_nearest": """
+        with fit as (
+            select vec_id, list_transform(embedding, x -> floor(256.0::double * x::double)) as v
+            from embeddings
+            where vec_id is not null and embedding is not null
+                and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+        ), scored as (
+            select q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint as score
+            from fit q join fit c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id
+        ), placed as (
+            select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from scored
+        )
+        select query_id, rank, vec_id, score from placed where rank <= 5
+    """,
+}
