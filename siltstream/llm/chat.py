@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 
@@ -48,7 +49,9 @@ _tokenizers: dict[str, Tokenizer] = {}
 
 
 def tokenizer_of(path: str) -> Tokenizer:
-    """One per worker process and file; special tokens' strings are ordinary text."""
+    """One per worker process and file, without threads of its own; special tokens' strings
+    are ordinary text."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if path not in _tokenizers:
         _tokenizers[path] = Tokenizer.from_file(path)
         _tokenizers[path].encode_special_tokens = True

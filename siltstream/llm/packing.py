@@ -8,7 +8,9 @@ the documents of its own partition as they come, so nothing is shuffled.
 from __future__ import annotations
 
 import json
+import os
 import re
+import struct
 import unicodedata
 from collections.abc import Iterator
 from itertools import chain
@@ -26,8 +28,6 @@ LENGTH = 2048
 #: Open windows of a task, of at most LENGTH ids each, before they are laid out anew.
 MOST_OPEN = 2048
 
-ID = np.dtype("<u4")
-
 
 class WordIds:
     """Token ids of texts, with the ids of words kept between texts.
@@ -41,8 +41,8 @@ class WordIds:
 
     PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
     OTHER = re.compile("[^\x00-\x1b\x20-\x84\x86-ɏ]")
-    #: Words, and parts of words, kept before the stores are emptied.
-    MOST_WORDS = 500_000
+    #: Words, and parts of words, that a store holds before a new one is begun.
+    MOST_WORDS = 300_000
 
     def __init__(self, path: str) -> None:
         self.whole = Tokenizer.from_file(path)
@@ -53,6 +53,7 @@ class WordIds:
         self.part.normalizer = None
         self.part.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.words: dict[str, bytes] = {}
+        self.older_words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
     def splits_words(self, rules: dict) -> bool:
@@ -65,43 +66,66 @@ class WordIds:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
         out: list = [None] * len(texts)
-        split, missing = {}, set()
+        gaps: dict[int, tuple[list, list]] = {}
+        missing: set[str] = set()
         for k, text in enumerate(texts):
             if not self.by_word or self.OTHER.search(text) or not unicodedata.is_normalized("NFC", text):
-                ids = self.whole.encode(text, add_special_tokens=False).ids
-                out[k] = np.array(ids, ID).tobytes()
+                out[k] = packed_ids(self.whole.encode(text, add_special_tokens=False).ids)
                 continue
             words = text.lower().split()
             found = list(map(self.words.get, words))
             if None in found:
-                missing.update(word for word, ids in zip(words, found) if ids is None)
-                split[k] = words
+                places = [(i, words[i]) for i, ids in enumerate(found) if ids is None]
+                missing.update(word for _, word in places)
+                gaps[k] = (found, places)
             else:
                 out[k] = b"".join(found)
         if missing:
             new = self.learn(missing)
-            for k, words in split.items():
-                out[k] = b"".join([self.words.get(word) or new[word] for word in words])
-            if len(self.words) > self.MOST_WORDS:
-                self.words = {}
-            self.words.update(new)
+            for k, (found, places) in gaps.items():
+                for i, word in places:
+                    found[i] = new[word]
+                out[k] = b"".join(found)
         return out
 
     def learn(self, words: set[str]) -> dict[str, bytes]:
-        split = {word: self.PARTS.findall(word) for word in words}
+        """Ids of words that are not at hand: from those set aside last, or from their parts."""
+        if len(self.words) > self.MOST_WORDS:
+            self.words, self.older_words = {}, self.words
+        older = self.older_words
+        known = {word: older[word] for word in words if word in older}
+        split = {word: self.split(word) for word in words if word not in known}
         if len(self.parts) > self.MOST_WORDS:
             self.parts = {}
         new = list(set(chain.from_iterable(split.values())).difference(self.parts))
         for part, found in zip(new, self.part.encode_batch_fast(new, add_special_tokens=False)):
-            self.parts[part] = np.array(found.ids, ID).tobytes()
-        return {word: b"".join([self.parts[part] for part in parts]) for word, parts in split.items()}
+            self.parts[part] = packed_ids(found.ids)
+        parts = self.parts
+        for word, pieces in split.items():
+            known[word] = parts[word] if len(pieces) == 1 else b"".join([parts[piece] for piece in pieces])
+        self.words.update(known)
+        return known
+
+    def split(self, word: str) -> list[str]:
+        """The parts of a word; letters, and letters before a single mark, are plain."""
+        if word.isalpha():
+            return [word]
+        if word[-1] in ".,;:?!" and word[:-1].isalpha():
+            return [word[:-1], word[-1]]
+        return self.PARTS.findall(word)
+
+
+def packed_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 _word_ids: dict[str, WordIds] = {}
 
 
 def word_ids(path: str) -> WordIds:
-    """One per worker process and tokenizer."""
+    """One per worker process and tokenizer. Threads of its own would only compete with
+    the other tasks of the executor."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if path not in _word_ids:
         _word_ids[path] = WordIds(path)
     return _word_ids[path]
@@ -234,7 +258,7 @@ def pack(
             rows, held = [], 0
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, order)], schema=order)
 
-        end = np.array([end_id], ID).tobytes()
+        end = packed_ids([end_id])
         for docs, texts in chunks(batches):
             for doc, ids in zip(docs, encoder.encode(texts)):
                 ids += end
