@@ -138,11 +138,11 @@ ORACLE_SQL: dict[str, str] = {
             from pages_
         ), groups as (
             -- Five hex digits are twenty bits, four characters of base32.
-            select *, list_transform(range(0, 8), g -> ('0x' || substr(hex, (5 * g + 1)::int, 5))::bigint) as twenties
+            select *, list_transform(range(0, 8), lambda g: ('0x' || substr(hex, (5 * g + 1)::int, 5))::bigint) as twenties
             from hashed
         )
         select page_id, payload_bytes,
-            array_to_string(list_transform(range(0, 32), k ->
+            array_to_string(list_transform(range(0, 32), lambda k:
                 substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
                     ((twenties[(k // 4 + 1)::int] >> ((3 - k % 4) * 5)::int) & 31)::int + 1, 1)), '') as payload_digest,
             case when largest is null or page_id = largest then 'response' else 'revisit' end as record_type,
@@ -151,10 +151,10 @@ ORACLE_SQL: dict[str, str] = {
     """,
     "op7_nearest": """
         with fit as (
-            select vec_id, list_transform(embedding, x -> floor(256.0::double * x::double)) as v
+            select vec_id, list_transform(embedding, lambda x: floor(256.0::double * x::double)) as v
             from embeddings
             where vec_id is not null and embedding is not null
-                and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+                and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
         ), scored as (
             select q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint as score
             from fit q join fit c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id

@@ -41,7 +41,7 @@ def fingerprint(text: str) -> int:
     for at in range(0, len(ends), SLICE):
         pairs = zip(starts[at : at + SLICE], ends[at : at + SLICE])
         hashes = np.array([digest(data[a : b - 1], SEED) for a, b in pairs], "<u8")
-        bits += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0)
+        bits += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * bits > len(ends), bitorder="little").view("<u8")[0])
 
 

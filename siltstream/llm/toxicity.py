@@ -284,14 +284,13 @@ def learn(documents: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, t
         featuresCol="_vector",
         labelCol="toxic",
         predictionCol="_prediction",
-        probabilityCol="_probability",
-        rawPredictionCol="_margin",
         maxIter=trees,
         maxDepth=4,
         stepSize=0.2,
         minInstancesPerNode=5,
         seed=1,
     )
+    booster = booster.setProbabilityCol("_probability").setRawPredictionCol("_margin")
     # A bounded number of short rows: more tasks would only cost their start.
     model = Model(lexicon, share, booster.fit(rows.where("part <> 0").coalesce(4)))
     if {bool(r["toxic"]) for r in parts if not r["part"]} == {True, False}:

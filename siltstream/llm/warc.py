@@ -129,7 +129,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int
                 continue
             if out is None:
                 store.create_dir(root, recursive=True)
-                out = store.open_output_stream(f"{root}/{file}")
+                out = store.open_output_stream(f"{root}/{file}", compression=None)
             rows = []
             for page, url, digest, size, member, refers_to in zip(*(c.to_pylist() for c in batch.columns)):
                 kind = "response"
