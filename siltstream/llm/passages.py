@@ -27,7 +27,6 @@ PASSAGE, SPAN = 28, 20
 
 PERMUTE = random_odd(BANDS * ROWS, 2)
 SHIFT = random_odd(BANDS * ROWS, 3)
-LINE_ENDS = np.array([10, 13, 0x2028, 0x2029], np.uint32)
 PLACES = 1 << 28
 
 UNIT = "hash long, doc_id long, start long, end long, bands array<long>"
@@ -44,7 +43,7 @@ UNIT_SCHEMA = pa.schema(
 
 def paragraphs(words: Words, least_words: int) -> tuple[np.ndarray, np.ndarray]:
     """First words and numbers of words of the lines with ``least_words`` words or more."""
-    line = np.searchsorted(np.flatnonzero(np.isin(words.codes, LINE_ENDS)), words.starts)
+    line = np.searchsorted(np.flatnonzero((words.codes == 10) | (words.codes == 13)), words.starts)
     first = np.flatnonzero(np.diff(line, prepend=-1))
     count = np.diff(np.append(first, len(line)))
     long = count >= least_words
@@ -70,9 +69,7 @@ def band_hashes(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """A row of band hashes for each paragraph, from the least shingle under each permutation."""
     out = np.zeros((len(begin), BANDS), np.uint64)
     for k in range(BANDS * ROWS):
-        turned = (values ^ SHIFT[k]) * PERMUTE[k]
-        turned ^= turned >> np.uint64(29)
-        least = np.minimum.reduceat(turned * PERMUTE[k - 1], begin)
+        least = np.minimum.reduceat((values ^ SHIFT[k]) * PERMUTE[k], begin)
         out[:, k // ROWS] = mixed(out[:, k // ROWS] + least)
     return out
 
@@ -100,35 +97,44 @@ def units(documents: DataFrame, least_words: int, passage: int, span: int) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for docs, texts in chunks(batches):
-            parts = []
+            lines, runs, values = [], [], []
             for doc, text in zip(docs, texts):
                 if doc is None:
                     continue
                 words = Words(text)
                 first, count = paragraphs(words, least_words)
                 if len(first):
-                    bands = band_hashes(*shingles(words, first, count))
-                    parts.append((doc, words, whole_hashes(words.hashes, first, count), first, count, bands))
+                    found = shingles(words, first, count)[0]
+                    values.append((found, count - SHINGLE + 1))
+                    lines.append((doc, words, whole_hashes(words.hashes, first, count), first, count))
                 first = passage_starts(words.hashes, passage, span)
                 if len(first):
                     count = np.full(len(first), passage)
-                    parts.append((doc, words, grams(words.hashes, passage)[first], first, count, None))
-            if parts:
-                yield unit_batch(parts)
+                    runs.append((doc, words, grams(words.hashes, passage)[first], first, count))
+            if lines:
+                count = np.concatenate([c for _, c in values])
+                bands = band_hashes(np.concatenate([v for v, _ in values]), np.cumsum(count) - count)
+                yield unit_batch(lines, bands)
+            if runs:
+                yield unit_batch(runs, None)
 
     return documents.select("doc_id", "text").mapInArrow(run, UNIT)
 
 
-def unit_batch(parts: list[tuple]) -> pa.RecordBatch:
+def unit_batch(parts: list[tuple], bands: np.ndarray | None) -> pa.RecordBatch:
     sizes = [len(p[3]) for p in parts]
-    bands = [b for p in parts for b in ([None] * len(p[3]) if p[5] is None else p[5].view(np.int64))]
+    if bands is None:
+        bands = pa.nulls(sum(sizes), pa.list_(pa.int64()))
+    else:
+        bounds = np.arange(len(bands) + 1, dtype=np.int32) * BANDS
+        bands = pa.ListArray.from_arrays(bounds, bands.view(np.int64).ravel())
     return pa.RecordBatch.from_arrays(
         [
             pa.array(np.concatenate([p[2] for p in parts]).view(np.int64)),
             pa.array(np.repeat([p[0] for p in parts], sizes)),
             pa.array(np.concatenate([p[1].starts[p[3]] for p in parts])),
             pa.array(np.concatenate([p[1].ends[p[3] + p[4] - 1] for p in parts])),
-            pa.array(bands, pa.list_(pa.int64())),
+            bands,
         ],
         schema=UNIT_SCHEMA,
     )
@@ -172,12 +178,20 @@ def near_links(documents: DataFrame, classes: DataFrame, similarity: float) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, places in zip(batch.column(0), batch.column(1)):
-                text, names, sets = text.as_py(), [], []
-                for place in places.as_py():
-                    # Equal words at both ends of a repeated row's place give the same set.
-                    words = Words(text[place["start"] : place["end"]])
-                    names.append(place["hash"])
-                    sets.append(np.unique(grams(words.hashes, SHINGLE)).view(np.int64))
+                # The paragraphs of a document in lines of their own, read in one go.
+                text, places = text.as_py() or "", places.as_py()
+                pieces = [text[place["start"] : place["end"]] for place in places]
+                bounds = np.cumsum([len(piece) + 1 for piece in pieces])
+                words = Words("\n".join(pieces))
+                owner = np.searchsorted(bounds, words.starts, "right")
+                count = np.bincount(owner, minlength=len(pieces))
+                # A row that repeats an id with another text may be too short for a place.
+                full = np.flatnonzero(count >= SHINGLE)
+                if not len(full):
+                    continue
+                values, begin = shingles(words, (np.cumsum(count) - count)[full], count[full])
+                sets = [np.unique(part).view(np.int64) for part in np.split(values, begin[1:])]
+                names = [places[k]["hash"] for k in full]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(names, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["hash", "shingles"]
                 )
