@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstream.llm.shared import saved
+
 #: Members of a bucket that one cell compares with as many others.
 BLOCK = 512
 
@@ -21,7 +23,8 @@ def cells(members: DataFrame, keys: list[str], member: str, block: int = BLOCK)
     two blocks, so no cell holds much more than two blocks however large the bucket is.
     Adds the cell's ends ``i`` and ``j`` and the block ``own`` of the row.
     """
-    sizes = members.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+    # Written first: a join with an aggregate of its own rows could not split a hot key.
+    sizes = saved(members.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1"), "sizes")
     rows = members.join(sizes, keys).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64(F.lit(7), member), "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

@@ -244,9 +244,11 @@ def repeats(
 
     # Most passages occur once: a count alone, over plain numbers, sets these aside.
     runs = found.where("bands is null").drop("bands")
+    # What a join takes from an aggregate of the same rows is written first, so that both
+    # sides are plain shuffles and a very common passage is split.
     several = runs.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    runs = saved(runs.join(several, "hash"), "passages")
-    names = runs.groupBy("hash").agg(*ends).where("first <> last")
+    runs = saved(runs.join(saved(several, "several"), "hash"), "passages")
+    names = saved(runs.groupBy("hash").agg(*ends).where("first <> last"), "kept")
     runs = runs.join(names.select("hash", F.col("hash").alias("cluster_id"), "first"), "hash")
 
     def others(rows: DataFrame, kind: str) -> DataFrame:

@@ -53,7 +53,8 @@ def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
             break
         before = mark
         both = links.union(links.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        # Written, so that the join's sides are plain shuffles and a hub's links are split.
+        least = saved(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
         links = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         links = links.distinct()
         least = links.groupBy("u").agg(F.min("v").alias("m"))
