@@ -1,0 +1,192 @@
+import gzip
+import math
+import random
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__ as entry_point
+from siltstream.llm import catalog, nearest, style_tree, warc
+from siltstream.llm.shared import shared_folder
+
+PAGE = "page_id long, url string, html string, digest string, branches string"
+
+
+def pages_of(spark, rows):
+    return spark.createDataFrame([(*row, "d", "b") for row in rows], PAGE)
+
+
+# --- archives
+
+
+PAGES = [
+    (1, "http://a/x", "same"), (5, "http://a/y z\r\nEvil: 1", "same"), (3, None, "same"),
+    (7, "http://b/", "other ü"), (8, "http://b/", None), (9, "http://b/", ""), (None, "http://c/", "same"),
+    (10, "http://d/", "x" * 300_000), (11, "http://e/", "\r\n\r\nWARC/1.1\r\n"),
+]
+
+
+@pytest.mark.parametrize("least_bytes", [0, 5])
+def test_archives_are_read_back(spark, least_bytes):
+    folder = shared_folder(spark, "warc")
+    index = warc.write_archives(pages_of(spark, PAGES).repartition(3), folder, least_bytes)
+    got = {r.page_id: r for r in warc.read_records(index, folder).collect()}
+    assert len(got) == len(PAGES)
+    for page, _, html in PAGES:
+        data, r = (html or "").encode(), got[page]
+        same = [p for p, _, h in PAGES if (h or "").encode() == data and p is not None]
+        first = len(data) < least_bytes or page == max(same)
+        assert (r.record_type, r.refers_to) == (("response", None) if first else ("revisit", max(same)))
+        assert r.payload_bytes == len(data) and r.payload_digest == warc.base32_sha1(data)
+        assert r.payload == (data if first else None)
+    assert got[3].url is None and got[5].url == "http://a/y%20z%0D%0AEvil:%201"
+    # Each record is a member of its own at its offset.
+    local = folder.removeprefix("file:")
+    for r in index.collect():
+        with open(f"{local}/archives/{r.file}", "rb") as f:
+            f.seek(r.offset)
+            assert gzip.decompress(f.read(r.length)).startswith(b"WARC/1.1\r\n")
+    some = warc.read_records(index.where("page_id in (7, 10)"), folder, payloads=False).collect()
+    assert {r.page_id for r in some} == {7, 10} and some[0].payload is None
+
+
+def test_reads_are_coalesced():
+    rows = [("a", 0, 10), ("a", 10, 10), ("a", 25, 10), ("a", 500, 10), ("a", 510, 900), ("b", 0, 5)]
+    assert list(warc.ranges(rows, gap=10, most=100)) == [
+        ("a", 0, 35, 0, 3), ("a", 500, 510, 3, 4), ("a", 510, 1410, 4, 5), ("b", 0, 5, 5, 6),
+    ]
+    assert list(warc.ranges([], 1, 1)) == []
+
+
+def test_no_pages(spark):
+    empty = pages_of(spark, []).where("false")
+    folder = shared_folder(spark, "warc")
+    assert warc.read_records(warc.write_archives(empty, folder), folder).count() == 0
+    assert style_tree.extract(empty).count() == 0
+
+
+def test_repeated_pages(spark):
+    folder = shared_folder(spark, "warc")
+    rows = pages_of(spark, [(1, "u", "x"), (1, "u", "x"), (2, "u", "x"), (4, "u", "y"), (4, "u", "y")])
+    found = warc.read_records(warc.write_archives(rows, folder), folder).collect()
+    assert sorted((r.page_id, r.record_type) for r in found) == [
+        (1, "revisit"), (1, "revisit"), (2, "response"), (4, "response"), (4, "response"),
+    ]
+
+
+# --- main text
+
+
+def test_blocks_of_a_page():
+    page = (
+        "<!DOCTYPE html><html><head><title>no</title></head><body><!-- <p>no --><nav><ul><li>menu</ul></nav>"
+        '<div class="ad top">buy</div><main><h1>A &amp; B</h1><p>one<br>two <i>th</i>ree &nbsp; x'
+        '<p>four<script>var t="</p>";</script> five<ul><li>i<li>j</ul><table><tr><td>c<td>d</table>'
+        '<section id="comments"><p>hi</section><form><p>name</form><aside>see also</aside></main><p>after'
+        "<footer>foot"
+    )
+    text = style_tree.main_text(page, frozenset())
+    assert text == "A & B\none two three x\nfour five\ni\nj\nc\nd"
+    assert style_tree.main_text("x < y &lt; z <b", frozenset()) == "x < y < z"
+    assert style_tree.main_text("<p>a</p><!-- b", frozenset()) == "a"
+    assert style_tree.main_text("", frozenset()) == ""
+    assert style_tree.main_text('<div hidden>x</div><p style="display: none">y</p>z', frozenset()) == "z"
+
+
+def site(host, count, rng):
+    """Pages whose frame says nothing of its kind: only the tree can tell."""
+    words = [f"w{k}" for k in range(500)]
+    for k in range(count):
+        text = [" ".join(rng.choices(words, k=12)) for _ in range(4)]
+        body = "".join(f"<p>{t}</p>" for t in text)
+        frame = f'<div class="b1"><p>Home</p><p>About {rng.choice("ab")}</p></div><div class="b2">{body}</div>'
+        page = f'<html><body>{frame}<div class="b3"><p>Copyright {host}</p></div></body></html>'
+        yield f"http://{host}/{k}", page, "\n".join(text)
+
+
+def test_frames_are_found_by_their_importance(spark):
+    rng = random.Random(3)
+    rows = list(site("big.example", 80, rng)) + list(site("small.example", 2, rng)) + [(None, None, ""), ("x", "<p>", "")]
+    table = pages_of(spark, [(k, url, html) for k, (url, html, _) in enumerate(rows)])
+    got = {r.page_id: r for r in style_tree.extract(table).collect()}
+    assert len(got) == len(rows)
+    for k, (url, _, text) in enumerate(rows):
+        assert (got[k].url, got[k].text, got[k].n_chars) == (url, text, len(text))
+
+
+def test_an_article_printed_many_times_stays(spark):
+    page = "<body><nav>menu</nav><article><h1>title</h1><p>the same text</p></article></body>"
+    table = pages_of(spark, [(k, f"http://h/{k}", page) for k in range(40)])
+    assert {r.text for r in style_tree.extract(table).collect()} == {"title\nthe same text"}
+
+
+# --- nearest
+
+
+def plain_top(rows, k):
+    whole = {}
+    for name, vector in rows:
+        if name is None or vector is None or any(x is None or not math.isfinite(x) for x in vector):
+            continue
+        v = [math.floor(256 * x) for x in vector]
+        whole[name] = min(v, whole.get(name, v))
+    out = []
+    for q in whole:
+        if q % 50 == 0:
+            scores = [(-sum(a * b for a, b in zip(whole[q], v)), c) for c, v in whole.items() if c != q and len(v) == len(whole[q])]
+            out += [(q, rank + 1, c, -s) for rank, (s, c) in enumerate(sorted(scores)[:k])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("shard_rows,query_rows", [(8192, 1024), (40, 3)])
+def test_top_k(spark, shard_rows, query_rows):
+    rng = random.Random(5)
+    rows = [(k, [rng.gauss(0, 0.3) for _ in range(6)]) for k in range(-150, 250)]
+    rows += [(1000 + k, [0.1] * 6) for k in range(60)]  # ties
+    rows += [(2000, None), (2050, [None] * 6), (2100, [float("nan")] * 6), (2150, [float("inf")] * 6)]
+    rows += [(50, [0.5] * 6), (50, [0.5] * 6), (None, [0.1] * 6), (3000, [0.1, 0.2]), (3001, [0.3, 0.1]), (3050, []), (4000, [1e6] * 6)]
+    table = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, rank int")
+    floats = [(r.vec_id, r.embedding) for r in table.collect()]
+    got = nearest.top_k(table, F.col("vec_id") % 50 == 0, 5, shard_rows, query_rows)
+    assert sorted(map(tuple, got.collect())) == plain_top(floats, 5)
+
+
+def test_top_k_of_few_rows(spark):
+    schema = "vec_id long, embedding array<float>"
+    assert nearest.top_k(spark.createDataFrame([], schema), F.lit(True)).count() == 0
+    table = spark.createDataFrame([(0, [1.0]), (1, [2.0])], schema)
+    got = nearest.top_k(table, F.col("vec_id") % 50 == 0)
+    assert got.dtypes == [("query_id", "bigint"), ("rank", "int"), ("vec_id", "bigint"), ("score", "bigint")]
+    assert [tuple(r) for r in got.collect()] == [(0, 1, 1, 256 * 512)]
+
+
+# --- queries and their SQL
+
+
+@pytest.fixture(scope="module")
+def engine():
+    connection = duckdb.connect()
+    for name in "documents embeddings pages benchmark labels conversations".split():
+        path = f"/root/testdata/sf0.001/{name}.parquet"
+        connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{path}'")
+    return connection
+
+
+@pytest.mark.parametrize("name", catalog.ORACLE_SQL)
+def test_query_equals_its_sql(spark, sf_dir, engine, name):
+    frame = entry_point.queries()[name](spark, sf_dir)
+    columns = sorted(frame.columns)
+    cursor = engine.execute(entry_point.oracle_sql()[name])
+    names = [d[0] for d in cursor.description]
+    assert sorted(names) == columns
+    at = [names.index(c) for c in columns]
+    expected = sorted(repr(tuple(row[i] for i in at)) for row in cursor.fetchall())
+    assert sorted(repr(tuple(row[c] for c in columns)) for row in frame.collect()) == expected
+
+
+def test_all_queries_are_registered():
+    names = entry_point.queries()
+    for n in range(1, 11):
+        assert sum(name.startswith(f"op{n}_") for name in names) == 1
+    assert "pipeline" in names
