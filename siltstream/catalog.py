@@ -7,6 +7,7 @@ from a landed folder and resume from their checkpoint in between.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,11 +18,19 @@ from siltstream import fixtures as X
 from siltstream.functions.json_values import is_json_object
 from siltstream.operators import changelog as C
 from siltstream.operators import logs as L
-from siltstream.plans.change_capture import declare_table, run_database_capture, table_events
+from siltstream.plans.change_capture import (
+    declare_table,
+    rejected_events,
+    run_database_capture,
+    run_initial_capture,
+    table_events,
+)
 from siltstream.plans.log_split import run_log_split, split_logs
+from siltstream.sinks.topics import with_record_id, write_files
 from siltstream.sources.files import read_landed
 from siltstream.streaming.changelog import read_current_state, start_current_state
-from siltstream.streaming.job import JobOptions, new_folder
+from siltstream.streaming import job as streaming_job
+from siltstream.streaming.job import JobOptions
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,6 +51,16 @@ DECLARED_ROW = (
 )
 
 
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A working folder of a query. A session that names no shared folder, as in a trial
+    run on one machine, gets a temporary one."""
+    try:
+        return streaming_job.new_folder(spark, label)
+    except ValueError:
+        spark.conf.set(streaming_job.CHECKPOINT_DIR, tempfile.mkdtemp(prefix="siltstream-"))
+        return streaming_job.new_folder(spark, label)
+
+
 def _parsed_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.parse_logs(X.app_logs(spark, sf_dir))
 
@@ -264,6 +283,63 @@ def cdc_net_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.net_rows(C.retract(_order_changes(spark, sf_dir)), ORDER_COLUMNS)
 
 
+# Declared narrower than some of the values that the faulty feed holds.
+FAULTY_ROW = "id int, price double"
+
+
+def cdc_rejected_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the jobs on a typed table leave out, as it came."""
+    return rejected_events(X.faulty_changes(spark, sf_dir), FAULTY_ROW)
+
+
+def cdc_current_state_faulty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table that the other events of the same feed denote."""
+    changes = C.parse_changes(X.faulty_changes(spark, sf_dir), FAULTY_ROW)
+    return C.current_state(changes, ["id"], ["ts_ms", "order_id"])
+
+
+def cdc_unplaced_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records per topic of the feed after a time; events without time are rejected."""
+    changes = C.parse_changes(X.faulty_changes(spark, sf_dir))
+    routed = C.route_changes(C.changes_after(changes, 100))
+    return routed.groupBy("topic").agg(F.count("*").alias("records"))
+
+
+def cdc_initial_capture_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tables read in full at one time, then the stream of the changes after it."""
+    out = new_folder(spark, "initial")
+    changes = _order_changes(spark, sf_dir)
+    orders = C.current_state(changes.where(F.col("ts_ms") <= SNAPSHOT_MS), ["id"], CHANGE_ORDER)
+    customers = X.table(spark, sf_dir, "customer").selectExpr(
+        "c_acctbal AS balance", "c_custkey AS id", "c_name AS name"
+    )
+    feed = X.database_changes(spark, sf_dir)
+    landed = new_folder(spark, "landed")
+    feed.write.parquet(landed)
+    run_initial_capture(
+        {"orders": orders.select(*ORDER_COLUMNS), "customer": customers},
+        read_landed(spark, landed, feed.schema, stream=True),
+        X.DATABASE,
+        SNAPSHOT_MS,
+        out,
+        JobOptions(checkpoint=f"{landed}-checkpoint", available_now=True),
+    )
+    read = [spark.read.parquet(f"{out}/{part}") for part in ("snapshot", "changes")]
+    return read[0].select("topic", "value").union(read[1].select("topic", "value"))
+
+
+def sink_default_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events sent to the topic of their type, sign-ups without one; read back by topic."""
+    out = new_folder(spark, "default-topic")
+    events = X.table(spark, sf_dir, "events")
+    topic = F.when(F.col("event_type") != "signup", F.col("event_type"))
+    records = events.select("event_id", "ts", topic.alias("topic"), F.col("props").alias("value"))
+    write_files(with_record_id(records, ["ts", "event_id"]), out)
+    return spark.read.parquet(out).groupBy("topic").agg(
+        F.count("*").alias("records"), F.countDistinct("record_id").alias("ids")
+    )
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
@@ -288,5 +364,10 @@ QUERIES: dict[str, Query] = {
         cdc_current_state,
         cdc_current_state_stream,
         cdc_net_rows,
+        cdc_rejected_events,
+        cdc_current_state_faulty,
+        cdc_unplaced_events,
+        cdc_initial_capture_stream,
+        sink_default_topic,
     )
 }

@@ -17,11 +17,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(rows: DataFrame, key: str) -> DataFrame:
-    """Rows of a table in one small file, spread over the cores; others as they are."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    if rows.rdd.getNumPartitions() >= cores:
-        return rows
-    return rows.repartition(cores, key)
+    """Rows of a table spread over the cores, however few files it has."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, key)
 
 
 def epoch_millis(ts: str) -> str:
@@ -169,6 +166,39 @@ def attribute_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# What is wrong with an event, by the order's key modulo 20; all others are creates.
+_FAULTS = {
+    0: "left({text}, length({text}) - 1)",
+    1: "replace({text}, '\"source\"', '\"origin\"')",
+    2: "replace({text}, '\"op\":\"c\"', '\"op\":\"x\"')",
+    3: "replace({text}, '\"op\":\"c\"', '\"op\":null')",
+    4: "replace({text}, '\"id\":', '\"id\":\"x\",\"was\":')",
+    5: "replace({text}, '\"price\":', '\"price\":\"none\",\"was\":')",
+    6: "replace({text}, '\"id\":', '\"id\":3000000000')",
+    7: "replace({text}, '\"ts_ms\":', '\"at\":')",
+}
+
+
+def faulty_text(cast: str) -> str:
+    """SQL, for Spark and the oracle, of an order's create event with the faults above;
+    ``cast`` makes text of a number."""
+    key, price = (cast.format(c) for c in ("o_orderkey", "o_custkey"))
+    text = (
+        f"""concat('{{"before":null,"after":{{"id":', {key}, ',"price":', {price},"""
+        f""" '}},"source":{{"db":"{DATABASE}","table":"orders"}},"op":"c","ts_ms":', {key}, '}}')"""
+    )
+    cases = " ".join(f"WHEN {k} THEN {fault.format(text=text)}" for k, fault in _FAULTS.items())
+    return f"CASE o_orderkey % 20 {cases} ELSE {text} END"
+
+
+def faulty_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One event per order, ``order_id`` and the text ``value``, among them unreadable ones,
+    ones without source, operation or time, and values of another type than declared."""
+    orders = spread(table(spark, sf_dir, "orders"), "o_orderkey")
+    text = faulty_text("CAST({} AS STRING)")
+    return orders.selectExpr("CAST(o_orderkey AS BIGINT) AS order_id", f"{text} AS value")
+
+
 def database_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The change feed of the whole database: two tables on one stream."""
     orders = spread(table(spark, sf_dir, "orders"), "o_orderkey")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siltstream.functions.json_values import to_text
 
@@ -40,6 +41,38 @@ def after_image(op: Column, after: Column) -> Column:
     return F.when(~op.eqNullSafe(DELETE), after)
 
 
+def read_image(
+    image: Column, schema: T.StructType | None, text: Column
+) -> tuple[Column, Column]:
+    """A row image, and whether all of it could be read.
+
+    With a schema ``image`` is a struct of the texts of its fields, else a variant, which
+    is missing if the ``text`` of the image is an object that could not be read. What is no
+    object is no image.
+    """
+    if schema is None:
+        return image, image.isNotNull() | ~F.coalesce(text.startswith("{"), F.lit(False))
+    fields = {f.name: (image.getField(f.name), f.dataType) for f in schema.fields}
+    typed = {name: _typed(text, kind) for name, (text, kind) in fields.items()}
+    complete = F.lit(True)
+    for name, (text, _) in fields.items():
+        complete &= text.isNull() | typed[name].isNotNull()
+    row = F.struct(*[column.alias(name) for name, column in typed.items()])
+    return F.when(image.isNotNull(), row), complete
+
+
+def _typed(text: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.StringType):
+        return text
+    if isinstance(kind, T.BinaryType):
+        return F.try_to_binary(text, F.lit("base64"))
+    if isinstance(kind, T.VariantType):
+        return F.try_parse_json(text)
+    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+        return F.from_json(text, kind)
+    return text.try_cast(kind)
+
+
 def image_json(image: Column) -> Column:
     """JSON text of a row image, ``{}`` if there is none; null fields are left out."""
     text = F.transform(

@@ -25,6 +25,8 @@ _READ_OPTIONS = {
 }
 
 _MEMBER_NAME = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+# White space outside strings, or a string, which is put back.
+_SPACE = f"({_MEMBER_NAME})|[ \\t\\r\\n]+"
 # The match is the leftmost one, so a string that is not the name of a null member
 # is consumed whole by the last branch and its content is never taken for a member.
 _NULL_MEMBER = (
@@ -84,22 +86,30 @@ def is_json_object(value: Column | str, mode: str = STRICT) -> Column:
 def normal_text(value: Column | str, mode: str = STRICT) -> Column:
     """A valid object as strict one-line JSON without null members.
 
-    Text that is so already is kept character by character, numbers included. Any
-    other goes through a variant: members are then sorted by name and numbers of
-    more than 38 digits become doubles.
+    Strict text is edited, never rewritten: members keep their order and values every
+    character; only white space between them and null members go. Loose text goes through
+    a variant: members are sorted by name and numbers of more than 38 digits become
+    doubles. NULL if it cannot be read as one, which the session decides for repeated names.
     """
     value = F.col(value) if isinstance(value, str) else value
     if mode == STRICT:
-        rewritten = F.try_parse_json(value)
-        as_is = ~F.contains(value, F.lit("null")) & ~F.trim(value, F.lit(_JSON_SPACE)).rlike(
-            "[\n\r]"
-        )
-    else:
-        rewritten = F.from_json(value, "variant", _READ_OPTIONS[mode])
-        as_is = F.lit(False)
-    return F.when(as_is, F.trim(value, F.lit(_JSON_SPACE))).otherwise(
-        F.coalesce(to_text(rewritten), value)
-    )
+        text = F.trim(value, F.lit(_JSON_SPACE))
+        needs_edit = F.contains(text, F.lit("null")) | text.rlike("[\n\r]")
+        compact = F.regexp_replace(text, _SPACE, "$1")
+        return F.when(needs_edit, drop_null_members(compact)).otherwise(text)
+    return to_text(F.from_json(value, "variant", _READ_OPTIONS[mode]))
+
+
+def is_readable(value: Column | str, mode: str = STRICT) -> Column:
+    """True if a valid object can also be read as a variant, as routing does with it.
+
+    A name that occurs twice in one object can be read only where the session sets
+    ``spark.sql.variant.allowDuplicateKeys``.
+    """
+    value = F.col(value) if isinstance(value, str) else value
+    if mode == STRICT:
+        return F.try_parse_json(value).isNotNull()
+    return F.from_json(value, "variant", _READ_OPTIONS[mode]).isNotNull()
 
 
 def object_at(doc: Column, path: str = "$") -> Column:
@@ -121,7 +131,7 @@ def to_long(text: Column) -> Column:
 def drop_null_members(text: Column) -> Column:
     """Compact JSON text without its null members, at any depth.
 
-    Nulls inside arrays stay. The text must come from ``to_json``.
+    Nulls inside arrays stay. The text must have no white space between members.
     """
     return F.regexp_replace(text, _NULL_MEMBER, "$1")
 

@@ -41,24 +41,33 @@ def parse_changes(
 
     ``row`` declares the row images' fields; without it they are ``VARIANT`` and
     every field survives. ``valid`` is false, never NULL, if the text is not one
-    JSON object or has no ``source``. The original text stays in ``value``.
+    JSON object, has no ``source``, or has an image that cannot be read: a value that
+    does not convert to its declared type, or schema-free a repeated name where the
+    session does not allow it. The original text stays in ``value``.
     """
     if row is None:
-        image = "variant"
+        schema, image = None, "variant"
     else:
-        image = row.simpleString() if isinstance(row, T.StructType) else f"struct<{row}>"
+        schema = row if isinstance(row, T.StructType) else T.StructType.fromDDL(row)
+        image = f"struct<{','.join(f'`{name}`:string' for name in schema.names)}>"
     members = (
         f"before {image}, after {image}, source struct<db:string,`table`:string>,"
         " op string, ts_ms string"
     )
     keep = [name for name in feed.columns if name not in _OWN and name != value]
     parsed = J.once(feed, [*keep, value], {"_event": J.parse_object(value, members, mode)})
+    before, read_before = I.read_image(
+        F.col("_event.before"), schema, F.get_json_object(value, "$.before")
+    )
+    after, read_after = I.read_image(
+        F.col("_event.after"), schema, F.get_json_object(value, "$.after")
+    )
     return parsed.select(
         *keep,
         F.col(value).alias("value"),
-        F.col("_event.source").isNotNull().alias("valid"),
-        F.col("_event.before").alias("before"),
-        F.col("_event.after").alias("after"),
+        (F.col("_event.source").isNotNull() & read_before & read_after).alias("valid"),
+        before.alias("before"),
+        after.alias("after"),
         F.col("_event.source.db").alias("db"),
         F.col("_event.source.table").alias("table"),
         F.col("_event.op").alias("op"),
@@ -238,6 +247,7 @@ def snapshot_events(rows: DataFrame, database: str, table: str, ts_ms: int) -> D
     """Rows of a table read in full, as typed events of type snapshot."""
     image = F.struct(*rows.columns)
     return rows.select(
+        F.lit(None).cast("string").alias("value"),
         F.lit(True).alias("valid"),
         F.lit(None).cast(T.StructType(rows.schema.fields)).alias("before"),
         image.alias("after"),
@@ -248,6 +258,13 @@ def snapshot_events(rows: DataFrame, database: str, table: str, ts_ms: int) -> D
     )
 
 
+def changes_after(changes: DataFrame, started_ms: int) -> DataFrame:
+    """Events after a time, and those that cannot be placed, which become invalid: events
+    without a readable ``ts_ms``. Events of the very millisecond count as before."""
+    placed = changes.withColumn("valid", F.col("valid") & F.col("ts_ms").isNotNull())
+    return placed.where(~F.col("valid") | (F.col("ts_ms") > started_ms))
+
+
 def snapshot_then_changes(
     rows: DataFrame,
     changes: DataFrame,
@@ -266,7 +283,8 @@ def snapshot_then_changes(
     parallel read sees rows at any time up to ``finished_ms``. Keys that changed
     meanwhile are then taken back to their row at ``started_ms``, the old row of
     their first event after it. Either way the result is the exact changelog from
-    ``started_ms`` on. Snapshot events have NULL in the carried columns.
+    ``started_ms`` on. Snapshot events have NULL in the carried columns. Events without a
+    readable time cannot be placed and are left out; :func:`changes_after` shows them.
 
     This is a batch operator. To go on with a stream, write its result for the
     changes recorded so far and start the stream at the time they end.
@@ -276,7 +294,10 @@ def snapshot_then_changes(
         meanwhile = events.where(F.col("ts_ms") <= finished_ms)
         rows = _rewind(rows, meanwhile, keys, order)
     snapshot = snapshot_events(rows, database, table, started_ms)
-    return snapshot.unionByName(events.drop("value"), allowMissingColumns=True)
+    if isinstance(changes.schema["after"].dataType, T.VariantType):
+        for name in ("before", "after"):
+            snapshot = snapshot.withColumn(name, F.to_variant_object(name))
+    return snapshot.unionByName(events, allowMissingColumns=True)
 
 
 def _rewind(
@@ -287,10 +308,18 @@ def _rewind(
     touched = (
         meanwhile.select("*", *key_columns(keys)).groupBy(*keys).agg(first.alias("_first"))
     )
-    untouched = rows.join(touched, list(keys), "left_anti").select(*rows.columns)
-    existed = F.col("_first.before").isNotNull() & ~F.col("_first.op").isin(I.SNAPSHOT, I.CREATE)
-    restored = touched.where(existed).select("_first.before.*").select(*rows.columns)
-    return untouched.unionByName(restored)
+    # One join gives both the rows that stay and those taken back, from one reading of the
+    # events.
+    both = rows.select(*keys, F.struct(*rows.columns).alias("_row")).join(touched, list(keys), "full_outer")
+    existed = ~F.col("_first.op").isin(I.SNAPSHOT, I.CREATE) & F.col("_first.before").isNotNull()
+    old = F.struct(
+        *[
+            F.col("_first.before").getField(f.name).cast(f.dataType).alias(f.name)
+            for f in rows.schema.fields
+        ]
+    )
+    row = F.when(F.col("_first").isNull(), F.col("_row")).when(existed, old)
+    return both.select(row.alias("_row")).where(F.col("_row").isNotNull()).select("_row.*")
 
 
 def register_table(

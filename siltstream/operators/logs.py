@@ -38,8 +38,9 @@ def parse_logs(logs: DataFrame, value: str = "value", mode: str = J.STRICT) -> D
     """Check log text and pull out the device key.
 
     Returns the other input columns, ``value``, ``mid`` and ``is_new``. ``mid`` is
-    NULL exactly on dirty rows: text that is not one JSON object, or an object
-    without ``common.mid``. Dirty rows keep their original text; the text of clean
+    NULL exactly on dirty rows: text that is not one JSON object, an object without
+    ``common.mid``, or one that routing could not read (a repeated name, unless the session
+    allows it). Dirty rows keep their original text; the text of clean
     ones is normalised by :func:`~siltstream.functions.json_values.normal_text`.
     """
     parsed = J.once(
@@ -47,12 +48,16 @@ def parse_logs(logs: DataFrame, value: str = "value", mode: str = J.STRICT) -> D
         [*_carried(logs, value), value],
         {"_log": J.parse_object(value, "common struct<mid:string,is_new:string>", mode)},
     )
-    clean = F.col("_log.common.mid").isNotNull()
+    mid = F.when(J.is_readable(value, mode), F.col("_log.common.mid"))
+    parsed = J.once(
+        parsed, [*_carried(logs, value), value], {"mid": mid, "is_new": F.col("_log.common.is_new")}
+    )
+    clean = F.col("mid").isNotNull()
     return parsed.select(
         *_carried(logs, value),
         F.when(clean, J.normal_text(value, mode)).otherwise(F.col(value)).alias("value"),
-        F.col("_log.common.mid").alias("mid"),
-        F.col("_log.common.is_new").alias("is_new"),
+        "mid",
+        "is_new",
     )
 
 
@@ -88,7 +93,9 @@ def flag_cleared(value: Column) -> Column:
     doc = F.try_parse_json(value)
     common = J.put(J.object_at(doc, "$.common"), "is_new", F.parse_json(F.lit('"0"')))
     rebuilt = F.to_json(J.put(J.object_at(doc), "common", F.to_variant_object(common)))
-    return F.when(editable, F.regexp_replace(value, _FLAG_SET, '"is_new":"0"')).otherwise(rebuilt)
+    return F.when(editable, F.regexp_replace(value, _FLAG_SET, '"is_new":"0"')).otherwise(
+        F.coalesce(rebuilt, value)
+    )
 
 
 def correct_is_new(
@@ -193,11 +200,14 @@ def _displays() -> Column:
 
 def _display_context() -> Column:
     """What all displays of a record share: ``common``, ``page`` and ``ts``."""
-    page = F.try_variant_get("_log.page", "$", "string")
+    page = F.col("_log.page")
+    text = F.try_variant_get(page, "$", "string")
+    spelled = F.when(J.is_json_object(text), F.try_parse_json(text))
+    page = F.coalesce(F.when(J.object_at(page).isNotNull(), page), spelled)
     return F.concat_ws(
         ",",
         J.member("common", F.col("_log.common")),
-        F.when(F.ltrim(page).startswith("{"), F.concat(F.lit('"page":'), page)),
+        F.concat(F.lit('"page":'), J.to_text(page)),
         F.concat(F.lit('"ts":'), J.to_long(F.col("_log.ts"))),
     )
 

@@ -7,6 +7,7 @@ together as JSON.
 from __future__ import annotations
 
 from siltstream.catalog import SNAPSHOT_MS
+from siltstream.fixtures import faulty_text
 
 # One row per event: what the log text says, without the text.
 _LOGS = """
@@ -158,6 +159,38 @@ def _json_text(text: str) -> str:
     return f"""'"' || replace({text}, '"', chr(92) || '"') || '"'"""
 
 
+def _record_text(data: str, before: str, name: str, kind: str, ts: str) -> str:
+    """Text of a fully formatted change record."""
+    return f"""'{{"data":' || {_json_text(data)} || ',"beforeDate":' || {_json_text(before)}
+       || ',"db":"shop","tableName":"' || {name} || '","type":"' || {kind}
+       || '","ts":' || {ts} || '}}'"""
+
+
+_CUSTOMER_ROW = """'{"balance":' || c_acctbal || ',"id":' || c_custkey || ',"name":"' || c_name || '"}'"""
+
+_INITIAL = f"""
+WITH {_FORMATTED}, at_start AS (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS back
+  FROM changes WHERE ts_ms <= {SNAPSHOT_MS}
+), records AS (
+  SELECT {_image("new_price", _DOUBLE)} AS data, '{{}}' AS before, 'orders' AS name,
+         'insert' AS kind, {SNAPSHOT_MS} AS ts
+  FROM at_start WHERE back = 1 AND op <> 'd'
+  UNION ALL
+  SELECT {_CUSTOMER_ROW}, '{{}}', 'customer', 'insert', {SNAPSHOT_MS} FROM customer
+  UNION ALL
+  SELECT data, "beforeDate", "tableName", type, ts FROM full_form WHERE ts > {SNAPSHOT_MS}
+)
+SELECT 'ods_base_db' AS topic, {_record_text("data", "before", "name", "kind", "ts")} AS value
+FROM records"""
+
+_FAULTY = f"""
+faulty AS (
+  SELECT CAST(o_orderkey AS BIGINT) AS order_id, o_orderkey % 20 AS fault, o_custkey,
+         {faulty_text("CAST({} AS VARCHAR)")} AS value
+  FROM orders
+)"""
+
 ORACLE_SQL: dict[str, str] = {
     "log_json_validity": """
 SELECT 'log' AS kind, event_id AS id, CAST(0 AS BIGINT) AS part, event_id % 97 <> 0 AS valid
@@ -209,5 +242,21 @@ FROM orders WHERE o_orderkey % 7 <> 0""",
     "cdc_retract_stream": _RETRACT,
     "cdc_current_state": _CURRENT,
     "cdc_current_state_stream": _CURRENT,
+    "cdc_rejected_events": f"""
+WITH {_FAULTY} SELECT order_id, value FROM faulty WHERE fault IN (0, 1, 2, 4, 5, 6)""",
+    "cdc_current_state_faulty": f"""
+WITH {_FAULTY}
+SELECT CAST(order_id AS INTEGER) AS id, CAST(o_custkey AS DOUBLE) AS price
+FROM faulty WHERE fault NOT IN (0, 1, 2, 4, 5, 6)""",
+    "cdc_unplaced_events": f"""
+WITH {_FAULTY}
+SELECT CASE WHEN fault IN (0, 1, 2, 7) THEN 'ods_dirty_db' ELSE 'ods_base_db' END AS topic,
+       count(*) AS records
+FROM faulty WHERE fault IN (0, 1, 7) OR order_id > 100 GROUP BY 1""",
+    "cdc_initial_capture_stream": _INITIAL,
+    "sink_default_topic": """
+SELECT CASE WHEN event_type = 'signup' THEN 'dwd_default_topic' ELSE event_type END AS topic,
+       count(*) AS records, count(*) AS ids
+FROM events GROUP BY 1""",
     "cdc_net_rows": f"SELECT *, CAST(1 AS BIGINT) AS net FROM ({_CURRENT})",
 }

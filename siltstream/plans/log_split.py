@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from siltstream.functions.json_values import STRICT
 from siltstream.operators.logs import correct_is_new, parse_logs, route_logs
-from siltstream.sinks.topics import with_record_id, write_files
+from siltstream.sinks.topics import Writer, with_record_id, write_to
 from siltstream.streaming.job import JobOptions
 
 
@@ -33,13 +33,18 @@ def split_logs(
 
 
 def run_log_split(
-    logs: DataFrame, order: Sequence[str], path: str, job: JobOptions | None = None, **options
+    logs: DataFrame,
+    order: Sequence[str],
+    target: str | Writer,
+    job: JobOptions | None = None,
+    **options,
 ) -> StreamingQuery | None:
-    """Split logs to files below ``path``, one folder per topic.
+    """Split logs to ``target``: files below a path, one folder per topic, or whatever a
+    writer such as ``partial(write_kafka, servers=...)`` does with the records and the job.
 
     Forgetting devices by ``ttl_ms`` keeps the job awake, so it cannot be combined
     with ``available_now``: the job would never find itself done.
     """
     if options.get("ttl_ms") is not None and job is not None and job.available_now:
         raise ValueError("ttl_ms needs a job that runs on, not available_now")
-    return write_files(split_logs(logs, order, **options), path, job)
+    return write_to(target, split_logs(logs, order, **options), job)

@@ -6,14 +6,18 @@ its own, the column ``topic``. Streaming DataFrames need :class:`JobOptions`.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from siltstream.streaming.job import JobOptions
 
+# Writes records, on streams with the settings of the job.
+Writer = Callable[[DataFrame, JobOptions | None], StreamingQuery | None]
+
 # Fixed value: where records without a topic go.
 DEFAULT_TOPIC = "dwd_default_topic"
 
@@ -31,9 +35,22 @@ def with_default_topic(records: DataFrame, default: str = DEFAULT_TOPIC) -> Data
 def with_record_id(records: DataFrame, identity: Sequence[str]) -> DataFrame:
     """Add ``record_id``, the same whenever the same input is written again.
 
-    ``identity`` names the columns that tell output rows apart.
+    ``identity`` names the columns that tell output rows apart. Their exact values are
+    hashed, whatever the session's time zone; a missing value differs from any other.
     """
-    return records.withColumn("record_id", F.md5(F.to_json(F.struct(*identity))))
+    types = {field.name: field.dataType for field in records.schema.fields}
+    values = F.array(*[_exact_text(name, types[name]) for name in identity])
+    return records.withColumn("record_id", F.md5(F.to_json(values)))
+
+
+def _exact_text(name: str, kind: T.DataType) -> Column:
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(name).cast("string")
+    if isinstance(kind, T.BinaryType):
+        return F.hex(name)
+    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
+        raise ValueError(f"{name} has parts: name plain columns to tell records apart")
+    return F.col(name).cast("string")
 
 
 def kafka_rows(records: DataFrame, key: str | None = None) -> DataFrame:
@@ -87,6 +104,13 @@ def write_files(
     return _job(job).start(writer)
 
 
+def write_to(
+    target: str | Writer, records: DataFrame, job: JobOptions | None
+) -> StreamingQuery | None:
+    """Write files below ``target`` if it is a path, else let it write."""
+    return target(records, job) if callable(target) else write_files(records, target, job)
+
+
 def labelled(records: DataFrame, label: str) -> DataFrame:
     return records.select(F.lit(label).alias("label"), "*")
 

@@ -11,19 +11,26 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Unique together and in arrival order within a partition; pass them as ``order``.
-ARRIVAL = ("timestamp", "source_topic", "partition", "offset")
+# Unique together, and the order of arrival within a partition; pass them as ``order``.
+# Records of different partitions have no common order of arrival (their timestamps are
+# usually the producers'), so a rule per device needs the topic to be keyed by device.
+ARRIVAL = ("source_topic", "partition", "offset")
 
 
 def kafka_read_options(
     servers: str | Sequence[str],
     topics: str | Sequence[str] | None = None,
     pattern: str | None = None,
-    starting: str = "latest",
     max_per_trigger: int | None = None,
+    *,
+    starting: str,
     **options: str,
 ) -> dict[str, str]:
-    """Options of a Kafka source for named topics or a name pattern."""
+    """Options of a Kafka source for named topics or a name pattern.
+
+    ``starting`` says where a first start begins: ``earliest`` reads what was recorded
+    before, ``latest`` leaves it out.
+    """
     if (topics is None) == (pattern is None):
         raise ValueError("give either topics or pattern")
     chosen = {
@@ -56,6 +63,4 @@ def text_records(records: DataFrame) -> DataFrame:
 def read_topics(spark: SparkSession, stream: bool = True, **options) -> DataFrame:
     """Topics as text; ``options`` go to :func:`kafka_read_options`."""
     reader = spark.readStream if stream else spark.read
-    if not stream:
-        options.setdefault("starting", "earliest")
     return text_records(reader.format("kafka").options(**kafka_read_options(**options)).load())

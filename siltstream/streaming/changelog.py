@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,12 +22,15 @@ def start_current_state(
     options: JobOptions,
     path: str | None = None,
     write_batch: BatchWriter | None = None,
+    compact_every: int = 20,
 ) -> StreamingQuery:
     """Keep each key's last event and hand over the keys that changed.
 
     Every micro-batch yields one row per changed key: the key fields, ``op`` and
     ``after``; deletes come as ``op = 'd'``. The default writer puts them below
-    ``path`` for :func:`read_current_state`. A table format with an upsert plugs in
+    ``path`` for :func:`read_current_state` and folds them into one base every
+    ``compact_every`` micro-batches, so that reading costs as much as the table and a few
+    batches, however long the history is. A table format with an upsert plugs in
     through ``write_batch(rows, batch_id)``, which may see a batch twice.
     """
     if (path is None) == (write_batch is None):
@@ -34,25 +38,59 @@ def start_current_state(
     use_rocksdb_state(changes.sparkSession)
     latest = latest_images(changes, keys, order).select(*keys, "last.*")
     writer = latest.writeStream.outputMode("update").foreachBatch(
-        write_batch or _updates_writer(path)
+        write_batch or _updates_writer(path, keys, compact_every)
     )
     return options.start(writer)
 
 
-def _updates_writer(path: str) -> BatchWriter:
+def _updates_writer(path: str, keys: Sequence[str], compact_every: int) -> BatchWriter:
     def write(rows: DataFrame, batch_id: int) -> None:
         # One folder per micro-batch: a repeated batch replaces its first attempt.
         rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        if (batch_id + 1) % compact_every == 0:
+            compact_current_state(rows.sparkSession, path, keys)
 
     return write
 
 
+def compact_current_state(spark: SparkSession, path: str, keys: Sequence[str]) -> None:
+    """Fold the last base and the batches after it into a new base.
+
+    A base counts from when it is complete; a compaction that was cut short leaves a folder
+    that no reader takes and the next attempt replaces. Folders it makes superfluous stay
+    for readers that have begun with them.
+    """
+    _, batches = _folders(spark, path)
+    if batches:
+        rows = _last(spark, path, keys).where(is_live())
+        rows.write.mode("overwrite").parquet(f"{path}/base={batches[-1]}")
+
+
 def read_current_state(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
     """The table's rows from the updates written so far: per key the latest batch counts."""
-    updates = spark.read.parquet(path)
-    last = (
-        updates.groupBy(*keys)
-        .agg(F.max_by(F.struct("op", "after"), "batch").alias("last"))
-        .select("last.*")
-    )
-    return last.where(is_live()).select("after.*")
+    return _last(spark, path, keys).where(is_live()).select("after.*")
+
+
+def _folders(spark: SparkSession, path: str) -> tuple[int | None, list[int]]:
+    """The last complete base, and the complete batches after it."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(path)
+    store = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found: dict[str, list[int]] = {"base": [], "batch": []}
+    for entry in store.listStatus(root):
+        kind, _, number = entry.getPath().getName().partition("=")
+        if kind in found and store.exists(hadoop.Path(entry.getPath(), "_SUCCESS")):
+            found[kind].append(int(number))
+    base = max(found["base"], default=None)
+    return base, sorted(n for n in found["batch"] if base is None or n > base)
+
+
+def _last(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
+    """Per key the last ``op`` and ``after``."""
+    base, batches = _folders(spark, path)
+    parts = [spark.read.parquet(f"{path}/batch={n}").withColumn("_batch", F.lit(n)) for n in batches]
+    if base is not None:
+        parts.append(spark.read.parquet(f"{path}/base={base}").withColumn("_batch", F.lit(base)))
+    updates = reduce(DataFrame.unionByName, parts)
+    last = F.max_by(F.struct("op", "after"), "_batch").alias("last")
+    return updates.groupBy(*keys).agg(last).select(*keys, "last.*")

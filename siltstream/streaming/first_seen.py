@@ -8,7 +8,7 @@ from typing import Any
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -24,6 +24,32 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 _GROUPS_PER_PARTITION = 16
 
 
+
+def exact_order(frame: DataFrame, order: Sequence[str]) -> list[Column]:
+    """Columns that order rows in Python just as ``order`` does in Spark.
+
+    Missing values come first, told by a column of their own, so that long integers never
+    meet a null and stay exact. Times become microseconds, for Python would see local times.
+    """
+    kinds = {field.name: field.dataType for field in frame.schema.fields}
+    columns = []
+    for k, name in enumerate(order):
+        value, kind = F.col(name), kinds[name]
+        if isinstance(kind, T.TimestampType):
+            value, kind = F.unix_micros(value), T.LongType()
+        elif isinstance(kind, T.TimestampNTZType):
+            epoch = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+            value, kind = F.expr(f"timestampdiff(MICROSECOND, {epoch}, `{name}`)"), T.LongType()
+        elif isinstance(kind, T.DateType):
+            value, kind = F.unix_date(value), T.IntegerType()
+        if isinstance(kind, T.IntegralType):
+            value = F.coalesce(value.cast("long"), F.lit(0).cast("long"))
+        elif isinstance(kind, T.StringType):
+            value = F.coalesce(value, F.lit(""))
+        columns += [F.col(name).isNotNull().alias(f"_known{k}"), value.alias(f"_value{k}")]
+    return columns
+
+
 def _nulls_first(values: Sequence[Any]) -> tuple:
     return tuple((v is not None, v) for v in values)
 
@@ -76,7 +102,8 @@ class FirstSeenProcessor(StatefulProcessor):
                 earliest, at = row, self._position(row)
             else:
                 yield self._marked(row, False)
-        self._seen.update((True,))
+        if not was_seen or self._ttl_ms is not None:
+            self._seen.update((True,))
         if earliest is not None:
             yield self._marked(earliest, True)
 
@@ -105,9 +132,13 @@ def mark_first_seen_stream(
     use_rocksdb_state(keyed.sparkSession)
     partitions = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     groups = _GROUPS_PER_PARTITION * partitions
-    candidate = keyed.withColumn("_candidate", _earliest_in_batch(F.col(key), F.struct(*order)))
+    exact = exact_order(keyed, order)
+    names = [name for k in range(len(order)) for name in (f"_known{k}", f"_value{k}")]
+    placed = keyed.select("*", *exact)
+    candidate = placed.withColumn("_candidate", _earliest_in_batch(F.col(key), F.struct(*names)))
     grouped = candidate.select(
         *keyed.columns,
+        *names,
         F.when(F.col("_candidate"), F.col(key)).alias("_key"),
         F.when(
             ~F.col("_candidate"),
@@ -117,7 +148,7 @@ def mark_first_seen_stream(
     fields = [T.StructField(f.name, f.dataType) for f in keyed.schema.fields]
     fields.append(T.StructField("first_seen", T.BooleanType()))
     return grouped.groupBy("_key", "_spread").transformWithState(
-        statefulProcessor=FirstSeenProcessor(keyed.columns, order, ttl_ms),
+        statefulProcessor=FirstSeenProcessor(keyed.columns, names, ttl_ms),
         outputStructType=T.StructType(fields),
         outputMode="append",
         timeMode="none" if ttl_ms is None else "processingTime",

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from dataclasses import dataclass, field
 
@@ -21,21 +20,13 @@ def use_rocksdb_state(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all nodes can write to, named by ``spark.checkpoint.dir``.
-
-    Only a local session may go without the setting; it gets a new temporary
-    folder, which is kept for the rest of the session.
-    """
+    """The folder all nodes can write to, named by ``spark.checkpoint.dir``."""
     folder = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(
         CHECKPOINT_DIR, None
     )
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not folder:
         raise ValueError(f"set {CHECKPOINT_DIR} to a folder shared by all nodes")
-    folder = tempfile.mkdtemp(prefix="siltstream-")
-    spark.conf.set(CHECKPOINT_DIR, folder)
-    return folder
+    return folder.rstrip("/")
 
 
 def new_folder(spark: SparkSession, label: str) -> str:

@@ -11,18 +11,23 @@ from siltstream.streaming.job import JobOptions, new_folder, shared_folder
 
 
 def test_kafka_read_options():
-    options = kafka.kafka_read_options(["a:1", "b:2"], topics=["x", "y"], max_per_trigger=9)
+    options = kafka.kafka_read_options(
+        ["a:1", "b:2"], topics=["x", "y"], max_per_trigger=9, starting="latest"
+    )
     assert options == {
         "kafka.bootstrap.servers": "a:1,b:2",
         "subscribe": "x,y",
         "startingOffsets": "latest",
         "maxOffsetsPerTrigger": "9",
     }
-    assert kafka.kafka_read_options("a:1", pattern="db.*")["subscribePattern"] == "db.*"
+    first = kafka.kafka_read_options("a:1", pattern="db.*", starting="earliest")
+    assert first["subscribePattern"] == "db.*" and first["startingOffsets"] == "earliest"
     with pytest.raises(ValueError):
-        kafka.kafka_read_options("a:1")
+        kafka.kafka_read_options("a:1", starting="latest")
     with pytest.raises(ValueError):
-        kafka.kafka_read_options("a:1", topics="x", pattern="y")
+        kafka.kafka_read_options("a:1", topics="x", pattern="y", starting="latest")
+    with pytest.raises(TypeError):
+        kafka.kafka_read_options("a:1", topics="x")
 
 
 def test_kafka_rows_are_read_as_text(spark):
