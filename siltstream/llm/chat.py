@@ -101,7 +101,9 @@ def depth_first(turns: DataFrame) -> DataFrame:
     Conversations are sorted by the nodes they share with others. Those that pass through a
     node are neighbours then, so its subtree is contiguous. Equal keys follow the id.
     """
+    # Written, so that the join's sides are plain shuffles and a hot first turn is split.
     shared = turns.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node")
+    shared = saved(shared, "shared")
     path = F.array_sort(F.collect_list(F.struct("depth", F.hex("node").alias("node"))))
     keys = turns.select("conv_id", "depth", "node").join(shared, "node").groupBy("conv_id").agg(path.alias("path"))
     keys = keys.select("conv_id", F.array_join("path.node", "").alias("key"))
@@ -203,7 +205,7 @@ def format_conversations(conversations: DataFrame, tokenizer: str = BYTE_BPE) ->
     ranks = saved(depth_first(turns), "ranks")
     same = turns["conv_id"].eqNullSafe(ranks["conv_id"])
     ranked = turns.join(ranks, same).select(turns["*"], "rank")
-    owners = ranked.groupBy("node").agg(F.min("rank").alias("owner"))
+    owners = saved(ranked.groupBy("node").agg(F.min("rank").alias("owner")), "owners")
     ranked = saved(ranked.join(owners, "node").withColumn("own", F.col("rank") == F.col("owner")), "ranked")
     nodes = ranked.where("own").select("rank", "depth", "node", "role", "text")
     nodes = nodes.repartitionByRange("rank", "depth").sortWithinPartitions("rank", "depth")
