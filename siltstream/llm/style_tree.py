@@ -35,6 +35,7 @@ BLOCKS = frozenset(
 NOISE = frozenset("head nav footer aside form menu button select dialog label fieldset search option svg canvas audio video object template".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table tbody thead tfoot tr td th caption figure figcaption address".split())
 MAIN = frozenset(["article", "main"])
+PLAIN = PROSE | {"html", "body", "div", "section"}
 CLOSES = {
     "li": frozenset(["li"]),
     "dt": frozenset(["dt", "dd"]),
@@ -46,13 +47,16 @@ CLOSES = {
 }
 LISTS = frozenset("ul ol dl table tbody thead tfoot select article section div body main".split())
 NOISE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie"
-    " cookies consent dialog disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice"
-    " overlay pagination pager popup promo promoted promotion recommended related search share sharing sidebar"
-    " signup skip social sponsor sponsored subscribe tags toolbar topbar widget"
-    " alert banner complementary contentinfo form".split()
+    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments"
+    " complementary contentinfo cookie cookies consent dialog disqus footer gdpr masthead menu modal nav navbar"
+    " navigation newsletter notice notices overlay pagination pager popup promo promoted promotion recommended"
+    " sidebar sidebars signup skip sponsor sponsored subscribe topbar".split()
 )
+#: These say noise only if no word of MAIN_WORDS stands beside them.
+WEAK_WORDS = frozenset("alert form forms login related search share sharing social tags toolbar widget".split())
 MAIN_WORDS = frozenset("article body content entry main post story text".split())
+#: A class that begins so tells of something else on the page.
+ELSEWHERE = frozenset("has no with without is not".split())
 
 TAG = re.compile(
     r"<!--(?:.*?--!?>|.*\Z)|<[!?][^>]*(?:>|\Z)|</?([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.DOTALL
@@ -74,23 +78,29 @@ class Node:
     children: list[str]
 
 
-def marked(tag: str, attributes: str) -> tuple[str, bool]:
-    """The name of an element in a path, and whether its marks say that it is noise."""
+def marked(tag: str, attributes: str) -> tuple[str, bool, bool]:
+    """The name of an element in a path, and whether its marks say that it is noise or the
+    main part of the page."""
     if not attributes or "=" not in attributes and "hidden" not in attributes.lower():
-        return tag, False
-    name, noise = tag, False
+        return tag, False, tag in MAIN
+    name, noise, main = tag, False, tag in MAIN
     for key, value in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
         if key in ("class", "id", "role"):
-            words = set(WORDS.findall(value))
-            noise |= bool(words & NOISE_WORDS) and not words & MAIN_WORDS
+            main |= key == "role" and value in MAIN
+            words: set[str] = set()
+            for part in value.split():
+                found = WORDS.findall(part)
+                if found and found[0] not in ELSEWHERE:
+                    words.update(found)
+            noise |= bool(words & NOISE_WORDS) or bool(words & WEAK_WORDS) and not (main or words & MAIN_WORDS)
             if key == "class" and value:
                 name = f"{tag}.{'.'.join(sorted(value.split()))}"[:80]
         elif key == "hidden" or key == "aria-hidden" and value == "true":
             noise = True
         elif key == "style" and HIDDEN.search(value):
             noise = True
-    return name, noise
+    return name, noise, main
 
 
 def walk(page: str) -> tuple[list[tuple[str, str, bool, bool]], Counter]:
@@ -162,7 +172,7 @@ def walk(page: str) -> tuple[list[tuple[str, str, bool, bool]], Counter]:
             stop = page.find(">", at) if close else -1
             at = stop + 1 if stop >= 0 else end
             continue
-        name, noise = marked(tag, found[2])
+        name, noise, is_main = marked(tag, found[2])
         if tag not in BLOCKS and not noise and tag not in NOISE:
             continue  # inline markup
         if tag in EMPTY or found[2].endswith("/") and tag not in BLOCKS:
@@ -180,8 +190,8 @@ def walk(page: str) -> tuple[list[tuple[str, str, bool, bool]], Counter]:
         top = stack[-1]
         top.children.append(name)
         outside = tag == "header" and not top.main
-        noise = top.noise or noise and tag not in MAIN and tag != "body" or tag in NOISE or outside
-        main = (top.main or tag in MAIN) and not noise
+        noise = top.noise or noise and tag != "body" or tag in NOISE or outside
+        main = (top.main or is_main) and not noise
         stack.append(Node(tag, f"{top.path}/{name}", noise, main, []))
     end_block()
     pop(len(stack))
@@ -281,8 +291,8 @@ def main_text(page: str, branches: frozenset[str]) -> str:
     """The text blocks of a page that are in no low branch and in no marked noise, joined by
     line breaks; only those of the marked article if the page has one with text.
 
-    Paragraphs, headings, lists and tables of a marked article are its text whatever their
-    importance, for a site may print the same article many times.
+    Paragraphs, headings, lists, tables and plain divisions of a marked article are its text
+    whatever their importance, for a site may print the same article many times.
     """
     low: dict[str, bool] = {}
 
@@ -291,7 +301,7 @@ def main_text(page: str, branches: frozenset[str]) -> str:
             parts, bad = path.split("/"), False
             for k in range(2, len(parts) + 1):
                 tag = parts[k - 1]
-                if main and (tag.split(".")[0] in MAIN or tag in PROSE or k == 2 or tag == "body"):
+                if main and (tag in PLAIN or MAIN_WORDS.intersection(WORDS.findall(tag))):
                     continue
                 bad |= "/".join(parts[:k]) in branches
             low[path] = bad

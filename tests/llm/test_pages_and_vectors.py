@@ -94,6 +94,16 @@ def test_blocks_of_a_page():
     assert style_tree.main_text('<div hidden>x</div><p style="display: none">y</p>z', frozenset()) == "z"
 
 
+def test_marks_of_noise_and_of_the_article():
+    def text(body):
+        return style_tree.main_text(f"<html><body class='has-sidebar'>{body}", frozenset())
+
+    assert text('<article class="post no-sidebar"><p>a</p><div class="post-comments"><article class="comment"><p>hi</p></article></div></article>') == "a"
+    assert text('<div role="main"><p>a</p><div class="share-post">x</div></div><p>outside</p>') == "a\nx"
+    assert text('<p>a</p><div id="search"><p>find</p></div><div class="ad-body">buy</div>') == "a"
+    assert text('<header><h1>site</h1></header><article><header><h1>t</h1></header><p>b</p><footer>f</footer></article>') == "t\nb"
+
+
 def site(host, count, rng):
     """Pages whose frame says nothing of its kind: only the tree can tell."""
     words = [f"w{k}" for k in range(500)]
