@@ -158,6 +158,13 @@ def log_page_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _route(spark, sf_dir, L.PAGE_TOPIC).select("event_id", "value")
 
 
+def log_page_odd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page records whose text must be edited and otherwise kept to the character."""
+    parsed = L.parse_logs(X.odd_logs(spark, sf_dir))
+    routed = L.route_of(L.correct_is_new(parsed, ["event_id"]), L.PAGE_TOPIC)
+    return routed.select("event_id", "value")
+
+
 def log_display_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _route(spark, sf_dir, L.DISPLAY_TOPIC).select("event_id", "position", "value")
 
@@ -349,6 +356,7 @@ QUERIES: dict[str, Query] = {
         log_is_new_stream,
         log_start_route,
         log_page_route,
+        log_page_odd,
         log_display_route,
         log_topic_fanout,
         log_topic_fanout_stream,

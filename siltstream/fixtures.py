@@ -72,6 +72,18 @@ def app_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log_columns(spread(table(spark, sf_dir, "events"), "event_id"))
 
 
+def odd_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page log per event with null members, a number of more than 50 digits, one with a
+    zero at its end, the word null in a text, and on every third a line break."""
+    events = spread(table(spark, sf_dir, "events"), "event_id")
+    return events.selectExpr(
+        "event_id",
+        """concat('{"common":{"mid":"mid_', user_id, '","is_new":"0"},"gone":null,',
+             if(event_id % 3 = 0, '\n ', ''), '"page":{"long":', repeat('1234567890', 5), event_id,
+             ',"m":1.50,"note":"a null","z":null}}') AS value""",
+    )
+
+
 def _envelope(name: str, op: str, before: str, after: str, ts_ms: str) -> str:
     return f"""to_json(named_struct(
       'before', {before},

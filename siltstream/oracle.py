@@ -207,6 +207,10 @@ FROM conversations""",
     "log_is_new_stream": _IS_NEW,
     "log_start_route": f"WITH {_ROUTES} SELECT event_id, value FROM started",
     "log_page_route": f"WITH {_ROUTES} SELECT event_id, value FROM paged",
+    "log_page_odd": """
+SELECT event_id, '{"common":{"mid":"mid_' || user_id || '","is_new":"0"},"page":{"long":'
+       || repeat('1234567890', 5) || event_id || ',"m":1.50,"note":"a null"}}' AS value
+FROM events""",
     "log_display_route": f"WITH {_ROUTES} SELECT event_id, position, value FROM shown",
     "log_topic_fanout": _FANOUT,
     "log_topic_fanout_stream": _FANOUT,
