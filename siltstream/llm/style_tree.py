@@ -204,37 +204,62 @@ def hostname(url: Column) -> Column:
     return F.lower(F.coalesce(found, F.lit("")))
 
 
-def features(pages: DataFrame) -> DataFrame:
-    """``(host, path, kind, feature, n)``: how often an element of the path has a content
-    (kind 0: the hash of a text block) or a presentation (kind 1: that of its children).
-    Counted per task first."""
+def distinct_pages(pages: DataFrame) -> DataFrame:
+    """``(host, hash, copies, all_copies)``: how many pages of a host and of all hosts have
+    the same payload."""
+    rows = pages.select(hostname(F.col("url")).alias("host"), payload_hash().alias("hash"))
+    found = saved(rows.groupBy("host", "hash").agg(F.count("*").alias("copies")), "payloads")
+    whole = saved(found.groupBy("hash").agg(F.sum("copies").alias("all_copies")), "all_payloads")
+    return saved(found.join(whole, "hash").select("host", "hash", "copies", "all_copies"), "copies")
+
+
+def payload_hash() -> Column:
+    return F.xxhash64(F.coalesce("html", F.lit("")))
+
+
+def features(pages: DataFrame, distinct: DataFrame) -> DataFrame:
+    """``(host, path, kind, feature, n, all_n)``: how often an element of the path has a
+    content (kind 0: the hash of a text block) or a presentation (kind 1: that of its
+    children). Equal pages of a host count once in ``n``, those of all hosts once in
+    ``all_n``: each of c copies counts 1 / c. Counted per task first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
+        all_counts: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
             host, path, kind, feature = zip(*counts) if counts else ([], [], [], [])
             out = {"host": pa.array(host, pa.string()), "path": pa.array(path, pa.string())}
             out |= {"kind": pa.array(kind, pa.int32()), "feature": pa.array(feature, pa.int64())}
-            out |= {"n": pa.array(counts.values(), pa.int64())}
-            counts.clear()
+            out |= {"n": pa.array(counts.values(), pa.float64())}
+            out |= {"all_n": pa.array([all_counts[key] for key in counts], pa.float64())}
+            for kept in (counts, all_counts):
+                kept.clear()
             return pa.RecordBatch.from_pydict(out)
 
         for batch in batches:
-            for host, page in zip(batch.column(0), batch.column(1)):
+            shares = [(1 / (c or 1), 1 / (a or 1)) for c, a in zip(*(batch.column(k).to_pylist() for k in (2, 3)))]
+            for host, page, (share, all_share) in zip(batch.column(0), batch.column(1), shares):
                 host, (blocks, styles) = host.as_py(), walk(page.as_py() or "")
                 # A content counts once in a page, a presentation for each element.
                 for path, text in {(path, text) for path, text, _, _ in blocks}:
-                    counts[host, path, 0, signed(text)] += 1
+                    counts[host, path, 0, signed(text)] += share
+                    all_counts[host, path, 0, signed(text)] += all_share
                 for (path, children), n in styles.items():
-                    counts[host, path, 1, signed(children)] += n
+                    counts[host, path, 1, signed(children)] += n * share
+                    all_counts[host, path, 1, signed(children)] += n * all_share
                 if len(counts) > MOST_FEATURES:
                     yield flush()
         yield flush()
 
-    rows = pages.select(hostname(F.col("url")).alias("host"), "html")
-    found = rows.mapInArrow(run, "host string, path string, kind int, feature long, n long")
-    return found.groupBy("host", "path", "kind", "feature").agg(F.sum("n").alias("n"))
+    rows = pages.select(hostname(F.col("url")).alias("host"), "html", payload_hash().alias("hash"))
+    several = distinct.where("all_copies > 1")
+    rows = rows.join(several, ["host", "hash"], "left").select("host", "html", "copies", "all_copies")
+    found = rows.mapInArrow(run, "host string, path string, kind int, feature long, n double, all_n double")
+    # Shares of copies add up to whole numbers, but for the last digits.
+    return found.groupBy("host", "path", "kind", "feature").agg(
+        F.round(F.sum("n"), 6).alias("n"), F.sum("all_n").alias("all_n")
+    )
 
 
 def signed(text: str) -> int:
@@ -248,11 +273,13 @@ def noise_branches(pages: DataFrame, important: float = IMPORTANT, prior_pages:
     The importance of a content that d of m pages have at a path falls with its entropy,
     log d over log m, and a path's is the mean over what stands there and below. A
     presentation's is the entropy of the sequences of children, for menus and frames look the
-    same everywhere. The tree of all hosts together stands in for hosts of few pages.
+    same everywhere. Copies of a page count once, so that they neither lower the importance
+    of their article nor raise m. The tree of all hosts together stands in for hosts of few pages.
     """
-    found = saved(features(pages), "features")
-    sizes = pages.groupBy(hostname(F.col("url")).alias("host")).agg(F.count("*").alias("m"))
-    whole = found.groupBy("path", "kind", "feature").agg(F.sum("n").alias("n"))
+    distinct = distinct_pages(pages)
+    found = saved(features(pages, distinct), "features")
+    sizes = distinct.groupBy("host").agg(F.count("*").alias("m"))
+    whole = found.groupBy("path", "kind", "feature").agg(F.round(F.sum("all_n"), 6).alias("n"))
 
     def sums(rows: DataFrame, *keys: str) -> DataFrame:
         """Total and n log n of a path, contents with those of all paths below."""
@@ -276,7 +303,8 @@ def noise_branches(pages: DataFrame, important: float = IMPORTANT, prior_pages:
         mixed = F.coalesce("content", F.lit(1.0)) * (1 - PRESENTATION) + PRESENTATION * F.coalesce("style", "content", F.lit(1.0))
         return both.where("content is not null").select(*keys, "path", mixed.alias("value"))
 
-    pages_of_all = sizes.agg(F.sum("m").alias("all_m"))
+    # Pages that several hosts have are one here.
+    pages_of_all = distinct.agg(F.round(F.sum(F.col("copies") / F.col("all_copies"))).alias("all_m"))
     own = sums(found, "host").join(sizes, "host")
     own = importance(own, F.col("m").cast("double"), "host", "m")
     other = sums(whole).crossJoin(F.broadcast(pages_of_all))  # a single number
@@ -322,7 +350,7 @@ def extract(pages: DataFrame) -> DataFrame:
     break; character references are decoded. Nothing else is dropped or cut.
 
     A null or empty page has an empty text. Pages without a host share the tree of the empty
-    host. Repeated rows keep a row each and count each for itself. Null ids and URLs stay
+    host. Repeated rows and copies of a page keep a row each and count once in the tree. Null ids and URLs stay
     null. An empty table gives no rows; other columns are not read.
     """
     noise = noise_branches(pages).withColumnRenamed("host", "_host")

@@ -131,6 +131,18 @@ def test_an_article_printed_many_times_stays(spark):
     assert {r.text for r in style_tree.extract(table).collect()} == {"title\nthe same text"}
 
 
+def test_copies_of_a_page_are_one_page_of_the_tree(spark):
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(500)]
+    pages = [f"<html><body><div><p>{' '.join(rng.choices(words, k=12))}</p></div></body></html>" for _ in range(31)]
+    rows = [("http://hot/", pages[0])] * 70 + [("http://hot/", page) for page in pages[1:]]
+    rows += [("http://one/", pages[0])] * 80 + [(f"http://mirror{k}/", pages[0]) for k in range(40)]
+    got = style_tree.extract(pages_of(spark, [(k, *row) for k, row in enumerate(rows)])).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.text == rows[r.page_id][1].split("<p>")[1].split("<")[0]
+
+
 # --- nearest
 
 
