@@ -19,6 +19,8 @@ from siltstream.llm.shared import saved
 IMPORTANT = 0.4
 #: Pages of all hosts that weigh as much as so many pages of the host itself.
 PRIOR_PAGES = 50
+#: Pages as whose finding the marks of an article weigh: 1 inside, 0 outside of it.
+MARK_PAGES = 25
 #: Share of a branch's importance that its presentation has; its content has the rest.
 PRESENTATION = 0.1
 #: Features a task holds before it passes their counts on.
@@ -33,9 +35,7 @@ BLOCKS = frozenset(
     " search section select summary table tbody td tfoot th thead tr ul button label".split()
 )
 NOISE = frozenset("head nav footer aside form menu button select dialog label fieldset search option svg canvas audio video object template".split())
-PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table tbody thead tfoot tr td th caption figure figcaption address".split())
 MAIN = frozenset(["article", "main"])
-PLAIN = PROSE | {"html", "body", "div", "section"}
 CLOSES = {
     "li": frozenset(["li"]),
     "dt": frozenset(["dt", "dd"]),
@@ -100,7 +100,8 @@ def marked(tag: str, attributes: str) -> tuple[str, bool, bool]:
             noise = True
         elif key == "style" and HIDDEN.search(value):
             noise = True
-    return name, noise, main
+    # What a role marks is not merged with bare elements of the same name.
+    return name + "[main]" * (main and tag not in MAIN), noise, main
 
 
 def walk(page: str) -> tuple[list[tuple[str, str, bool, bool]], Counter]:
@@ -218,14 +219,16 @@ def payload_hash() -> Column:
 
 
 def features(pages: DataFrame, distinct: DataFrame) -> DataFrame:
-    """``(host, path, kind, feature, n, all_n)``: how often an element of the path has a
-    content (kind 0: the hash of a text block) or a presentation (kind 1: that of its
-    children). Equal pages of a host count once in ``n``, those of all hosts once in
+    """``(host, path, kind, feature, n, all_n, inside, outside)``: how often an element of the
+    path has a content (kind 0: :func:`content_hash`) or a presentation (kind 1: the hash of
+    its children), and how many contents are inside and outside of a marked article. Equal pages of a host count once in ``n``, those of all hosts once in
     ``all_n``: each of c copies counts 1 / c. Counted per task first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
         all_counts: Counter = Counter()
+        inside: Counter = Counter()
+        outside: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
             host, path, kind, feature = zip(*counts) if counts else ([], [], [], [])
@@ -233,7 +236,9 @@ def features(pages: DataFrame, distinct: DataFrame) -> DataFrame:
             out |= {"kind": pa.array(kind, pa.int32()), "feature": pa.array(feature, pa.int64())}
             out |= {"n": pa.array(counts.values(), pa.float64())}
             out |= {"all_n": pa.array([all_counts[key] for key in counts], pa.float64())}
-            for kept in (counts, all_counts):
+            out |= {"inside": pa.array([float(inside[key]) for key in counts], pa.float64())}
+            out |= {"outside": pa.array([float(outside[key]) for key in counts], pa.float64())}
+            for kept in (counts, all_counts, inside, outside):
                 kept.clear()
             return pa.RecordBatch.from_pydict(out)
 
@@ -242,9 +247,13 @@ def features(pages: DataFrame, distinct: DataFrame) -> DataFrame:
             for host, page, (share, all_share) in zip(batch.column(0), batch.column(1), shares):
                 host, (blocks, styles) = host.as_py(), walk(page.as_py() or "")
                 # A content counts once in a page, a presentation for each element.
-                for path, text in {(path, text) for path, text, _, _ in blocks}:
-                    counts[host, path, 0, signed(text)] += share
-                    all_counts[host, path, 0, signed(text)] += all_share
+                marked_article = any(main for _, _, noise, main in blocks if not noise)
+                for (path, text), main in {(path, text): main for path, text, _, main in blocks}.items():
+                    key = host, path, 0, content_hash(path, text)
+                    counts[key] += share
+                    all_counts[key] += all_share
+                    if marked_article:
+                        (inside if main else outside)[key] += share
                 for (path, children), n in styles.items():
                     counts[host, path, 1, signed(children)] += n * share
                     all_counts[host, path, 1, signed(children)] += n * all_share
@@ -255,40 +264,49 @@ def features(pages: DataFrame, distinct: DataFrame) -> DataFrame:
     rows = pages.select(hostname(F.col("url")).alias("host"), "html", payload_hash().alias("hash"))
     several = distinct.where("all_copies > 1")
     rows = rows.join(several, ["host", "hash"], "left").select("host", "html", "copies", "all_copies")
-    found = rows.mapInArrow(run, "host string, path string, kind int, feature long, n double, all_n double")
+    found = rows.mapInArrow(run, "host string, path string, kind int, feature long, n double, all_n double, inside double, outside double")
     # Shares of copies add up to whole numbers, but for the last digits.
     return found.groupBy("host", "path", "kind", "feature").agg(
-        F.round(F.sum("n"), 6).alias("n"), F.sum("all_n").alias("all_n")
+        F.round(F.sum("n"), 6).alias("n"), *[F.sum(c).alias(c) for c in ("all_n", "inside", "outside")]
     )
 
 
+def content_hash(path: str, text: str) -> int:
+    """Names a content where it stands."""
+    return signed(f"{path}\n{text}")
+
+
 def signed(text: str) -> int:
     value = xxhash.xxh64_intdigest(text.encode("utf-8", "replace"))
     return value - (1 << 64) if value >> 63 else value
 
 
 def noise_branches(pages: DataFrame, important: float = IMPORTANT, prior_pages: float = PRIOR_PAGES) -> DataFrame:
-    """``(host, branches)``: the paths of each host's style tree that are of low importance.
+    """``(host, branches)``: the paths of each host's style tree that are of low importance
+    with all paths below, and the :func:`content_hash` of single contents that are.
 
     The importance of a content that d of m pages have at a path falls with its entropy,
     log d over log m, and a path's is the mean over what stands there and below. A
     presentation's is the entropy of the sequences of children, for menus and frames look the
     same everywhere. Copies of a page count once, so that they neither lower the importance
-    of their article nor raise m. The tree of all hosts together stands in for hosts of few pages.
+    of their article nor raise m. The tree of all hosts together stands in for hosts of few pages. The
+    marks of an article are a prior: they weigh as :data:`MARK_PAGES` pages that find what is
+    inside important and what is outside not, so on hosts of many pages the tree decides.
     """
     distinct = distinct_pages(pages)
     found = saved(features(pages, distinct), "features")
     sizes = distinct.groupBy("host").agg(F.count("*").alias("m"))
-    whole = found.groupBy("path", "kind", "feature").agg(F.round(F.sum("all_n"), 6).alias("n"))
+    marks = [F.sum(c).alias(c) for c in ("inside", "outside")]
+    whole = found.groupBy("path", "kind", "feature").agg(F.round(F.sum("all_n"), 6).alias("n"), *marks)
 
     def sums(rows: DataFrame, *keys: str) -> DataFrame:
         """Total and n log n of a path, contents with those of all paths below."""
         steps = F.when(F.col("kind") == 0, F.sequence(F.lit(2), F.size("parts"))).otherwise(F.array(F.size("parts")))
-        part = rows.groupBy(*keys, "path", "kind").agg(F.sum("n").alias("s"), F.sum(F.col("n") * F.log("n")).alias("l"))
+        part = rows.groupBy(*keys, "path", "kind").agg(F.sum("n").alias("s"), F.sum(F.col("n") * F.log("n")).alias("l"), *marks)
         part = part.withColumn("parts", F.split("path", "/")).where(F.size("parts") > 1)
         part = part.withColumn("step", F.explode(steps))
         part = part.withColumn("path", F.array_join(F.slice("parts", F.lit(1), F.col("step")), "/"))
-        return part.groupBy(*keys, "path", "kind").agg(F.sum("s").alias("s"), F.sum("l").alias("l"))
+        return part.groupBy(*keys, "path", "kind").agg(F.sum("s").alias("s"), F.sum("l").alias("l"), *marks)
 
     def importance(rows: DataFrame, m: Column, *keys: str) -> DataFrame:
         """Both kinds side by side; 1 where a single page says nothing."""
@@ -299,44 +317,66 @@ def noise_branches(pages: DataFrame, important: float = IMPORTANT, prior_pages:
         both = rows.withColumn("value", value).groupBy(*keys, "path").agg(
             F.max(F.when(F.col("kind") == 0, F.col("value"))).alias("content"),
             F.max(F.when(F.col("kind") == 1, F.col("value"))).alias("style"),
+            *marks,
         )
         mixed = F.coalesce("content", F.lit(1.0)) * (1 - PRESENTATION) + PRESENTATION * F.coalesce("style", "content", F.lit(1.0))
-        return both.where("content is not null").select(*keys, "path", mixed.alias("value"))
+        return both.where("content is not null").select(*keys, "path", mixed.alias("value"), "inside", "outside")
 
     # Pages that several hosts have are one here.
     pages_of_all = distinct.agg(F.round(F.sum(F.col("copies") / F.col("all_copies"))).alias("all_m"))
     own = sums(found, "host").join(sizes, "host")
     own = importance(own, F.col("m").cast("double"), "host", "m")
     other = sums(whole).crossJoin(F.broadcast(pages_of_all))  # a single number
-    other = importance(other, F.col("all_m").cast("double")).withColumnRenamed("value", "other")
-    both = own.join(other, "path")
-    value = (F.col("m") * F.col("value") + prior_pages * F.col("other")) / (F.col("m") + prior_pages)
-    low = both.where(value < important).groupBy("host").agg(F.collect_set("path").alias("branches"))
-    return saved(low, "branches")
+    other = importance(other, F.col("all_m").cast("double"), "all_m").withColumnRenamed("value", "other")
+
+    def blended(m: Column, all_m: Column) -> Column:
+        weight = F.least(F.lit(prior_pages), all_m)
+        marks = F.col("inside") + F.col("outside")
+        mark = F.when(marks > 0, F.lit(MARK_PAGES)).otherwise(0)
+        inside = F.when(marks > 0, F.col("inside") / marks).otherwise(0.0)
+        return (m * F.col("value") + weight * F.col("other") + mark * inside) / (m + weight + mark)
+
+    both = own.join(other.drop("inside", "outside"), "path").withColumn("value", blended(F.col("m"), F.col("all_m")))
+    # A path with an important one below it is not noise as a whole.
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
+    best = both.select("host", "value", F.explode(above).alias("branch")).groupBy("host", "branch")
+    low = best.agg(F.max("value").alias("value")).where(F.col("value") < important).select("host", "branch")
+
+    # A content that many pages have at a path is a leaf of its own, whatever else is there.
+    many = whole.where("kind = 0 and n > 1").select("path", "feature", F.col("n").alias("all_n"))
+    leaves = found.where("kind = 0").drop("all_n").join(many, ["path", "feature"]).join(sizes, "host").crossJoin(F.broadcast(pages_of_all))
+
+    def single(n: str, m: str) -> Column:
+        return F.when(F.col(m) <= 1, 1.0).otherwise(1 - F.log(n) / F.log(F.col(m).cast("double")))
+
+    leaves = leaves.withColumn("value", single("n", "m")).withColumn("other", single("all_n", "all_m"))
+    leaves = leaves.where(blended(F.col("m"), F.col("all_m")) < important)
+    low = low.union(leaves.select("host", F.col("feature").cast("string")))
+    return saved(low.groupBy("host").agg(F.collect_set("branch").alias("branches")), "branches")
 
 
-def main_text(page: str, branches: frozenset[str]) -> str:
-    """The text blocks of a page that are in no low branch and in no marked noise, joined by
-    line breaks; only those of the marked article if the page has one with text.
+def main_text(page: str, branches: frozenset[str], decided: bool = False) -> str:
+    """The text blocks of a page that are in no low branch, no low content and in no marked
+    noise, joined by line breaks.
 
-    Paragraphs, headings, lists, tables and plain divisions of a marked article are its text
-    whatever their importance, for a site may print the same article many times.
+    Without a tree that has ``decided`` on them, blocks outside the marked article of a page
+    that has one with text are left out.
     """
     low: dict[str, bool] = {}
 
-    def in_low(path: str, main: bool) -> bool:
+    def in_low(path: str) -> bool:
         if path not in low:
-            parts, bad = path.split("/"), False
-            for k in range(2, len(parts) + 1):
-                tag = parts[k - 1]
-                if main and (tag in PLAIN or MAIN_WORDS.intersection(WORDS.findall(tag))):
-                    continue
-                bad |= "/".join(parts[:k]) in branches
-            low[path] = bad
+            parts = path.split("/")
+            low[path] = any("/".join(parts[:k]) in branches for k in range(2, len(parts) + 1))
         return low[path]
 
-    kept = [(text, main) for path, text, noise, main in walk(page)[0] if not noise and not in_low(path, main)]
-    if any(main for _, main in kept):
+    kept = [
+        (text, main)
+        for path, text, noise, main in walk(page)[0]
+        if not noise and not (branches and (in_low(path) or str(content_hash(path, text)) in branches))
+    ]
+    if not decided and any(main for _, main in kept):
         kept = [entry for entry in kept if entry[1]]
     return "\n".join(text for text, _ in kept)
 
@@ -345,8 +385,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """``page_id``, ``url``, ``text`` and ``n_chars`` of every page.
 
     The pages of each host are merged in a style tree, whose branches of low importance are
-    noise (:func:`noise_branches`); marks such as nav, aside, form or class="ad" say so
-    directly. Inside a block, white space becomes one space; blocks are joined by one line
+    noise (:func:`noise_branches`), inside a marked article and outside of it; marks such as
+    nav, aside, form or class="ad" say so directly. Inside a block, white space becomes one space; blocks are joined by one line
     break; character references are decoded. Nothing else is dropped or cut.
 
     A null or empty page has an empty text. Pages without a host share the tree of the empty
@@ -364,7 +404,7 @@ def extract(pages: DataFrame) -> DataFrame:
                     key = tuple(branches or ())
                     if key not in sets:
                         sets[key] = frozenset(key)
-                    texts.append(main_text(page.as_py() or "", sets[key]))
+                    texts.append(main_text(page.as_py() or "", sets[key], decided=True))
                 sizes = pa.array([len(text) for text in texts], pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(texts, pa.string()), sizes],

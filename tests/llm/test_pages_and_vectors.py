@@ -143,6 +143,24 @@ def test_copies_of_a_page_are_one_page_of_the_tree(spark):
         assert r.text == rows[r.page_id][1].split("<p>")[1].split("<")[0]
 
 
+def test_importance_decides_inside_and_outside_of_marked_articles(spark):
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(500)]
+    rows, want = [], []
+    for k in range(80):
+        a, b, c = (" ".join(rng.choices(words, k=12)) for _ in range(3))
+        rows.append(
+            f"<html><body><ul>{'<li>menu' * 9}</ul><article><h1>{a}</h1><p>{b}</p><p>Licence of this site</p></article>"
+            f'<div class="more"><p>{c}</p></div><div class="legal"><p>All rights</p></div></body></html>'
+        )
+        want.append(f"{a}\n{b}\n{c}")
+    got = style_tree.extract(pages_of(spark, [(k, f"http://h/{k}", html) for k, html in enumerate(rows)])).collect()
+    assert [r.text for r in sorted(got)] == want
+    # One page says nothing of its kind: its marks decide.
+    (one,) = style_tree.extract(pages_of(spark, [(1, "http://h/", "<article><p>a</p></article><p>b</p>")])).collect()
+    assert one.text == "a"
+
+
 # --- nearest
 
 
