@@ -66,24 +66,36 @@ WORDS = re.compile(r"[a-z]+")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
+@dataclass(slots=True)
+class Mark:
+    """A word that says an element is noise. It counts until the article is found below, and
+    beside a word of MAIN_WORDS only if no block is below at all; else the tree decides."""
+
+    beside: bool
+    lifted: bool = False
+
+
 @dataclass(slots=True)
 class Node:
-    """An open element: its style path, and whether it lies in noise by its own marks or in
-    the marked article."""
+    """An open element: its style path, whether it lies in noise by its kind or in the marked
+    article, and the marks on it and above."""
 
     tag: str
     path: str
     noise: bool
     main: bool
     children: list[str]
+    marks: tuple[Mark, ...] = ()
 
 
-def marked(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """The name of an element in a path, and whether its marks say that it is noise or the
-    main part of the page."""
+def marked(tag: str, attributes: str) -> tuple[str, bool, bool, Mark | None]:
+    """The name of an element in a path, whether it is hidden, whether it is the main part of
+    the page, and the mark of a word of noise, if no name beside it is one of the article."""
     if not attributes or "=" not in attributes and "hidden" not in attributes.lower():
-        return tag, False, tag in MAIN
-    name, noise, main = tag, False, tag in MAIN
+        return tag, False, tag in MAIN, None
+    name, noise, main, mark = tag, False, tag in MAIN, None
+    said: set[str] = set()
+    plain = False
     for key, value in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
         if key in ("class", "id", "role"):
@@ -93,15 +105,20 @@ def marked(tag: str, attributes: str) -> tuple[str, bool, bool]:
                 found = WORDS.findall(part)
                 if found and found[0] not in ELSEWHERE:
                     words.update(found)
-            noise |= bool(words & NOISE_WORDS) or bool(words & WEAK_WORDS) and not (main or words & MAIN_WORDS)
+                    plain |= MAIN_WORDS.issuperset(found)
+            if words & NOISE_WORDS or words & WEAK_WORDS and not (main or words & MAIN_WORDS):
+                mark = Mark(False)
+            said |= words
             if key == "class" and value:
                 name = f"{tag}.{'.'.join(sorted(value.split()))}"[:80]
         elif key == "hidden" or key == "aria-hidden" and value == "true":
             noise = True
         elif key == "style" and HIDDEN.search(value):
             noise = True
+    if mark:
+        mark = None if plain else Mark(bool(said & MAIN_WORDS))
     # What a role marks is not merged with bare elements of the same name.
-    return name + "[main]" * (main and tag not in MAIN), noise, main
+    return name + "[main]" * (main and tag not in MAIN), noise, main, mark
 
 
 def walk(page: str) -> tuple[list[tuple[str, str, bool, bool]], Counter]:
@@ -113,7 +130,7 @@ def walk(page: str) -> tuple[list[tuple[str, str, bool, bool]], Counter]:
     comment at the end of a page is dropped.
     """
     stack = [Node("", "", False, False, [])]
-    blocks: list[tuple[str, str, bool, bool]] = []
+    blocks: list[tuple[str, str, Node]] = []
     styles: Counter = Counter()
     text: list[str] = []
 
@@ -124,7 +141,7 @@ def walk(page: str) -> tuple[list[tuple[str, str, bool, bool]], Counter]:
             joined = " ".join((entities.unescape(joined) if "&" in joined else joined).split())
             if joined:
                 top = stack[-1]
-                blocks.append((top.path, joined, top.noise, top.main))
+                blocks.append((top.path, joined, top))
 
     def pop(count: int) -> None:
         for _ in range(count):
@@ -173,8 +190,8 @@ def walk(page: str) -> tuple[list[tuple[str, str, bool, bool]], Counter]:
             stop = page.find(">", at) if close else -1
             at = stop + 1 if stop >= 0 else end
             continue
-        name, noise, is_main = marked(tag, found[2])
-        if tag not in BLOCKS and not noise and tag not in NOISE:
+        name, noise, is_main, mark = marked(tag, found[2])
+        if tag not in BLOCKS and not noise and not mark and tag not in NOISE:
             continue  # inline markup
         if tag in EMPTY or found[2].endswith("/") and tag not in BLOCKS:
             if tag in BLOCKS:
@@ -193,10 +210,20 @@ def walk(page: str) -> tuple[list[tuple[str, str, bool, bool]], Counter]:
         outside = tag == "header" and not top.main
         noise = top.noise or noise and tag != "body" or tag in NOISE or outside
         main = (top.main or is_main) and not noise
-        stack.append(Node(tag, f"{top.path}/{name}", noise, main, []))
+        nested = is_main and any(node.tag == "article" for node in stack)
+        found_article = is_main and not nested and not (top.main and mark)
+        for above in top.marks:
+            above.lifted |= found_article or above.beside and tag in BLOCKS
+        # The article itself, and what holds the whole page, are not noise by a word.
+        own = mark and tag not in ("html", "body") and (nested or not is_main)
+        stack.append(Node(tag, f"{top.path}/{name}", noise, main, [], (*top.marks, mark) if own else top.marks))
     end_block()
     pop(len(stack))
-    return blocks, styles
+    out = []
+    for path, joined, node in blocks:
+        noise = node.noise or not all(mark.lifted for mark in node.marks)
+        out.append((path, joined, noise, node.main and not noise))
+    return out, styles
 
 
 def hostname(url: Column) -> Column:

@@ -161,6 +161,16 @@ def test_importance_decides_inside_and_outside_of_marked_articles(spark):
     assert one.text == "a"
 
 
+@pytest.mark.parametrize("start, end", [
+    ('<div class="content-sidebar-wrap">', "</div>"), ('<div class="main no-js cookie-ready">', "</div>"),
+    ('<article class="post tag-cookies category-newsletter">', "</article>"), ('<main id="page-with-comments">', "</main>"),
+    ('<div class="sidebar-layout"><main>', "</main></div>"), ('<main><article class="tag-cookies">', "</article></main>"),
+])
+def test_a_word_on_a_wrapper_does_not_drop_the_article(start, end):
+    page = f'<html class="cookie-ready"><body>{start}<p>the article</p><div class="sidebar"><p>x</p></div>{end}<div class="sidebar"><p>y</p></div>'
+    assert style_tree.main_text(page, frozenset()) == "the article"
+
+
 # --- nearest
 
 
