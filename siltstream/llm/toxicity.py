@@ -203,8 +203,9 @@ def training_rows(documents: DataFrame, labels: DataFrame, most_rows: int) -> Da
     """Texts with their label and a number 0 to 3 that says which part they are in.
 
     Rows are chosen by a hash of the id, about ``most_rows`` of them, so that the broadcast
-    of their ids is bounded by that parameter. Contradicting labels count as toxic; of texts
-    with the same first words one is taken, for copies would count many times.
+    of their ids is bounded by that parameter. Contradicting labels of an id or of a whole
+    text count as toxic; equal whole texts are one row, the one of the smallest id, for
+    copies would count many times.
     """
     labels = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id")))
     labels = labels.groupBy("doc_id").agg(F.max("toxic").cast("double").alias("toxic"))
@@ -212,10 +213,12 @@ def training_rows(documents: DataFrame, labels: DataFrame, most_rows: int) -> Da
     million = 1_000_000
     chosen = labels.where(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(million)) < share * million)
     rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    start = F.slice(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), 1, 8)
-    rows = rows.withColumn("start", F.xxhash64(start)).dropDuplicates(["start"])
+    rows = rows.select(F.coalesce("text", F.lit("")).alias("text"), "doc_id", "toxic")
+    rows = rows.groupBy(F.sha2("text", 256).alias("hash")).agg(
+        F.first("text").alias("text"), F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc_id")
+    )
     part = F.pmod(F.xxhash64(F.lit(6), "doc_id"), F.lit(4))
-    return saved(rows.select(F.coalesce("text", F.lit("")).alias("text"), "toxic", part.alias("part")), "labelled")
+    return saved(rows.select("text", "toxic", part.alias("part")), "labelled")
 
 
 def learn_lexicon(rows: DataFrame, most_terms: int = MOST_TERMS) -> Lexicon:

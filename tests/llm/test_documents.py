@@ -355,6 +355,19 @@ def test_toxicity_on_held_out_rows(labelled):
     assert {r.doc_id for r in kept.collect()} == {k for k, (s, _) in got.items() if s < 0.5}
 
 
+def test_texts_of_one_opening_all_teach(spark, documents, prose):
+    banner = "one banner that begins each text of this source"
+    rows = [(k, f"{banner} {prose(9)}") for k in range(40)] + [(50, f"{banner} same"), (51, f"{banner} same"), (52, f"{banner} same not")]
+    labels = [(k, int(k % 3 == 0)) for k in range(40)] + [(50, 0), (51, 1), (52, 0)]
+    kept = [(text, toxic) for (k, text), (_, toxic) in zip(rows, labels) if zlib.crc32(str(k).encode()) % 5]
+    want = {}
+    for text, toxic in kept:
+        want[text] = max(toxic, want.get(text, 0))
+    labels = spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = toxicity.training_rows(documents(rows), labels, 20_000).collect()
+    assert sorted((r.text, r.toxic) for r in got) == sorted(want.items())
+
+
 def test_toxicity_without_two_classes(labelled, documents):
     table, labels = labelled
     model = toxicity.learn(table, labels.where("toxic = 0"))
