@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstream.llm.packing import chunks
-from siltstream.llm.words import NO_LETTERS, TABLED, lowered
+from siltstream.llm.words import lacking, lowered
 
 #: N-grams of a document and of a language that are ranked (Cavnar and Trenkle, 1994).
 RANKED = 400
@@ -20,9 +20,6 @@ LONGEST = 3
 MOST_ROWS = 3_000
 NO_LANGUAGE = "und"
 
-DIGITS = np.array([chr(c).isdigit() for c in range(TABLED)] + [False])
-GAPS = NO_LETTERS | DIGITS
-
 
 def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
     """The n-grams of 1 to 3 letters of the words of a text, and how often each stands in it.
@@ -32,7 +29,7 @@ def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
     21-bit code points.
     """
     codes = np.frombuffer(f" {lowered(text)} ".encode("utf-32-le"), np.uint32).astype(np.int64)
-    gap = GAPS[np.minimum(codes, TABLED)]
+    gap = lacking(str.isalpha)[codes]
     codes = np.where(gap, 0, codes)
     keep = ~(gap & np.append(gap[1:], False))  # one blank between words
     codes = codes[keep]

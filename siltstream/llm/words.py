@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Callable
+from functools import cache
+
 import numpy as np
 
-#: Code points with an entry of their own; later ones belong to words.
+#: Code points with an entry among white space, which has no later ones.
 TABLED = 0x3100
 
 
@@ -25,11 +29,17 @@ def gaps(is_gap) -> np.ndarray:
 
 
 SPACES = gaps(str.isspace)
-NO_LETTERS = gaps(lambda c: not c.isalnum())
 PLACE = random_odd(64, 1)
 BASE = 0x9E3779B97F4A7C15
 
 
+@cache
+def lacking(kind: Callable[[str], bool]) -> np.ndarray:
+    """Which of all code points are not of a kind, such as str.isalnum."""
+    count = sys.maxunicode + 1
+    return ~np.fromiter(map(kind, map(chr, range(count))), bool, count)
+
+
 def lowered(text: str) -> str:
     """Lower case of the same length, so that places stay those of the text."""
     low = text.lower()
@@ -46,7 +56,7 @@ class Words:
 
     def __init__(self, text: str, letters: bool = False) -> None:
         self.codes = np.frombuffer(lowered(text).encode("utf-32-le"), np.uint32)
-        gap = (NO_LETTERS if letters else SPACES)[np.minimum(self.codes, TABLED)]
+        gap = lacking(str.isalnum)[self.codes] if letters else SPACES[np.minimum(self.codes, TABLED)]
         edges = np.diff(np.concatenate([[True], gap, [True]]).astype(np.int8))
         self.starts = np.flatnonzero(edges == -1)
         self.ends = np.flatnonzero(edges == 1)

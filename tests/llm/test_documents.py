@@ -179,6 +179,18 @@ def test_language(documents):
     assert {r.lang_pred for r in language.predict(asked, language.Profiles({})).collect()} == {"und"}
 
 
+def test_only_letters_make_a_language_or_a_word(documents):
+    from siltstream.llm.words import Words
+
+    profiles = language.Profiles({"b": language.ranked(*language.grams("the dog")), "a": np.zeros(0, np.int64)})
+    asked = documents([(1, "\U0001f600 \U0001f680"), (2, "！？（），"), (3, "½ ¾ ²"), (4, "\U0001f600the dog\U0001f600")])
+    got = language.predict(asked, profiles).collect()
+    assert [(r.lang_pred, r.score) for r in got[:3]] == [("und", 0.0)] * 3 and got[3].lang_pred == "b"
+    assert [g.tolist() for g in language.grams("dog\U0001f600")] == [g.tolist() for g in language.grams("dog")]
+    assert (Words("the dog\U0001f680！", letters=True).hashes == Words("the dog", letters=True).hashes).all()
+    assert (language.grams("日本")[0] > 0).any() and len(Words("日本 ½", letters=True)) == 2
+
+
 def plain_distance(text, other, most=language.RANKED):
     from collections import Counter
 
