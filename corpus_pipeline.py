@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from siltstream.llm import contamination, packing, passages, simhash, toxicity
-from siltstream.llm.shared import saved
+from siltstream.llm.shared import saved, text_hash
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -28,9 +29,12 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    leaks = contamination.tilings(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold no benchmark item. Texts are named by their hash, for an id may
+    stand for several."""
+    texts = docs.select(text_hash().alias("doc_id"), "text")
+    leaks = contamination.tilings(texts, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    leaks = leaks.select(F.col("doc_id").alias("_hash")).distinct()
+    return docs.join(leaks, text_hash() == leaks["_hash"], "left_anti").select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -81,7 +81,7 @@ def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passages.repeats(table(spark, sf_dir, "documents"))
+    return passages.repeats(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op9_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:

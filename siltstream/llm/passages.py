@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from siltstream.llm.buckets import cells, linked
 from siltstream.llm.packing import chunks
-from siltstream.llm.shared import components, saved
+from siltstream.llm.shared import components, saved, text_hash
 from siltstream.llm.words import Words, grams, mixed, random_odd
 
 #: Words of a shingle, and the Jaccard similarity of shingle sets that links two paragraphs.
@@ -29,11 +29,12 @@ PERMUTE = random_odd(BANDS * ROWS, 2)
 SHIFT = random_odd(BANDS * ROWS, 3)
 PLACES = 1 << 28
 
-UNIT = "hash long, doc_id long, start long, end long, bands array<long>"
+UNIT = "hash long, doc_id long, text_hash long, start long, end long, bands array<long>"
 UNIT_SCHEMA = pa.schema(
     [
         ("hash", pa.int64()),
         ("doc_id", pa.int64()),
+        ("text_hash", pa.int64()),
         ("start", pa.int64()),
         ("end", pa.int64()),
         ("bands", pa.list_(pa.int64())),
@@ -99,7 +100,7 @@ def units(documents: DataFrame, least_words: int, passage: int, span: int) -> Da
         for docs, texts in chunks(batches):
             lines, runs, values = [], [], []
             for doc, text in zip(docs, texts):
-                if doc is None:
+                if doc["doc_id"] is None:
                     continue
                 words = Words(text)
                 first, count = paragraphs(words, least_words)
@@ -118,7 +119,8 @@ def units(documents: DataFrame, least_words: int, passage: int, span: int) -> Da
             if runs:
                 yield unit_batch(runs, None)
 
-    return documents.select("doc_id", "text").mapInArrow(run, UNIT)
+    rows = documents.select(F.struct("doc_id", text_hash().alias("text_hash")).alias("key"), "text")
+    return rows.mapInArrow(run, UNIT)
 
 
 def unit_batch(parts: list[tuple], bands: np.ndarray | None) -> pa.RecordBatch:
@@ -131,7 +133,8 @@ def unit_batch(parts: list[tuple], bands: np.ndarray | None) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [
             pa.array(np.concatenate([p[2] for p in parts]).view(np.int64)),
-            pa.array(np.repeat([p[0] for p in parts], sizes)),
+            pa.array(np.repeat([p[0]["doc_id"] for p in parts], sizes)),
+            pa.array(np.repeat([p[0]["text_hash"] for p in parts], sizes)),
             pa.array(np.concatenate([p[1].starts[p[3]] for p in parts])),
             pa.array(np.concatenate([p[1].ends[p[3] + p[4] - 1] for p in parts])),
             bands,
@@ -171,7 +174,7 @@ def near_links(documents: DataFrame, classes: DataFrame, similarity: float) -> D
     keyed = classes.select("hash", F.posexplode("bands").alias("band", "value"))
     dealt = saved(cells(keyed, ["band", "value"], "hash"), "cells")
     wanted = dealt.select("hash").distinct().join(classes, "hash")
-    wanted = wanted.groupBy(F.col("first.doc_id").alias("doc_id")).agg(
+    wanted = wanted.groupBy(F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash")).agg(
         F.collect_list(F.struct("hash", "first.start", "first.end")).alias("places")
     )
 
@@ -185,7 +188,6 @@ def near_links(documents: DataFrame, classes: DataFrame, similarity: float) -> D
                 words = Words("\n".join(pieces))
                 owner = np.searchsorted(bounds, words.starts, "right")
                 count = np.bincount(owner, minlength=len(pieces))
-                # A row that repeats an id with another text may be too short for a place.
                 full = np.flatnonzero(count >= SHINGLE)
                 if not len(full):
                     continue
@@ -196,7 +198,8 @@ def near_links(documents: DataFrame, classes: DataFrame, similarity: float) -> D
                     [pa.array(names, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["hash", "shingles"]
                 )
 
-    sets = documents.select("doc_id", "text").join(wanted, "doc_id").select("text", "places")
+    sets = documents.select("doc_id", "text", text_hash().alias("text_hash"))
+    sets = sets.join(wanted, ["doc_id", "text_hash"]).select("text", "places")
     sets = sets.mapInArrow(run, "hash long, shingles array<long>")
     sets = sets.groupBy("hash").agg(F.first("shingles").alias("shingles"))
     order = ["band", "value"]
@@ -222,15 +225,15 @@ def repeats(
 
     Of each cluster the place with the smallest ``doc_id``, then ``start``, stays. Returns a
     row for every other: ``doc_id``, ``start`` and ``end`` (code points), ``kind``,
-    ``cluster_id``, ``kept_doc_id`` and ``kept_start``. Places may overlap; :func:`cut_out`
+    ``cluster_id``, ``kept_doc_id``, ``kept_start`` and the ``text_hash`` of its row. Places may overlap; :func:`cut_out`
     joins them. Words are lower-cased and parted by white space.
 
     Null and blank texts hold nothing. Rows without a ``doc_id`` take no part. Rows that
-    repeat a ``doc_id`` with the same text are one document; with other texts they are read
-    as one document with both. An empty table gives no rows; other columns are not read.
+    repeat a ``doc_id`` with the same text are one document; with other texts they are
+    documents of their own, in the order of ``text_hash``. An empty table gives no rows; other columns are not read.
     """
     found = saved(units(documents, least_words, passage, span), "units")
-    place = F.struct("doc_id", "start", "end")
+    place = F.struct("doc_id", "text_hash", "start", "end")
     ends = F.min(place).alias("first"), F.max(place).alias("last")
     alike = found.where("bands is not null").groupBy("hash").agg(*ends, F.first("bands").alias("bands"))
     alike = saved(alike, "classes")
@@ -253,7 +256,7 @@ def repeats(
 
     def others(rows: DataFrame, kind: str) -> DataFrame:
         # A place that overlaps the one that stays, in a text that repeats itself, stays too.
-        after = F.col("doc_id") != F.col("first.doc_id")
+        after = (F.col("doc_id") != F.col("first.doc_id")) | (F.col("text_hash") != F.col("first.text_hash"))
         return rows.where(after | (F.col("start") >= F.col("first.end"))).select(
             "doc_id",
             "start",
@@ -262,6 +265,7 @@ def repeats(
             "cluster_id",
             F.col("first.doc_id").alias("kept_doc_id"),
             F.col("first.start").alias("kept_start"),
+            "text_hash",
         )
 
     return others(lines, "paragraph").union(others(runs, "passage"))
@@ -275,10 +279,11 @@ def cut_out(documents: DataFrame, places: DataFrame) -> DataFrame:
     blank ones among them; so are rows without a ``doc_id``. ``n_chars``, where it is a
     column, is set anew for the cut documents.
     """
-    spans = places.groupBy(F.col("doc_id").alias("_doc")).agg(
+    spans = places.groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).agg(
         F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_spans")
     )
-    rows = documents.join(spans, documents["doc_id"] == spans["_doc"], "left").drop("_doc")
+    same = (documents["doc_id"] == spans["_doc"]) & (text_hash() == spans["_hash"])
+    rows = documents.join(spans, same, "left").drop("_doc", "_hash")
     text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(without(F.col("text"), F.col("_spans")))
     rows = rows.withColumn("_text", text).where(F.col("_spans").isNull() | F.col("_text").rlike(r"\S"))
     columns = [F.col("_text").alias(c) if c == "text" else F.col(c) for c in documents.columns]

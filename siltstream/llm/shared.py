@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -29,6 +29,11 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def text_hash() -> Column:
+    """Tells rows apart that repeat an id with different texts."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
     """Connected components of the links ``(a, b)``: rows ``(node, component)``, where
     ``component`` is the smallest node that can be reached.

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from siltstream.llm.buckets import cells, linked
 from siltstream.llm.packing import chunks
-from siltstream.llm.shared import components, saved
+from siltstream.llm.shared import components, saved, text_hash
 
 SHINGLE = 3
 SEED = 42
@@ -46,14 +46,17 @@ def fingerprint(text: str) -> int:
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
-    """``doc_id`` and the fingerprint of ``text`` as a signed long; a null text has no word."""
+    """``doc_id``, the fingerprint of ``text`` as a signed long and the hash of all of it; a
+    null text has no word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for docs, texts in chunks(batches):
+        for keys, texts in chunks(batches):
             found = np.array([fingerprint(text) for text in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(docs, pa.int64()), "bits": found})
+            docs, hashes = ([key[name] for key in keys] for name in ("doc_id", "text_hash"))
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(docs, pa.int64()), "bits": found, "text_hash": pa.array(hashes, pa.int64())})
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, bits long")
+    rows = documents.select(F.struct("doc_id", text_hash().alias("text_hash")).alias("key"), "text")
+    return rows.mapInArrow(run, "doc_id long, bits long, text_hash long")
 
 
 def segment(bits: Column, k: int, width: int = 16, offset: int = 0) -> Column:
@@ -115,6 +118,11 @@ def near_groups(documents: DataFrame) -> DataFrame:
     other does. Null and blank texts have fingerprint zero and are linked like any other. An
     empty table gives no rows; other columns are not read.
     """
+    return grouped(documents).select("doc_id", hex16(F.col("bits")).alias("fingerprint"), "component_id")
+
+
+def grouped(documents: DataFrame) -> DataFrame:
+    """``doc_id``, ``bits``, ``text_hash`` and the ``component_id`` of :func:`near_groups`."""
     rows = saved(fingerprints(documents), "fingerprints")
     classes = rows.groupBy("bits").agg(F.min("doc_id").alias("first"))
     keyed = classes.select("bits", F.explode(ring_keys(F.col("bits"))).alias("key"))
@@ -124,19 +132,23 @@ def near_groups(documents: DataFrame) -> DataFrame:
     classes = classes.withColumn("component", F.coalesce("component", "bits"))
     names = classes.groupBy("component").agg(F.min("first").alias("component_id"))
     names = classes.join(names, "component").select("bits", "component_id")
-    return rows.join(names, "bits").select("doc_id", hex16(F.col("bits")).alias("fingerprint"), "component_id")
+    return rows.join(names, "bits")
 
 
 def one_of_each(documents: DataFrame) -> DataFrame:
     """Of each group of :func:`near_groups` the document with the smallest ``doc_id``.
 
-    Rows with the same ``doc_id`` and text are one document. Rows without a ``doc_id`` take
-    no part and stay, one for each text. All columns are kept.
+    Rows with the same ``doc_id`` and text are one document; rows that repeat a ``doc_id``
+    with other texts are documents of their own, of which one stays if they are near copies.
+    Rows without a ``doc_id`` take no part and stay, one for each text. All columns are kept.
     """
-    groups = near_groups(documents.where("doc_id is not null"))
-    others = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_other")).distinct()
-    rows = documents.join(others, documents["doc_id"] == others["_other"], "left_anti")
-    return rows.withColumn("_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_hash"]).drop("_hash")
+    groups = grouped(documents.where("doc_id is not null"))
+    kept = groups.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("kept"))
+    others = groups.join(saved(kept, "kept"), "component_id").where(F.struct("doc_id", "text_hash") != F.col("kept"))
+    others = others.select(F.col("doc_id").alias("_other"), F.col("text_hash").alias("_other_hash")).distinct()
+    rows = documents.withColumn("_hash", text_hash())
+    same = (rows["doc_id"] == others["_other"]) & (rows["_hash"] == others["_other_hash"])
+    return rows.join(others, same, "left_anti").dropDuplicates(["doc_id", "_hash"]).drop("_hash")
 
 
 def hex16(bits: Column) -> Column:

@@ -283,6 +283,18 @@ def test_near_paragraphs_are_found_by_their_bands(prose, rng):
     assert missed <= 3
 
 
+def test_rows_that_share_an_id_stand_for_themselves(documents, prose):
+    copied, unique, shared, other = prose(200), prose(200), prose(70), prose(200)
+    rows = [(1, copied), (2, copied + " end"), (2, unique), (2, unique), (3, other), (3, other + " end")]
+    left = [(r.doc_id, r.text) for r in simhash.one_of_each(documents(rows)).collect()]
+    assert sorted(left[:], key=str) == sorted([(1, copied), (2, unique), next(x for x in left if x[0] == 3)], key=str)
+    rows = [(1, f"{prose(50)} {shared} {prose(50)}"), (2, f"{prose(60)} {shared} {prose(60)}"), (2, unique)]
+    table = documents(rows)
+    cut = passages.cut_out(table, passages.repeats(table)).collect()
+    assert {r.text for r in cut if shared not in r.text} >= {unique} and len(cut) == 3
+    assert sum(shared in r.text for r in cut) == 1
+
+
 # --- benchmark leaks
 
 
