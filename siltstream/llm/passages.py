@@ -30,6 +30,12 @@ SHIFT = random_odd(BANDS * ROWS, 3)
 PLACES = 1 << 28
 
 UNIT = "hash long, doc_id long, text_hash long, start long, end long, bands array<long>"
+PLACE = ["doc_id", "text_hash", "start", "end"]
+HIT = [*PLACE, "kept_doc_id", "kept_text", "kept_start", "kept_end", "cluster_id"]
+HIT_SCHEMA = pa.schema([(name, pa.int64()) for name in HIT])
+AROUND = ["before", "starts", "after", "ends"]
+CONTEXT = ", ".join([*(f"{name} long" for name in PLACE), *(f"{name} array<long>" for name in AROUND)])
+CONTEXT_SCHEMA = pa.schema([*((name, pa.int64()) for name in PLACE), *((name, pa.list_(pa.int64())) for name in AROUND)])
 UNIT_SCHEMA = pa.schema(
     [
         ("hash", pa.int64()),
@@ -206,6 +212,96 @@ def near_links(documents: DataFrame, classes: DataFrame, similarity: float) -> D
     return linked(dealt.join(sets, "hash"), order, "hash", "shingles", lambda s: jaccard_links(s, similarity))
 
 
+def joined(rows: DataFrame) -> DataFrame:
+    """Passages that overlap in a document and likewise in the one that stays, as one hit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, text, hits in zip(*(column.to_pylist() for column in batch.columns)):
+                out: list[dict] = []
+                for hit in sorted(hits, key=lambda h: (h["kept_doc_id"], h["kept_text"], h["start"] - h["kept_start"], h["start"])):
+                    last = out[-1] if out else hit
+                    same = all(last[k] == hit[k] for k in ("kept_doc_id", "kept_text"))
+                    same &= last["start"] - last["kept_start"] == hit["start"] - hit["kept_start"]
+                    # As long in both texts, and the one that stays is not run into.
+                    same &= last["end"] - last["kept_end"] == hit["end"] - hit["kept_end"] == last["start"] - last["kept_start"]
+                    apart = (doc, text) != (hit["kept_doc_id"], hit["kept_text"]) or last["start"] >= hit["kept_end"]
+                    if out and same and apart and hit["start"] <= last["end"]:
+                        last["end"], last["kept_end"] = max(last["end"], hit["end"]), max(last["kept_end"], hit["kept_end"])
+                    else:
+                        out.append(hit)
+                rows = [{"doc_id": doc, "text_hash": text, **hit} for hit in out]
+                yield pa.RecordBatch.from_pylist(rows, schema=HIT_SCHEMA)
+
+    hits = F.collect_set(F.struct(*HIT[2:])).alias("hits")
+    return rows.groupBy("doc_id", "text_hash").agg(hits).mapInArrow(run, ", ".join(f"{c} long" for c in HIT))
+
+
+def contexts(documents: DataFrame, places: DataFrame, span: int) -> DataFrame:
+    """The up to ``span`` words before and after each place: their hashes, from the place
+    outwards, and where each starts (before) or ends (after)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, text_id, text, wanted in zip(*batch.columns):
+                words, out = Words(text.as_py() or ""), []
+                hashes = words.hashes.view(np.int64)
+                for place in wanted.as_py():
+                    a, b = np.searchsorted(words.starts, place["start"]), np.searchsorted(words.ends, place["end"], "right")
+                    before, after = slice(max(0, a - span), a), slice(b, b + span)
+                    out.append(
+                        {
+                            "doc_id": doc.as_py(),
+                            "text_hash": text_id.as_py(),
+                            **place,
+                            "before": hashes[before][::-1].tolist(),
+                            "starts": words.starts[before][::-1].tolist(),
+                            "after": hashes[after].tolist(),
+                            "ends": words.ends[after].tolist(),
+                        }
+                    )
+                yield pa.RecordBatch.from_pylist(out, schema=CONTEXT_SCHEMA)
+
+    wanted = places.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "end")).alias("places"))
+    rows = documents.select("doc_id", text_hash().alias("text_hash"), "text").join(wanted, ["doc_id", "text_hash"])
+    found = rows.mapInArrow(run, CONTEXT)
+    return found.dropDuplicates(["doc_id", "text_hash", "start", "end"])
+
+
+def extended(documents: DataFrame, rows: DataFrame, span: int) -> DataFrame:
+    """Passages joined and grown word by word to both sides, as far as the text is the one
+    around the passage that stays. ``span`` words are enough: a run that goes on for more
+    holds a further passage both have cut alike."""
+    hits = saved(joined(rows), "hits")
+    kept = hits.select(*[F.col(k).alias(c) for k, c in zip(("kept_doc_id", "kept_text", "kept_start", "kept_end"), PLACE)])
+    around = saved(contexts(documents, hits.select(*PLACE).union(kept), span), "contexts")
+    other = [F.col(c).alias(k) for k, c in zip(("kept_doc_id", "kept_text", "kept_start", "kept_end"), PLACE)]
+    other = around.select(*other, F.col("before").alias("kept_before"), F.col("after").alias("kept_after"), F.col("starts").alias("kept_starts"))
+    hits = hits.join(around, PLACE).join(other, ["kept_doc_id", "kept_text", "kept_start", "kept_end"])
+
+    def alike(mine: str, theirs: str) -> Column:
+        """How many words from the place outwards are the same."""
+        equal = F.zip_with(mine, theirs, lambda a, b: F.coalesce(a == b, F.lit(False)))
+        first = F.array_position(equal, False)
+        return F.when(first > 0, first - 1).otherwise(F.size(equal)).cast("int")
+
+    # In one text, a place does not grow into the one that stays.
+    one = (F.col("doc_id") == F.col("kept_doc_id")) & (F.col("text_hash") == F.col("kept_text"))
+    room = F.size(F.filter("starts", lambda s: s >= F.col("kept_end")))
+    left = F.when(one, F.least(alike("before", "kept_before"), room)).otherwise(alike("before", "kept_before"))
+    hits = hits.withColumn("left", left).withColumn("right", alike("after", "kept_after"))
+    return hits.select(
+        "doc_id",
+        F.when(F.col("left") > 0, F.get("starts", F.col("left") - 1)).otherwise(F.col("start")).alias("start"),
+        F.when(F.col("right") > 0, F.get("ends", F.col("right") - 1)).otherwise(F.col("end")).alias("end"),
+        F.lit("passage").alias("kind"),
+        "cluster_id",
+        "kept_doc_id",
+        F.when(F.col("left") > 0, F.get("kept_starts", F.col("left") - 1)).otherwise(F.col("kept_start")).alias("kept_start"),
+        "text_hash",
+    )
+
+
 def repeats(
     documents: DataFrame,
     similarity: float = SIMILARITY,
@@ -220,8 +316,9 @@ def repeats(
     equal ones are one class, classes that share a MinHash band are compared by their exact
     sets of 5-word shingles, and links of ``similarity`` or more join them in clusters
     (connected components). *Passages* of ``passage`` words start at places the text itself
-    decides; equal ones are a cluster. So a run of ``passage + span`` words is found wherever
-    it stands, in the middle of a line or over several.
+    decides; equal ones are a cluster, and each grows to both sides as far as the text is that
+    around the one that stays. So a run of ``passage + span`` words is found wherever it
+    stands, in the middle of a line or over several, from its first word to its last.
 
     Of each cluster the place with the smallest ``doc_id``, then ``start``, stays. Returns a
     row for every other: ``doc_id``, ``start`` and ``end`` (code points), ``kind``,
@@ -254,7 +351,7 @@ def repeats(
     names = saved(runs.groupBy("hash").agg(*ends).where("first <> last"), "kept")
     runs = runs.join(names.select("hash", F.col("hash").alias("cluster_id"), "first"), "hash")
 
-    def others(rows: DataFrame, kind: str) -> DataFrame:
+    def others(rows: DataFrame, kind: str, *more: Column) -> DataFrame:
         # A place that overlaps the one that stays, in a text that repeats itself, stays too.
         after = (F.col("doc_id") != F.col("first.doc_id")) | (F.col("text_hash") != F.col("first.text_hash"))
         return rows.where(after | (F.col("start") >= F.col("first.end"))).select(
@@ -266,9 +363,12 @@ def repeats(
             F.col("first.doc_id").alias("kept_doc_id"),
             F.col("first.start").alias("kept_start"),
             "text_hash",
+            *more,
         )
 
-    return others(lines, "paragraph").union(others(runs, "passage"))
+    last = [F.col(f"first.{c}").alias(k) for k, c in (("kept_text", "text_hash"), ("kept_end", "end"))]
+    runs = others(runs, "passage", *last).drop("kind").select(*HIT)
+    return others(lines, "paragraph").union(extended(documents, runs, span))
 
 
 def cut_out(documents: DataFrame, places: DataFrame) -> DataFrame:

@@ -263,6 +263,18 @@ def test_every_long_run_is_found_wherever_it_stands(prose, rng):
         assert cuts[0] & cuts[1]
 
 
+def test_shared_runs_are_cut_from_their_first_word_to_their_last(documents, prose, rng):
+    rows, want = [], {}
+    for k in range(12):
+        shared = prose(rng.randrange(48, 160))
+        before, after = prose(rng.randrange(60)), prose(30)
+        rows += [(k, f"{prose(40)} {shared} {prose(20)}"), (100 + k, f"{before} {shared} {after}".strip())]
+        want[100 + k] = f"{before}\n{after}".strip()
+    table = documents(rows)
+    got = {r.doc_id: r.text for r in passages.cut_out(table, passages.repeats(table)).collect()}
+    assert got == dict(rows[::2]) | want
+
+
 def test_near_paragraphs_are_found_by_their_bands(prose, rng):
     from siltstream.llm.words import Words, grams
 
