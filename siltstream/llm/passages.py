@@ -264,8 +264,9 @@ def contexts(documents: DataFrame, places: DataFrame, span: int) -> DataFrame:
 
     wanted = places.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "end")).alias("places"))
     rows = documents.select("doc_id", text_hash().alias("text_hash"), "text").join(wanted, ["doc_id", "text_hash"])
-    found = rows.mapInArrow(run, CONTEXT)
-    return found.dropDuplicates(["doc_id", "text_hash", "start", "end"])
+    # Dealt by the join's keys already: repeated rows go without another shuffle.
+    rows = rows.dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "places")
+    return rows.mapInArrow(run, CONTEXT)
 
 
 def extended(documents: DataFrame, rows: DataFrame, span: int) -> DataFrame:
