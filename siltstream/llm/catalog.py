@@ -15,10 +15,13 @@ from siltstream.llm import (
     nearest,
     packing,
     passages,
+    periodic,
+    pieces,
     simhash,
     style_tree,
     toxicity,
     warc,
+    whitening,
 )
 from siltstream.llm.shared import shared_folder
 
@@ -92,6 +95,60 @@ def op10_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return style_tree.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    listed = rows.select(
+        "vec_id", "n", "deviation", "identity_error", F.posexplode(F.arrays_zip("whitened", "explained"))
+    )
+    return listed.select(
+        "vec_id", (F.col("pos") + 1).alias("component"), "n", "deviation", "col.*", "identity_error"
+    )
+
+
+def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decoded = pieces.decode(pieces.encode(table(spark, sf_dir, "documents")))
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
+def with_periods(documents: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text`` with the end of about every tenth text made periodic: from a
+    word on that the hash of ``doc_id`` names, the words repeat those from there."""
+    spread = documents.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string")).alias("h"))
+    words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda word: word != "")
+    marked = spread.select("doc_id", "text", "h", F.when(F.col("h") % 10 == 0, words).alias("words"))
+    repeated = F.expr("""
+        transform(sequence(0, n - 1), i -> words[if(i < a, i, a + (i - a) % p)])
+    """)
+    placed = (
+        marked.withColumn("g", F.expr("h div 10"))
+        .withColumn("n", F.size("words"))
+        .withColumn("a", F.expr("if(n > 0, cast(g % n as int), 0)"))
+        .withColumn("p", F.expr("1 + cast((n - a) div (3 + g % 8) as int)"))
+    )
+    return placed.select("doc_id", F.when(F.col("n") > 0, F.array_join(repeated, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = periodic.periodic_runs(with_periods(table(spark, sf_dir, "documents")))
+    line = F.expr("concat_ws('', transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')))")
+    longest = F.expr("array_max(transform(runs, r -> struct(r.length as length, -r.start as back, -r.period as rarely)))")
+    return rows.withColumn("best", longest).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.back")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.rarely")).alias("period"),
+        F.expr("(1000 * best.length) div (-best.rarely)").alias("exponent_milli"),
+        F.sha2(line, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_chat": op1_chat,
     "op2_toxicity": op2_toxicity,
@@ -103,6 +160,9 @@ QUERIES: dict[str, Query] = {
     "op8_repeats": op8_repeats,
     "op9_tiling": op9_tiling,
     "op10_style_tree": op10_style_tree,
+    "op11_whiten": op11_whiten,
+    "op12_pieces": op12_pieces,
+    "op13_periods": op13_periods,
     "pipeline": corpus_pipeline.run,
 }
 

@@ -1,0 +1,292 @@
+"""Operators 11 to 13 against plain versions."""
+
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pytest
+import sentencepiece
+from pyspark.sql import functions as F
+
+from siltstream.llm import catalog, periodic, pieces, whitening
+
+PYTHON_WORDS = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r"})
+
+
+def words_of(text):
+    return [w for w in (text or "").translate(PYTHON_WORDS).split(" ") if w]
+
+
+def digest(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+# Operator 11
+
+
+def vectors(spark, rows):
+    schema = "vec_id long, embedding array<float>, x string, label int, n string, whitened string"
+    return spark.createDataFrame([(i, v, "x", 1, "n", "w") for i, v in rows], schema)
+
+
+def plain_fit(rows):
+    x = np.array([np.floor(64 * np.array(v, np.float32).astype(float)) + 1_000_000 for _, v in rows]).astype(int)
+    fit = np.unique(x, axis=0)
+    centred = fit - fit.mean(axis=0)
+    return x, fit, centred.T @ centred / len(fit)
+
+
+def test_whitened_rows_equal_a_plain_version(spark):
+    random_ = np.random.default_rng(3)
+    mix = random_.normal(size=(24, 24)) * np.linspace(0.2, 3, 24)
+    rows = [(i, (random_.normal(size=24) @ mix).tolist()) for i in range(300)]
+    rows += [(i + 1000, rows[0][1]) for i in range(200)] + [(5, rows[5][1])]
+    answers = whitening.whiten(vectors(spark, rows)).collect()
+    x, fit, covariance = plain_fit(rows)
+    values, axes = np.linalg.eigh(covariance)
+    values, axes = values[::-1][:16], axes[:, ::-1][:, :16]
+    sums = fit.sum(axis=0)
+    assert len(answers) == len(rows) and {a.n for a in answers} == {len(fit)}
+    assert sorted((a.vec_id, a.deviation) for a in answers) == sorted(
+        (i, int(((len(fit) * v - sums) ** 2).sum())) for (i, _), v in zip(rows, x)
+    )
+    for a in answers:
+        assert np.allclose(a.explained, values / np.trace(covariance), rtol=1e-9)
+        assert a.identity_error < 1e-9
+    by_id = {i: v for (i, _), v in zip(rows, x)}
+    got = np.array([a.whitened for a in answers])
+    want = np.array([(by_id[a.vec_id] - fit.mean(axis=0)) @ axes / np.sqrt(values) for a in answers])
+    sign = np.sign((got * want).sum(axis=0))
+    assert np.allclose(got, want * sign, atol=1e-6)
+
+
+def test_whiten_leaves_out_what_is_no_vector(spark):
+    good = [(i, [float(i % 5), float(i * i % 7), 1.0]) for i in range(30)]
+    odd = [(90, None), (91, []), (92, [1.0, None, 2.0]), (93, [1.0, float("nan"), 2.0]), (94, [float("inf"), 0.0, 0.0])]
+    odd += [(95, [1.0, 2.0]), (None, [1.0, 1.0, 1.0])]
+    answers = whitening.whiten(vectors(spark, good + odd)).collect()
+    assert sorted(a.vec_id for a in answers if a.vec_id is not None) == list(range(30))
+    assert sum(a.vec_id is None for a in answers) == 1
+    # The third entry never changes, so there are two components.
+    assert {len(a.whitened) for a in answers} == {2}
+
+
+def test_whiten_of_tables_without_variance(spark):
+    assert whitening.whiten(vectors(spark, [])).collect() == []
+    same = whitening.whiten(vectors(spark, [(1, [1.0, 2.0]), (2, [1.0, 2.0])])).collect()
+    assert [(a.n, a.deviation, a.whitened, a.explained) for a in same] == [(1, 0, [], [])] * 2
+
+
+def test_a_deviation_of_more_than_63_bits_fails(spark):
+    rows = [(i, [float(i) * 3e7]) for i in range(60)]
+    with pytest.raises(Exception, match="63 bits"):
+        whitening.whiten(vectors(spark, rows)).collect()
+
+
+@pytest.mark.parametrize("kind", ["close", "equal", "graded", "diagonal", "zero", "one"])
+def test_leading_pairs_of_odd_matrices(kind):
+    random_ = np.random.default_rng(5)
+    q, _ = np.linalg.qr(random_.normal(size=(40, 40)))
+    values = {
+        "close": 1 + np.arange(40) * 1e-13,
+        "equal": np.repeat([3.0, 2.0, 2.0, 1.0], 10),
+        "graded": np.logspace(0, -14, 40),
+        "diagonal": np.arange(40.0),
+        "zero": np.zeros(40),
+        "one": np.ones(40),
+    }[kind]
+    matrix = np.diag(values) if kind == "diagonal" else q @ np.diag(values) @ q.T
+    matrix = (matrix + matrix.T) / 2
+    found, axes = whitening.leading_pairs(matrix, 16)
+    assert np.allclose(found, np.sort(values)[::-1][:16], atol=1e-13 * max(1, values.max()))
+    assert np.abs(axes.T @ axes - np.eye(16)).max() < 1e-11
+    assert np.abs(matrix @ axes - axes * found).max() < 1e-11 * max(1, values.max())
+
+
+def test_whiten_query(spark, sf_dir):
+    rows = catalog.op11_whiten(spark, sf_dir).collect()
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").collect()
+    x, fit, covariance = plain_fit([(r.vec_id, r.embedding) for r in table])
+    assert len(rows) == 16 * len(table) and {r.component for r in rows} == set(range(1, 17))
+    values = np.linalg.eigvalsh(covariance)[::-1]
+    for r in rows:
+        assert r.explained == pytest.approx(values[r.component - 1] / values.sum(), rel=1e-9)
+        assert r.identity_error < 1e-8 and r.n == len(fit)
+
+
+# Operator 12
+
+
+@pytest.fixture(scope="module")
+def library():
+    return sentencepiece.SentencePieceProcessor(model_file=pieces.PIECE_BPE)
+
+
+def agree(library, tool, texts):
+    ids = [np.frombuffer(found, np.int32) for found in tool.encode(texts)]
+    assert [found.tolist() for found in ids] == library.encode(texts)
+    sizes = np.array([len(found) for found in ids])
+    assert tool.pieces.decoded(np.concatenate(ids), sizes) == [library.decode(found.tolist()) for found in ids]
+
+
+def test_pieces_equal_the_library_on_odd_texts(library):
+    tool = pieces.Encoder(pieces.PIECE_BPE)
+    blanks = [" " * k + end for k in range(70) for end in ("", "x", "①", "the", "\n")]
+    agree(library, tool, blanks + ["", "a" * 5000, "<s>hi</s><unk><0x0A>", "▁x ▁▁", "\x00", "é é", "😀😀 \U0010ffff"])
+    source = random.Random(11)
+    letters = ["aab", "the in\n\t", "éèà ß", "你好世界", "=-_*# \n", "01 ,.", "abcdefghijklmnopqrstuvwxyzABC"]
+    agree(library, tool, ["".join(source.choices(a, k=source.randrange(300))) for a in letters for _ in range(200)])
+    names = list(tool.pieces.ids)
+    joined = ["".join(source.choices(names, k=source.randrange(80))) for _ in range(400)]
+    agree(library, tool, joined + [text.replace("▁", "") for text in joined])
+
+
+def test_words_of_windows_equal_whole_words(library, monkeypatch):
+    """With windows for all words the ids stay the same."""
+    monkeypatch.setattr(pieces, "LONG", 0)
+    source = random.Random(2)
+    tool = pieces.Encoder(pieces.PIECE_BPE)
+    agree(library, tool, ["".join(source.choices("abcdeinorst ", k=400)) for _ in range(100)] + ["ab" * 900, "a" * 999])
+
+
+def test_decoding_any_ids_equals_the_library(library):
+    found = pieces.Pieces(pieces.PIECE_BPE)
+    source = random.Random(4)
+    byte = [3 + b for b in range(256)]
+    lists = [[source.choice([0, 1, 2, 29871, *byte[::9], source.randrange(32000)]) for _ in range(9)] for _ in range(2000)]
+    got = found.decoded(np.array(lists, np.int32).ravel(), np.full(len(lists), 9))
+    assert got == [library.decode(ids) for ids in lists]
+    with pytest.raises(ValueError):
+        found.decoded(np.array([32000], np.int32), np.array([1]))
+
+
+def test_pieces_of_tables(spark, documents, library):
+    rows = [(1, "Hello  world "), (1, "Hello  world "), (2, None), (3, ""), (None, "ab " * 70_000), (4, "x" * 100_000)]
+    encoded = pieces.encode(documents(rows))
+    answers = pieces.decode(encoded).collect()
+    want = sorted((i or 0, tuple(library.encode(text or "")), text or "") for i, text in rows)
+    assert sorted((a.doc_id or 0, tuple(a.ids), a.text) for a in answers) == want
+    assert pieces.decode(pieces.encode(documents([]))).collect() == []
+    odd = spark.createDataFrame([(1, None, "t"), (2, [15043, None, 2787], "t")], "doc_id long, ids array<int>, text string")
+    assert [(a.doc_id, a.text) for a in pieces.decode(odd).collect()] == [(1, ""), (2, library.decode([15043, 2787]))]
+
+
+def test_pieces_query(spark, sf_dir, library):
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    want = set()
+    for row in table:
+        ids = library.encode(row.text or "")
+        want.add((row.doc_id, len(ids), digest(",".join(map(str, ids))), digest(library.decode(ids))))
+    assert {tuple(r) for r in catalog.op12_pieces(spark, sf_dir).collect()} == want
+
+
+# Operator 13
+
+
+def plain_runs(words, shortest=12):
+    found = {}
+    for period in range(1, len(words) // 2 + 1):
+        i = 0
+        while i + period < len(words):
+            if words[i] != words[i + period]:
+                i += 1
+                continue
+            start = i
+            while i + period < len(words) and words[i] == words[i + period]:
+                i += 1
+            end = i + period
+            if end - start >= max(shortest, 2 * period):
+                found.setdefault((start, end), period)
+    return sorted((start, end - start, period) for (start, end), period in found.items())
+
+
+def plain_collapsed(words, found):
+    gone = {i for start, length, period in found for i in range(start + period, start + length)}
+    return " ".join(word for i, word in enumerate(words) if i not in gone)
+
+
+def random_words(source):
+    kind = source.randrange(5)
+    if kind < 2:
+        return source.choices("ab" if kind else "abc", k=source.randrange(120))
+    if kind == 2:
+        base = source.choices("abcdefgh", k=source.randrange(1, 20))
+        return ["x", *(base * 9)[: source.randrange(1, 9 * len(base) + 1)], *source.choices("xyz", k=5)]
+    if kind == 3:
+        short, long = ["a"], ["a", "b"]
+        for _ in range(source.randrange(8)):
+            short, long = long, long + short
+        return long
+    base = (source.choices("ab", k=source.randrange(1, 10)) * 5)[: source.randrange(1, 40)]
+    return (base * 4)[:120]
+
+
+@pytest.mark.parametrize("shortest", [2, 12])
+def test_runs_equal_a_plain_version(shortest):
+    source = random.Random(shortest)
+    for _ in range(300):
+        texts = [random_words(source) for _ in range(source.randrange(1, 6))]
+        for words, (runs, collapsed) in zip(texts, periodic.found([" ".join(t) for t in texts], shortest)):
+            want = plain_runs(words, shortest)
+            assert [(r["start"], r["length"], r["period"]) for r in runs] == want
+            assert collapsed == plain_collapsed(words, want)
+
+
+def test_pairs_are_tested_in_portions(monkeypatch):
+    monkeypatch.setattr(periodic, "MOST_PAIRS", 5)
+    words = "a b a b a b a b a b a b a b c c c c c c c c c c c c c c".split()
+    assert [(r["start"], r["length"], r["period"]) for r in next(periodic.found([" ".join(words)], 12))[0]] == plain_runs(words)
+
+
+def test_long_periodic_texts_take_little_time():
+    for words in (["a"] * 200_000, random.Random(1).choices("ab", k=200_000), [str(i % 50_000) for i in range(200_000)]):
+        runs, collapsed = next(periodic.found([" ".join(words)], 12))
+        assert runs and len(collapsed) < 2 * len(" ".join(words))
+    assert runs == [{"start": 0, "length": 200_000, "period": 50_000}]
+
+
+def test_runs_of_tables(documents):
+    rows = [(1, "a " * 20), (1, "a " * 20), (2, None), (3, ""), (None, "\t\x0bb  c\x85 " * 8), (4, "one two")]
+    answers = periodic.periodic_runs(documents(rows)).collect()
+    got = sorted((a.doc_id or 0, [tuple(r) for r in a.runs], a.collapsed) for a in answers)
+    odd = "b  c\x85"
+    assert got == [
+        (0, [(0, 16, 2)], odd),
+        (1, [(0, 20, 1)], "a"),
+        (1, [(0, 20, 1)], "a"),
+        (2, [], ""),
+        (3, [], ""),
+        (4, [], "one two"),
+    ]
+    assert periodic.periodic_runs(documents([])).collect() == []
+
+
+def test_periods_query(spark, sf_dir):
+    want = set()
+    for row in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect():
+        words = words_of(row.text)
+        h, n = zlib.crc32(str(row.doc_id).encode()), len(words)
+        if h % 10 == 0 and n:
+            g = h // 10
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            words = [words[i if i < a else a + (i - a) % p] for i in range(n)]
+        # Texts of thousands of words are held against the operator with prose of fewer.
+        found = plain_runs(words) if n < 3000 else None
+        if found is None:
+            runs, _ = next(periodic.found([" ".join(words)], 12))
+            found = [(r["start"], r["length"], r["period"]) for r in runs]
+        best = max(found, key=lambda r: (r[1], -r[0], -r[2]), default=(None,) * 3)
+        milli = 1000 * best[1] // best[2] if found else None
+        lines = "".join(f"{s},{m},{q}\n" for s, m, q in found)
+        want.add((row.doc_id, len(found), *best, milli, digest(lines), digest(plain_collapsed(words, found))))
+    got = {tuple(r) for r in catalog.op13_periods(spark, sf_dir).collect()}
+    assert got == want
+    assert any(row[1] for row in want)
+
+
+def test_rewriting_keeps_null_and_empty_texts(documents):
+    rows = [(i, text) for i in range(60) for text in (None, "", " \t")] + [(None, "a b")]
+    texts = catalog.with_periods(documents(rows)).select(F.coalesce("text", F.lit("none"))).distinct().collect()
+    assert {t[0] for t in texts} == {"none", "", " \t", "a b"}
