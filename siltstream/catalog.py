@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -18,6 +19,8 @@ from siltstream import fixtures as X
 from siltstream.functions.json_values import is_json_object
 from siltstream.operators import changelog as C
 from siltstream.operators import logs as L
+from siltstream.operators.chunked import KeyChunks, chunks_then_changes
+from siltstream.operators.old_rows import with_old_rows
 from siltstream.plans.change_capture import (
     declare_table,
     rejected_events,
@@ -28,7 +31,9 @@ from siltstream.plans.change_capture import (
 from siltstream.plans.log_split import run_log_split, split_logs
 from siltstream.sinks.topics import with_record_id, write_files
 from siltstream.sources.files import read_landed
+from siltstream.sources.once import without_repeats
 from siltstream.streaming.changelog import read_current_state, start_current_state
+from siltstream.streaming.chunked import read_chunked_capture, start_chunked_capture
 from siltstream.streaming import job as streaming_job
 from siltstream.streaming.job import JobOptions
 
@@ -43,6 +48,13 @@ ORDER_COLUMNS = ["cust", "id", "price", "status"]
 # first and the second change of the orders of that day.
 SNAPSHOT_MS = 883612800001
 
+# Eight chunks are read, the first after the first time; each reading begins
+# 180 days after the one before and takes 60 days of the feed.
+CHUNKS = 8
+CHUNK_READ_MS = 725846400000
+CHUNK_EVERY_MS = 180 * 86400 * 1000
+CHUNK_TAKES_MS = 60 * 86400 * 1000
+
 # Fixed value: the declared table of the SQL application.
 DECLARED_TABLE = "spu_sale_attr_value"
 DECLARED_ROW = (
@@ -347,6 +359,158 @@ def sink_default_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _rekeyed(spark: SparkSession, sf_dir: str, old_rows: bool = True) -> DataFrame:
+    return C.parse_changes(X.rekeyed_changes(spark, sf_dir, old_rows), ORDER_ROW)
+
+
+def cdc_current_rekeyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of a feed in which rows get other keys."""
+    return C.current_state(_rekeyed(spark, sf_dir), ["id"], CHANGE_ORDER)
+
+
+def cdc_current_rekeyed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = new_folder(spark, "rekeyed")
+
+    def start(stream: DataFrame, job: JobOptions) -> StreamingQuery:
+        return start_current_state(C.parse_changes(stream, ORDER_ROW), ["id"], CHANGE_ORDER, job, out)
+
+    _in_two_arrivals(X.rekeyed_changes(spark, sf_dir), F.col("seq") < 3, start)
+    return read_current_state(spark, out, ["id"])
+
+
+def cdc_net_rekeyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.net_rows(C.retract(_rekeyed(spark, sf_dir)), ORDER_COLUMNS)
+
+
+def cdc_retract_new_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Additions and retractions of a feed that does not say the old rows."""
+    changes = with_old_rows(_rekeyed(spark, sf_dir, False), ["id"], CHANGE_ORDER)
+    return C.retract(changes)
+
+
+def cdc_retract_new_rows_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = new_folder(spark, "new-rows")
+
+    def start(stream: DataFrame, job: JobOptions) -> StreamingQuery:
+        changes = with_old_rows(C.parse_changes(stream, ORDER_ROW), ["id"], CHANGE_ORDER)
+        return job.start(C.retract(changes).writeStream.format("parquet").option("path", out))
+
+    _in_two_arrivals(X.rekeyed_changes(spark, sf_dir, False), F.col("seq") < 3, start)
+    return spark.read.parquet(out)
+
+
+def cdc_net_new_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What they add up to: the table."""
+    return C.net_rows(cdc_retract_new_rows(spark, sf_dir), ORDER_COLUMNS)
+
+
+def _order_chunks(spark: SparkSession, sf_dir: str) -> KeyChunks:
+    last = X.table(spark, sf_dir, "orders").agg(F.max("o_orderkey")).first()[0]
+    return KeyChunks("id", tuple(last * k // CHUNKS for k in range(1, CHUNKS)))
+
+
+def _rows_while_read(changes: DataFrame, chunks: KeyChunks) -> DataFrame:
+    """Each chunk of the orders as a slow reading shows it: rows with an even key as of its
+    beginning, the others as of its end."""
+    key = F.coalesce("after.id", "before.id")
+    read = F.lit(CHUNK_READ_MS) + chunks.number(key) * F.lit(CHUNK_EVERY_MS)
+    seen = F.when(key % 2 == 0, read).otherwise(read + F.lit(CHUNK_TAKES_MS))
+    return C.current_state(changes.where(F.col("ts_ms") <= seen), ["id"], CHANGE_ORDER)
+
+
+def cdc_chunked_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders read in eight chunks at different times, joined to the changes around them."""
+    changes, chunks = _order_changes(spark, sf_dir), _order_chunks(spark, sf_dir)
+    lows = [CHUNK_READ_MS + c * CHUNK_EVERY_MS for c in range(CHUNKS)]
+    marks = spark.createDataFrame(
+        [(c, low, low + CHUNK_TAKES_MS) for c, low in enumerate(lows)],
+        "chunk int, low bigint, high bigint",
+    )
+    rows = _rows_while_read(changes, chunks)
+    events = chunks_then_changes(
+        rows, marks, changes, X.DATABASE, "orders", ["id"], ["ts_ms", "seq"], chunks
+    )
+    return _event_columns(events)
+
+
+def cdc_chunked_capture_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same beside the running feed: each chunk is read after a micro-batch of it; the
+    job is stopped in between."""
+    feed, changes = X.database_changes(spark, sf_dir), _order_changes(spark, sf_dir)
+    chunks = _order_chunks(spark, sf_dir)
+    out, landed = new_folder(spark, "chunked"), new_folder(spark, "landed")
+    rows = _rows_while_read(changes, chunks)
+    now = [0]
+
+    def read_chunk(chunk: int) -> DataFrame:
+        now[0] = CHUNK_READ_MS + chunk * CHUNK_EVERY_MS + CHUNK_TAKES_MS
+        return rows.where(chunks.condition(chunk))
+
+    ts = F.get_json_object("value", "$.ts_ms").cast("bigint")
+    past = F.floor((ts - CHUNK_READ_MS - 1) / CHUNK_EVERY_MS) + 1
+    part = F.least(F.greatest(past, F.lit(0)), F.lit(CHUNKS))
+    parted = new_folder(spark, "parted")
+    feed.withColumn("part", part).write.partitionBy("part").parquet(parted)
+    arrived = spark.read.parquet(parted)
+    for parts in (range(4), range(4, CHUNKS + 1)):
+        for n in parts:
+            some = arrived.where(F.col("part") == n).select(*feed.columns)
+            some.coalesce(1).write.mode("append").parquet(landed)
+        stream = read_landed(spark, landed, feed.schema, stream=True, max_files=1)
+        start_chunked_capture(
+            C.parse_changes(stream, ORDER_ROW),
+            X.DATABASE,
+            "orders",
+            ["id"],
+            ["ts_ms", "seq"],
+            chunks,
+            read_chunk,
+            lambda: now[0],
+            JobOptions(checkpoint=f"{out}-checkpoint", available_now=True),
+            out,
+        )
+    return _event_columns(read_chunked_capture(spark, out))
+
+
+def _written_twice(spark: SparkSession, sf_dir: str, out: str) -> None:
+    """Split logs appended to ``out`` by a job that fails after it has written a micro-batch
+    and is started again: that batch is there twice."""
+    failed = []
+
+    def append(rows: DataFrame, batch_id: int) -> None:
+        rows.write.mode("append").parquet(out)
+        if not failed:
+            failed.append(batch_id)
+            raise RuntimeError("lost after writing")
+
+    def start(stream: DataFrame, job: JobOptions) -> StreamingQuery:
+        writer = split_logs(stream, LOG_ORDER).writeStream.foreachBatch(append)
+        try:
+            return job.start(writer)
+        except StreamingQueryException:
+            return job.start(writer)
+
+    logs = X.app_logs(spark, sf_dir)
+    _in_two_arrivals(logs, _half_time(logs), start)
+
+
+def sink_repeats_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = new_folder(spark, "repeated")
+    _written_twice(spark, sf_dir, out)
+    return _topic_totals(without_repeats(spark.read.parquet(out), "1 day"))
+
+
+def sink_repeats_dropped_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records per topic of what a job wrote twice, read once by a stream."""
+    repeated, out = new_folder(spark, "repeated"), new_folder(spark, "once")
+    _written_twice(spark, sf_dir, repeated)
+    written = spark.read.parquet(repeated)
+    stream = read_landed(spark, repeated, written.schema, stream=True, max_files=2)
+    rows = without_repeats(stream, "1 day").writeStream.format("parquet").option("path", out)
+    JobOptions(checkpoint=f"{out}-checkpoint", available_now=True).start(rows)
+    return _topic_totals(spark.read.parquet(out))
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
@@ -376,6 +540,16 @@ QUERIES: dict[str, Query] = {
         cdc_current_state_faulty,
         cdc_unplaced_events,
         cdc_initial_capture_stream,
+        cdc_current_rekeyed,
+        cdc_current_rekeyed_stream,
+        cdc_net_rekeyed,
+        cdc_retract_new_rows,
+        cdc_retract_new_rows_stream,
+        cdc_net_new_rows,
+        cdc_chunked_union,
+        cdc_chunked_capture_stream,
         sink_default_topic,
+        sink_repeats_dropped,
+        sink_repeats_dropped_stream,
     )
 }

@@ -178,6 +178,49 @@ def attribute_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Fixed value: what is added to the key of an order that gets another one.
+MOVED = 1_000_000_000
+
+
+def rekeyed_changes(spark: SparkSession, sf_dir: str, old_rows: bool = True) -> DataFrame:
+    """Change events of orders of which every seventh gets another key.
+
+    As :func:`order_changes`, with the change of the key (``seq`` 3) between the update and
+    the delete (4). Without ``old_rows`` the old row holds the key only, where an event needs
+    it: deletes and changes of the key; every fifteenth order is then deleted twice (4, 5).
+    """
+    row = "named_struct('cust', o_custkey, 'id', {id}, 'price', {price}, 'status', o_orderstatus)"
+    only = (
+        "named_struct('cust', if(true, NULL, o_custkey), 'id', {id}, 'price',"
+        " if(true, NULL, o_totalprice), 'status', if(true, NULL, o_orderstatus))"
+    )
+    old = row if old_rows else only
+    nothing = "if(true, NULL, first)"
+    updated, moved = "o_orderkey % 2 = 0", "o_orderkey % 7 = 0"
+    deleted = _change(4, repr("d"), "gone", nothing)
+    return _histories(
+        spread(table(spark, sf_dir, "orders"), "o_orderkey"),
+        "orders",
+        [
+            f"if({updated}, o_totalprice + 1, o_totalprice) AS now",
+            f"if({moved}, o_orderkey + {MOVED}, o_orderkey) AS last_id",
+            row.format(id="CAST(o_orderkey AS BIGINT)", price="o_totalprice") + " AS first",
+            row.format(id="CAST(o_orderkey AS BIGINT)", price="now") + " AS second",
+            old.format(id="CAST(o_orderkey AS BIGINT)", price="now") + " AS left_row",
+            row.format(id="CAST(last_id AS BIGINT)", price="now") + " AS third",
+            old.format(id="CAST(last_id AS BIGINT)", price="now") + " AS gone",
+        ],
+        [
+            _change(1, "if(o_orderkey % 3 = 1, 'c', 'r')", nothing, "first"),
+            f"if({updated}, {_change(2, repr('u'), 'first' if old_rows else nothing, 'second')}, NULL)",
+            f"if({moved}, {_change(3, repr('u'), 'left_row', 'third')}, NULL)",
+            f"if(o_orderkey % 5 = 0, {deleted}, NULL)",
+            f"if({str(not old_rows).lower()} AND o_orderkey % 15 = 0,"
+            f" {_change(5, repr('d'), 'gone', nothing)}, NULL)",
+        ],
+    )
+
+
 # What is wrong with an event, by the order's key modulo 20; all others are creates.
 _FAULTS = {
     0: "left({text}, length({text}) - 1)",

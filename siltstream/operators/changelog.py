@@ -216,15 +216,43 @@ def key_columns(keys: Sequence[str]) -> list[Column]:
     ]
 
 
+def split_key_changes(changes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Valid typed events of known type, each about one key.
+
+    An update whose old row has another key than its new one becomes a delete of the old row
+    and a creation of the new one; ``step`` (0, then 1) orders the two. What the old row does
+    not say cannot differ: an update without it, or without its key, stays one event.
+    """
+    before, after = F.col("before"), F.col("after")
+    known = changes.where(F.col("valid") & I.is_known_op(F.col("op")))
+    moved, named = F.lit(False), F.lit(True)
+    for key in keys:
+        moved |= ~before.getField(key).eqNullSafe(after.getField(key))
+        named &= before.getField(key).isNotNull()
+    moves = F.col("op").eqNullSafe(I.UPDATE) & named & after.isNotNull() & moved
+    nothing = F.lit(None).cast(changes.schema["after"].dataType)
+
+    def step(number: int, op: Column, old: Column, new: Column) -> Column:
+        return F.struct(
+            op.alias("op"), old.alias("before"), new.alias("after"), F.lit(number).alias("step")
+        )
+
+    steps = F.when(
+        moves, F.array(step(0, F.lit(I.DELETE), before, nothing), step(1, F.lit(I.CREATE), nothing, after))
+    ).otherwise(F.array(step(0, F.col("op"), before, after)))
+    others = [name for name in changes.columns if name not in ("op", "before", "after", "step")]
+    return known.select(*others, F.inline(steps))
+
+
 def latest_images(changes: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Per key the last event, as ``last`` = struct of ``op`` and ``after``.
 
     ``order`` must be unique within a key. Events are combined before the shuffle,
-    so a key with a third of all events costs no more than any other. Runs on
-    streams as well, in update or complete mode.
+    so a key with a third of all events costs no more than any other. An update that gives
+    a row another key ends the row of the old key. Runs on streams as well, in update or
+    complete mode.
     """
-    known = changes.where(F.col("valid") & I.is_known_op(F.col("op")))
-    events = known.select(
+    events = split_key_changes(changes, keys).select(
         *key_columns(keys),
         F.struct("op", "after").alias("_event"),
         F.struct(*order).alias("_position"),
@@ -243,8 +271,9 @@ def is_live() -> Column:
     return ~F.col("op").eqNullSafe(I.DELETE) & F.col("after").isNotNull()
 
 
-def snapshot_events(rows: DataFrame, database: str, table: str, ts_ms: int) -> DataFrame:
+def snapshot_events(rows: DataFrame, database: str, table: str, ts_ms: int | Column) -> DataFrame:
     """Rows of a table read in full, as typed events of type snapshot."""
+    ts_ms = ts_ms if isinstance(ts_ms, Column) else F.lit(ts_ms)
     image = F.struct(*rows.columns)
     return rows.select(
         F.lit(None).cast("string").alias("value"),
@@ -254,7 +283,7 @@ def snapshot_events(rows: DataFrame, database: str, table: str, ts_ms: int) -> D
         F.lit(database).alias("db"),
         F.lit(table).alias("table"),
         F.lit(I.SNAPSHOT).alias("op"),
-        F.lit(ts_ms).cast("bigint").alias("ts_ms"),
+        ts_ms.cast("bigint").alias("ts_ms"),
     )
 
 
@@ -305,9 +334,8 @@ def _rewind(
 ) -> DataFrame:
     """The table's rows as they were before the events in ``meanwhile``."""
     first = F.min_by(F.struct("op", "before"), F.struct(*order))
-    touched = (
-        meanwhile.select("*", *key_columns(keys)).groupBy(*keys).agg(first.alias("_first"))
-    )
+    events = split_key_changes(meanwhile, keys).drop(*keys)
+    touched = events.select("*", *key_columns(keys)).groupBy(*keys).agg(first.alias("_first"))
     # One join gives both the rows that stay and those taken back, from one reading of the
     # events.
     both = rows.select(*keys, F.struct(*rows.columns).alias("_row")).join(touched, list(keys), "full_outer")

@@ -6,8 +6,8 @@ together as JSON.
 
 from __future__ import annotations
 
-from siltstream.catalog import SNAPSHOT_MS
-from siltstream.fixtures import faulty_text
+from siltstream.catalog import CHUNK_EVERY_MS, CHUNK_READ_MS, CHUNK_TAKES_MS, CHUNKS, SNAPSHOT_MS
+from siltstream.fixtures import MOVED, faulty_text
 
 # One row per event: what the log text says, without the text.
 _LOGS = """
@@ -184,6 +184,45 @@ WITH {_FORMATTED}, at_start AS (
 SELECT 'ods_base_db' AS topic, {_record_text("data", "before", "name", "kind", "ts")} AS value
 FROM records"""
 
+# One row per order whose key may change: its rows before and after.
+_MOVES = f"""
+base AS (
+  SELECT o_custkey AS cust, o_orderkey AS id, o_totalprice AS price, o_orderstatus AS status,
+         CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS now,
+         CASE WHEN o_orderkey % 7 = 0 THEN o_orderkey + {MOVED} ELSE o_orderkey END AS last_id
+  FROM orders
+)"""
+
+_REKEYED = f"""
+WITH {_MOVES}
+SELECT cust, last_id AS id, now AS price, status FROM base WHERE id % 5 <> 0"""
+
+_RETRACT_NEW = f"""
+WITH {_MOVES}
+SELECT 1 AS seq, 0 AS step, true AS added, cust, id, price, status FROM base
+UNION ALL SELECT 2, 0, false, cust, id, price, status FROM base WHERE id % 2 = 0
+UNION ALL SELECT 2, 0, true, cust, id, now, status FROM base WHERE id % 2 = 0
+UNION ALL SELECT 3, 0, false, cust, id, now, status FROM base WHERE id % 7 = 0
+UNION ALL SELECT 3, 1, true, cust, last_id, now, status FROM base WHERE id % 7 = 0
+UNION ALL SELECT 4, 0, false, cust, last_id, now, status FROM base WHERE id % 5 = 0"""
+
+_CHUNKED = f"""
+WITH {_CHANGES}, ends AS (
+  SELECT max(o_orderkey) AS last FROM orders
+), placed AS (
+  SELECT *, {CHUNK_READ_MS + CHUNK_TAKES_MS} + {CHUNK_EVERY_MS} * CAST(
+         len(list_filter(range(1, {CHUNKS}), lambda k: last * k // {CHUNKS} <= id)) AS BIGINT) AS high
+  FROM changes, ends
+), at_mark AS (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS back
+  FROM placed WHERE ts_ms <= high
+)
+SELECT id, 'r' AS op, high AS ts_ms, CAST(NULL AS DOUBLE) AS old_price, new_price, status
+FROM at_mark WHERE back = 1 AND op <> 'd'
+UNION ALL
+SELECT id, op, ts_ms, old_price, new_price, CASE WHEN op <> 'd' THEN status END
+FROM placed WHERE ts_ms > high"""
+
 _FAULTY = f"""
 faulty AS (
   SELECT CAST(o_orderkey AS BIGINT) AS order_id, o_orderkey % 20 AS fault, o_custkey,
@@ -258,6 +297,16 @@ SELECT CASE WHEN fault IN (0, 1, 2, 7) THEN 'ods_dirty_db' ELSE 'ods_base_db' EN
        count(*) AS records
 FROM faulty WHERE fault IN (0, 1, 7) OR order_id > 100 GROUP BY 1""",
     "cdc_initial_capture_stream": _INITIAL,
+    "cdc_current_rekeyed": _REKEYED,
+    "cdc_current_rekeyed_stream": _REKEYED,
+    "cdc_net_rekeyed": f"SELECT *, CAST(1 AS BIGINT) AS net FROM ({_REKEYED})",
+    "cdc_retract_new_rows": _RETRACT_NEW,
+    "cdc_retract_new_rows_stream": _RETRACT_NEW,
+    "cdc_net_new_rows": f"SELECT *, CAST(1 AS BIGINT) AS net FROM ({_REKEYED})",
+    "cdc_chunked_union": _CHUNKED,
+    "cdc_chunked_capture_stream": _CHUNKED,
+    "sink_repeats_dropped": _FANOUT,
+    "sink_repeats_dropped_stream": _FANOUT,
     "sink_default_topic": """
 SELECT CASE WHEN event_type = 'signup' THEN 'dwd_default_topic' ELSE event_type END AS topic,
        count(*) AS records, count(*) AS ids

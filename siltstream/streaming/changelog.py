@@ -71,18 +71,26 @@ def read_current_state(spark: SparkSession, path: str, keys: Sequence[str]) -> D
     return _last(spark, path, keys).where(is_live()).select("after.*")
 
 
-def _folders(spark: SparkSession, path: str) -> tuple[int | None, list[int]]:
-    """The last complete base, and the complete batches after it."""
+def complete_folders(spark: SparkSession, path: str, kind: str) -> list[int]:
+    """The numbers n of the folders ``kind=n`` below a path that were written to their end."""
     hadoop = spark._jvm.org.apache.hadoop.fs
     root = hadoop.Path(path)
     store = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    found: dict[str, list[int]] = {"base": [], "batch": []}
+    if not store.exists(root):
+        return []
+    found = []
     for entry in store.listStatus(root):
-        kind, _, number = entry.getPath().getName().partition("=")
-        if kind in found and store.exists(hadoop.Path(entry.getPath(), "_SUCCESS")):
-            found[kind].append(int(number))
-    base = max(found["base"], default=None)
-    return base, sorted(n for n in found["batch"] if base is None or n > base)
+        name, _, number = entry.getPath().getName().partition("=")
+        if name == kind and store.exists(hadoop.Path(entry.getPath(), "_SUCCESS")):
+            found.append(int(number))
+    return sorted(found)
+
+
+def _folders(spark: SparkSession, path: str) -> tuple[int | None, list[int]]:
+    """The last complete base, and the complete batches after it."""
+    base = max(complete_folders(spark, path, "base"), default=None)
+    batches = complete_folders(spark, path, "batch")
+    return base, [n for n in batches if base is None or n > base]
 
 
 def _last(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
