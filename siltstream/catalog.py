@@ -181,6 +181,13 @@ def log_display_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _route(spark, sf_dir, L.DISPLAY_TOPIC).select("event_id", "position", "value")
 
 
+def log_display_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Display records of objects whose numbers no type holds, to the character."""
+    parsed = L.parse_logs(X.odd_displays(spark, sf_dir))
+    routed = L.route_of(L.correct_is_new(parsed, ["event_id"]), L.DISPLAY_TOPIC)
+    return routed.select("event_id", "position", "value")
+
+
 def _topic_totals(routed: DataFrame) -> DataFrame:
     return routed.groupBy("topic").agg(
         F.count("*").alias("records"), F.sum(F.length("value")).alias("chars")
@@ -213,6 +220,11 @@ def cdc_format_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.format_full(C.parse_changes(X.database_changes(spark, sf_dir)))
 
 
+def cdc_format_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Change records of such objects, to the character."""
+    return C.format_full(C.parse_changes(X.odd_changes(spark, sf_dir)))
+
+
 def cdc_capture_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The database capture application: formatted records, per topic and text."""
     out = new_folder(spark, "capture")
@@ -438,9 +450,9 @@ def cdc_chunked_capture_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     job is stopped in between."""
     feed, changes = X.database_changes(spark, sf_dir), _order_changes(spark, sf_dir)
     chunks = _order_chunks(spark, sf_dir)
-    out, landed = new_folder(spark, "chunked"), new_folder(spark, "landed")
-    rows = _rows_while_read(changes, chunks)
-    now = [0]
+    out, landed, table = (new_folder(spark, n) for n in ("chunked", "landed", "table"))
+    _rows_while_read(changes, chunks).write.parquet(table)
+    rows, now = spark.read.parquet(table), [0]
 
     def read_chunk(chunk: int) -> DataFrame:
         now[0] = CHUNK_READ_MS + chunk * CHUNK_EVERY_MS + CHUNK_TAKES_MS
@@ -522,11 +534,13 @@ QUERIES: dict[str, Query] = {
         log_page_route,
         log_page_odd,
         log_display_route,
+        log_display_exact,
         log_topic_fanout,
         log_topic_fanout_stream,
         cdc_raw_events,
         cdc_format_after,
         cdc_format_full,
+        cdc_format_exact,
         cdc_capture_stream,
         cdc_snapshot_union,
         cdc_snapshot_overlap,

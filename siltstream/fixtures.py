@@ -84,6 +84,33 @@ def odd_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# An object whose numbers no type holds, with null members and white space to be left out.
+_ODD_OBJECT = """concat('{"z" : 1e400,"long":', repeat('1234567890', 5), event_id,
+  if(event_id % 3 = 0, ',\n "gone":null', ''),
+  ',"m":1.50,"note":"a ]}, null","in":[{"x":-0.0, "no":null},"[",10.0]}')"""
+
+
+def odd_displays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page log per event whose page and first display are such an object; its second
+    display is a number."""
+    events = spread(table(spark, sf_dir, "events"), "event_id")
+    return events.selectExpr(
+        "event_id",
+        f"""concat('{{"page":', {_ODD_OBJECT}, ',"common":{{"mid":"mid_', user_id,
+             '","is_new":"0","v":1.50}}, "displays":[', {_ODD_OBJECT}, ', 2.500],"ts":', event_id, '}}') AS value""",
+    )
+
+
+def odd_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An update per event whose new row is such an object."""
+    events = spread(table(spark, sf_dir, "events"), "event_id")
+    return events.selectExpr(
+        "event_id",
+        f"""concat('{{"op":"u","after": ', {_ODD_OBJECT}, ',"before":{{"was" :1.50}},"source":{{"db":"{DATABASE}",',
+             '"table":"odd"}},"ts_ms":', event_id, '}}') AS value""",
+    )
+
+
 def _envelope(name: str, op: str, before: str, after: str, ts_ms: str) -> str:
     return f"""to_json(named_struct(
       'before', {before},

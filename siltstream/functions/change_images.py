@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstream.functions.json_values import to_text
+from siltstream.functions.json_values import compact, drop_null_members, exact_member, to_text
 
 # The operation codes of a change event and their record types.
 SNAPSHOT = "r"
@@ -73,10 +73,21 @@ def _typed(text: Column, kind: T.DataType) -> Column:
     return text.try_cast(kind)
 
 
-def image_json(image: Column) -> Column:
-    """JSON text of a row image, ``{}`` if there is none; null fields are left out."""
+def image_json(image: Column, value: Column | None = None, member: str | None = None) -> Column:
+    """JSON text of a row image, ``{}`` if there is none; null fields are left out.
+
+    With the event's text as ``value`` and the image's name there as ``member`` the image's
+    own text is taken: fields keep their order and values every character. Where it cannot be
+    cut out (see :func:`~siltstream.functions.json_values.exact_member`) the parsed image is
+    written anew, fields sorted by name.
+    """
+    text = to_text(image)
+    if value is not None:
+        own = F.when(image.isNotNull(), compact(exact_member(value, member)))
+        own = F.when(F.contains(own, F.lit(":null")), drop_null_members(own)).otherwise(own)
+        text = F.coalesce(own, text)
     text = F.transform(
-        F.array(to_text(image)),
+        F.array(text),
         lambda t: F.when(t.startswith("{"), t).otherwise(F.lit(EMPTY_IMAGE)),
     )
     return F.get(text, F.lit(0))

@@ -34,6 +34,27 @@ _NULL_MEMBER = (
 )
 
 
+#: Brackets in brackets that the patterns of exact members follow.
+NESTING = 32
+_GAP = "[ \\t\\r\\n]*+"
+
+
+def _bracketed(depth: int) -> str:
+    """Pattern of an object or array of valid JSON. Quantifiers are possessive, which Java
+    runs as loops, so that only nesting and never length takes stack."""
+    plain = r'[^"\[\]{}]*+'
+    inside = _MEMBER_NAME
+    pattern = ""
+    for _ in range(depth):
+        pattern = rf"[\[{{]{plain}(?:(?:{inside}){plain})*+[\]}}]"
+        inside = f"{_MEMBER_NAME}|{pattern}"
+    return pattern
+
+
+_VALUE = rf'(?:{_MEMBER_NAME}|{_bracketed(NESTING)}|[^,\[\]{{}}" \t\r\n]++)'
+_MEMBER = f"{_MEMBER_NAME}{_GAP}:{_GAP}{_VALUE}{_GAP}"
+
+
 def once(frame: DataFrame, keep: list[str], columns: dict[str, Column]) -> DataFrame:
     """Select ``keep`` and add ``columns``, evaluating each exactly once per row.
 
@@ -123,6 +144,33 @@ def put(members: Column, name: str, value: Column) -> Column:
     return F.map_concat(others, F.create_map(F.lit(name), value))
 
 
+def exact_member(text: Column, name: str) -> Column:
+    """A member's value as it is written in the ``text`` of a valid object, to the character.
+
+    NULL if there is no such member, if its name occurs twice or is spelled with an escape,
+    or below more than NESTING brackets: take it from the parsed value then.
+    """
+    named = f'"{name}"{_GAP}:'
+    pattern = (
+        f"^{_GAP}\\{{{_GAP}(?:(?!{named}){_MEMBER},{_GAP})*+{named}{_GAP}({_VALUE}){_GAP}"
+        f"(?:,{_GAP}(?!{named}){_MEMBER})*+\\}}{_GAP}$"
+    )
+    return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
+
+
+def exact_elements(text: Column) -> Column:
+    """The elements of the ``text`` of a valid array as they are written, with the limit of
+    :func:`exact_member`."""
+    inner = F.regexp_extract(text, f"(?s)^{_GAP}\\[(.*)\\]{_GAP}$", 1)
+    return F.regexp_extract_all(inner, F.lit(f"({_VALUE})"), F.lit(1))
+
+
+def compact(text: Column) -> Column:
+    """Valid JSON text without white space between its members."""
+    spaced = text.rlike("[ \t\r\n]")
+    return F.when(spaced, F.regexp_replace(text, _SPACE, "$1")).otherwise(text)
+
+
 def to_long(text: Column) -> Column:
     """Number text as BIGINT; a fraction is cut off, anything else is NULL."""
     return text.try_cast("decimal(38,9)").try_cast("bigint")

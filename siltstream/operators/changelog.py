@@ -92,18 +92,34 @@ def raw_changes(changes: DataFrame) -> DataFrame:
     return changes.select(*carried(changes), "value")
 
 
+def _image_texts(changes: DataFrame) -> tuple[Column, Column]:
+    """JSON texts of the old and the new row. Images of a declared type are written from
+    their values, others as the event's own text has them."""
+    op = F.col("op")
+    own = isinstance(changes.schema["after"].dataType, T.VariantType)
+    texts = [
+        I.image_json(image, *([F.col("value"), name] if own else []))
+        for image, name in (
+            (I.before_image(op, F.col("before")), "before"),
+            (I.after_image(op, F.col("after")), "after"),
+        )
+    ]
+    return texts[0], texts[1]
+
+
 def format_after(changes: DataFrame) -> DataFrame:
     """New row and origin of every valid event: ``data, db, tableName, op, ts``.
 
     ``data`` is the new row as JSON text, ``{}`` for a delete; ``op`` stays the
     code and may be anything.
     """
+    _, new = _image_texts(changes)
     return changes.select(
         *carried(changes),
         J.emit_when(
             F.col("valid"),
             {
-                "data": I.image_json(I.after_image(F.col("op"), F.col("after"))),
+                "data": new,
                 "db": F.col("db"),
                 "tableName": F.col("table"),
                 "op": F.col("op"),
@@ -121,13 +137,14 @@ def format_full(changes: DataFrame) -> DataFrame:
     :func:`rejected_changes`.
     """
     op = F.col("op")
+    old, new = _image_texts(changes)
     return changes.select(
         *carried(changes),
         J.emit_when(
             F.col("valid") & I.is_known_op(op),
             {
-                "data": I.image_json(I.after_image(op, F.col("after"))),
-                "beforeDate": I.image_json(I.before_image(op, F.col("before"))),
+                "data": new,
+                "beforeDate": old,
                 "db": F.col("db"),
                 "tableName": F.col("table"),
                 "type": I.op_name(op),
@@ -159,10 +176,11 @@ def route_changes(changes: DataFrame) -> DataFrame:
     """Fully formatted records and rejected events in one pass, told apart by ``topic``."""
     op = F.col("op")
     accepted = F.col("valid") & I.is_known_op(op)
+    old, new = _image_texts(changes)
     record = F.to_json(
         F.struct(
-            I.image_json(I.after_image(op, F.col("after"))).alias("data"),
-            I.image_json(I.before_image(op, F.col("before"))).alias("beforeDate"),
+            new.alias("data"),
+            old.alias("beforeDate"),
             F.col("db"),
             F.col("table").alias("tableName"),
             I.op_name(op).alias("type"),

@@ -163,6 +163,7 @@ def route_logs(
         .withColumn("_start", start)
         .withColumn("_displays", F.when(~is_start, _displays()))
         .withColumn("_context", F.when(shown, _display_context()))
+        .withColumn("_texts", F.when(shown, _display_texts()))
     )
     nothing = F.array().cast(_ROUTES)
 
@@ -173,7 +174,7 @@ def route_logs(
         DISPLAY_TOPIC,
         F.transform(
             "_displays",
-            lambda display, i: _routed(DISPLAY_TOPIC, _display_text(display), i),
+            lambda display, i: _routed(DISPLAY_TOPIC, _display_text(display, i), i),
         ),
     )
     page = route(PAGE_TOPIC, F.array(_routed(PAGE_TOPIC, F.col("value"))))
@@ -198,22 +199,40 @@ def _displays() -> Column:
     return F.coalesce(array, spelled)
 
 
+def _display_texts() -> Column:
+    """The texts of the elements of ``displays`` as they are written; NULL if they cannot be
+    told apart there."""
+    spelled = F.try_variant_get("_log.displays", "$", "string")
+    listed = F.try_variant_get("_log.displays", "$", "array<variant>").isNotNull()
+    text = F.when(listed, J.exact_member(F.col("value"), "displays")).otherwise(J.compact(spelled))
+    texts = J.exact_elements(text)
+    return F.transform(
+        F.array(texts), lambda found: F.when(F.size(found) == F.size("_displays"), found)
+    )[0]
+
+
 def _display_context() -> Column:
-    """What all displays of a record share: ``common``, ``page`` and ``ts``."""
-    page = F.col("_log.page")
+    """What all displays of a record share: ``common``, ``page`` and ``ts``. Members keep the
+    text they have in the record."""
+    value, page = F.col("value"), F.col("_log.page")
+    common = F.coalesce(J.exact_member(value, "common"), F.to_json("_log.common"))
     text = F.try_variant_get(page, "$", "string")
-    spelled = F.when(J.is_json_object(text), F.try_parse_json(text))
-    page = F.coalesce(F.when(J.object_at(page).isNotNull(), page), spelled)
+    spelled = F.when(J.is_json_object(text), J.normal_text(text))
+    own = F.when(
+        J.object_at(page).isNotNull(), F.coalesce(J.exact_member(value, "page"), J.to_text(page))
+    )
     return F.concat_ws(
         ",",
-        J.member("common", F.col("_log.common")),
-        F.concat(F.lit('"page":'), J.to_text(page)),
+        F.when(~F.is_variant_null("_log.common"), F.concat(F.lit('"common":'), common)),
+        F.concat(F.lit('"page":'), F.coalesce(own, spelled)),
         F.concat(F.lit('"ts":'), J.to_long(F.col("_log.ts"))),
     )
 
 
-def _display_text(display: Column) -> Column:
-    return J.object_text(F.col("_context"), J.member("display", display))
+def _display_text(display: Column, position: Column) -> Column:
+    text = F.coalesce(F.get("_texts", position), F.to_json(display))
+    shown = F.when(~F.is_variant_null(display), F.concat(F.lit('"display":'), text))
+    return J.object_text(F.col("_context"), shown)
 
 
 def route_of(corrected: DataFrame, topic: str, full_start: bool = False) -> DataFrame:

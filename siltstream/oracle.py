@@ -59,8 +59,8 @@ _ROUTES = f"""
   SELECT event_id, {_STORED} AS value FROM fixed WHERE NOT is_start
 ), shown AS (
   SELECT event_id, CAST(i AS INTEGER) AS position,
-         '{{"common":{{"is_new":"' || new_flag || '","mid":"' || mid || '"}},"page":'
-         || '{{"during_time":' || k || ',"page_id":"' || event_type || '"}},"ts":' || ts
+         '{{"common":{{"mid":"' || mid || '","is_new":"' || new_flag || '"}},"page":'
+         || '{{"page_id":"' || event_type || '","during_time":' || k || '}},"ts":' || ts
          || ',"display":{{"item":' || (i + 1) || ',"order":' || (i + 1) || '}}}}' AS value
   FROM fixed, range(0, 3) AS r(i) WHERE NOT is_start AND i < k % 4
 )"""
@@ -69,6 +69,10 @@ _IS_NEW = f"""
 WITH {_LOGS}
 SELECT event_id, mid, new_flag AS is_new, new_flag AS text_is_new, corrected FROM fixed"""
 
+# An object whose numbers no type holds: 50 digits and more, a zero at the end, out of range.
+_ODD_OBJECT = """('{"z":1e400,"long":' || repeat('1234567890', 5) || event_id
+       || ',"m":1.50,"note":"a ]}, null","in":[{"x":-0.0},"[",10.0]}')"""
+
 _FANOUT = f"""
 WITH {_ROUTES}, routed AS (
   SELECT 'dwd_dirty_log' AS topic, value FROM dirty
@@ -107,19 +111,17 @@ def _image(price: str, number: str) -> str:
     )
 
 
-# A number in schema-free JSON has no trailing zero.
-_PLAIN = "regexp_replace(CAST({} AS VARCHAR), '\\.0$', '')"
 _DOUBLE = "CAST({} AS VARCHAR)"
 
 _FORMATTED = f"""
 {_CHANGES}, formatted AS (
   SELECT seq, op, ts_ms AS ts, 'orders' AS "tableName",
-         coalesce({_image("new_price", _PLAIN)}, '{{}}') AS data,
-         coalesce({_image("old_price", _PLAIN)}, '{{}}') AS "beforeDate"
+         coalesce({_image("new_price", _DOUBLE)}, '{{}}') AS data,
+         coalesce({_image("old_price", _DOUBLE)}, '{{}}') AS "beforeDate"
   FROM changes
   UNION ALL
   SELECT 1, 'r', c_custkey * 10, 'customer',
-         '{{"balance":' || {_PLAIN.format("c_acctbal")} || ',"id":' || c_custkey
+         '{{"balance":' || {_DOUBLE.format("c_acctbal")} || ',"id":' || c_custkey
          || ',"name":"' || c_name || '"}}', '{{}}'
   FROM customer
 ), full_form AS (
@@ -251,6 +253,15 @@ SELECT event_id, '{"common":{"mid":"mid_' || user_id || '","is_new":"0"},"page":
        || repeat('1234567890', 5) || event_id || ',"m":1.50,"note":"a null"}}' AS value
 FROM events""",
     "log_display_route": f"WITH {_ROUTES} SELECT event_id, position, value FROM shown",
+    "log_display_exact": f"""
+SELECT event_id, CAST(0 AS INTEGER) AS position,
+       '{{"common":{{"mid":"mid_' || user_id || '","is_new":"0","v":1.50}},"page":' || {_ODD_OBJECT}
+       || ',"ts":' || event_id || ',"display":' || {_ODD_OBJECT} || '}}' AS value
+FROM events
+UNION ALL
+SELECT event_id, 1, '{{"common":{{"mid":"mid_' || user_id || '","is_new":"0","v":1.50}},"page":'
+       || {_ODD_OBJECT} || ',"ts":' || event_id || ',"display":2.500}}'
+FROM events""",
     "log_topic_fanout": _FANOUT,
     "log_topic_fanout_stream": _FANOUT,
     "cdc_raw_events": f"""
@@ -265,6 +276,10 @@ FROM changes""",
 WITH {_FORMATTED}
 SELECT seq, data, 'shop' AS db, "tableName", op, ts FROM formatted WHERE "tableName" = 'orders'""",
     "cdc_format_full": f"WITH {_FORMATTED} SELECT * FROM full_form",
+    "cdc_format_exact": f"""
+SELECT CAST(event_id AS BIGINT) AS event_id, {_ODD_OBJECT} AS data, '{{"was":1.50}}' AS "beforeDate",
+       'shop' AS db, 'odd' AS "tableName", 'update' AS type, CAST(event_id AS BIGINT) AS ts
+FROM events""",
     "cdc_capture_stream": f"""
 WITH {_FORMATTED}
 SELECT 'ods_base_db' AS topic, seq,

@@ -1,4 +1,5 @@
 import json
+import random
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -123,3 +124,44 @@ def test_put_replaces_or_adds(spark):
     column = F.to_json(J.put(members, "k", F.parse_json(F.lit("5"))))
     results = _evaluate(spark, ['{"k":1,"z":2}', '{"z":2}'], column)
     assert [json.loads(r) for r in results] == [{"k": 5, "z": 2}, {"k": 5, "z": 2}]
+
+
+def _any_value(source, depth):
+    kind = source.randrange(9)
+    if kind == 0 and depth:
+        names = ["a", "page", 'b"c', "é}", "x{"]
+        return {source.choice(names): _any_value(source, depth - 1) for _ in range(source.randrange(4))}
+    if kind == 1 and depth:
+        return [_any_value(source, depth - 1) for _ in range(source.randrange(4))]
+    return source.choice([1.5, 1e300, -3, True, None, "s", "]}", '"q\\', '{"page":1}', "é😀\n", 10**22 + 1])
+
+
+def test_members_and_elements_are_cut_out_as_written(spark):
+    source = random.Random(1)
+    names = ["a", "page", "z", "pages", '"page"']
+    objects = [{k: _any_value(source, 4) for k in source.sample(names, source.randrange(1, 6))} for _ in range(300)]
+    texts = [json.dumps(o, ensure_ascii=source.random() < 0.5, indent=source.choice([None, 1])) for o in objects]
+    arrays = [[_any_value(source, 3) for _ in range(source.randrange(5))] for _ in range(300)]
+    rows = spark.createDataFrame([(i, t, json.dumps(a)) for i, (t, a) in enumerate(zip(texts, arrays))], "i int, o string, a string")
+    for r in rows.select("i", J.exact_member(F.col("o"), "page").alias("m"), J.exact_elements(F.col("a")).alias("e")).collect():
+        assert (r.m is None) == ("page" not in objects[r.i])
+        assert r.m is None or (json.loads(r.m) == objects[r.i]["page"] and r.m in texts[r.i])
+        assert [json.loads(t) for t in r.e] == arrays[r.i]
+
+
+def test_long_members_take_no_stack_and_odd_ones_are_left_to_the_parser(spark):
+    long = '{"a":[' + ",".join('{"k":%d.50}' % i for i in range(100_000)) + '],"page":{"x":"' + '\\\\\\"y' * 100_000 + '"}}'
+    nested = '{{"a":{}1.0{},"page":1.50}}'
+    cases = [
+        (long, long[long.index('"page":') + 7 : -1]),
+        (nested.format("[" * 31, "]" * 31), "1.50"),
+        (nested.format("[" * 40, "]" * 40), None),
+        ('{"page":1.0,"page":2.0}', None),
+        ('{"p\\u0061ge":1.0}', None),
+        (' { "page" : [1.0 , 2] } ', "[1.0 , 2]"),
+        ("{}", None),
+        (None, None),
+    ]
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, o string")
+    for r in rows.select("i", J.exact_member(F.col("o"), "page").alias("m")).collect():
+        assert r.m == cases[r.i][1]
