@@ -41,17 +41,30 @@ class WordIds:
 
     PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
     OTHER = re.compile("[^\x00-\x1b\x20-\x84\x86-ɏ]")
-    #: Words, and parts of words, that a store holds before a new one is begun.
-    MOST_WORDS = 300_000
+    #: Words that a store holds before a new one is begun; the one before is kept as well.
+    MOST_WORDS = 700_000
+    #: Parts that go through the tokenizer as one text.
+    AT_ONCE = 200
 
     def __init__(self, path: str) -> None:
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        rules = json.loads(self.whole.to_str())
+        self.by_word = self.splits_words(rules)
+        # The named call knows the special tokens by their strings, which no word may split.
+        strings = [re.escape(token["content"]) for token in rules["added_tokens"]]
+        self.special = re.compile("|".join(strings)) if strings else None
         self.part = Tokenizer.from_file(path)
         self.part.encode_special_tokens = True
-        self.by_word = self.splits_words(json.loads(self.whole.to_str()))
         self.part.normalizer = None
-        self.part.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.part.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
+        # The last token of each part, and no other, bears the mark of a word's end.
+        suffix = rules["model"].get("end_of_word_suffix") or ""
+        self.by_word &= bool(suffix)
+        ids = self.whole.get_vocab()
+        self.final = np.zeros(max(ids.values()) + 1, bool)
+        self.final[[i for token, i in ids.items() if token.endswith(suffix)]] = True
         self.words: dict[str, bytes] = {}
         self.older_words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
@@ -69,7 +82,8 @@ class WordIds:
         gaps: dict[int, tuple[list, list]] = {}
         missing: set[str] = set()
         for k, text in enumerate(texts):
-            if not self.by_word or self.OTHER.search(text) or not unicodedata.is_normalized("NFC", text):
+            plain = self.by_word and not self.OTHER.search(text) and unicodedata.is_normalized("NFC", text)
+            if not plain or (self.special and self.special.search(text)):
                 out[k] = packed_ids(self.whole.encode(text, add_special_tokens=False).ids)
                 continue
             words = text.lower().split()
@@ -92,20 +106,26 @@ class WordIds:
         """Ids of words that are not at hand: from those set aside last, or from their parts."""
         if len(self.words) > self.MOST_WORDS:
             self.words, self.older_words = {}, self.words
-        older = self.older_words
-        known = {word: older[word] for word in words if word in older}
-        split = {word: self.split(word) for word in words if word not in known}
         if len(self.parts) > self.MOST_WORDS:
             self.parts = {}
-        new = list(set(chain.from_iterable(split.values())).difference(self.parts))
-        for part, found in zip(new, self.part.encode_batch_fast(new, add_special_tokens=False)):
-            self.parts[part] = packed_ids(found.ids)
-        parts = self.parts
+        older, parts = self.older_words, self.parts
+        known = {word: older[word] for word in words if word in older}
+        split = {word: self.split(word) for word in words if word not in known}
+        self.encode_parts(list(set(chain.from_iterable(split.values())).difference(parts)))
         for word, pieces in split.items():
-            known[word] = parts[word] if len(pieces) == 1 else b"".join([parts[piece] for piece in pieces])
+            known[word] = parts[pieces[0]] if len(pieces) == 1 else b"".join([parts[piece] for piece in pieces])
         self.words.update(known)
         return known
 
+    def encode_parts(self, parts: list[str]) -> None:
+        """Puts the ids of parts, many of them read as one text, into their store."""
+        texts = [" ".join(parts[k : k + self.AT_ONCE]) for k in range(0, len(parts), self.AT_ONCE)]
+        ids = [found.ids for found in self.part.encode_batch_fast(texts, add_special_tokens=False)]
+        flat = np.fromiter(chain.from_iterable(ids), "<u4")
+        ends = (4 * np.flatnonzero(self.final[flat]) + 4).tolist()
+        raw = flat.tobytes()
+        self.parts.update((part, raw[a:b]) for part, a, b in zip(parts, [0, *ends[:-1]], ends, strict=True))
+
     def split(self, word: str) -> list[str]:
         """The parts of a word; letters, and letters before a single mark, are plain."""
         if word.isalpha():

@@ -443,3 +443,13 @@ def test_pipeline(spark, tmp_path, documents, prose, labelled):
     assert 2005 not in left["decontamination"] and 2006 in left["decontamination"]
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
     check_packed(list(left["decontamination"].items()), pieces)
+
+
+def test_ids_of_odd_words_are_those_of_the_named_call(rng):
+    """Special strings, their look-alikes, marks and letters that change with case."""
+    tokenizer = Tokenizer.from_file(packing.WORD_BPE)
+    texts = ["<|endoftext|> hi", "a<|startoftext|>b", "<|ENDOFTEXT|> x", "a|b | c || |", "it's, x. İstanbul ŉ", "", " "]
+    letters = ["ab|c .,", " theandiron'st", "1 2,3.x", "éèÀÜ çßÅ", "!?;:.,a ", "\t\nab\x1c\x85", "ǅǆĲ ŉ'n", "<|endoftx> "]
+    texts += ["".join(rng.choices(a, k=rng.randrange(60))) for a in letters for _ in range(300)]
+    want = [packing.packed_ids(found.ids) for found in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert packing.word_ids(packing.WORD_BPE).encode(texts) == want
