@@ -119,6 +119,8 @@ class WordIds:
 
     def encode_parts(self, parts: list[str]) -> None:
         """Puts the ids of parts, many of them read as one text, into their store."""
+        if not parts:
+            return
         texts = [" ".join(parts[k : k + self.AT_ONCE]) for k in range(0, len(parts), self.AT_ONCE)]
         ids = [found.ids for found in self.part.encode_batch_fast(texts, add_special_tokens=False)]
         flat = np.fromiter(chain.from_iterable(ids), "<u4")

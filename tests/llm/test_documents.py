@@ -452,4 +452,7 @@ def test_ids_of_odd_words_are_those_of_the_named_call(rng):
     letters = ["ab|c .,", " theandiron'st", "1 2,3.x", "éèÀÜ çßÅ", "!?;:.,a ", "\t\nab\x1c\x85", "ǅǆĲ ŉ'n", "<|endoftx> "]
     texts += ["".join(rng.choices(a, k=rng.randrange(60))) for a in letters for _ in range(300)]
     want = [packing.packed_ids(found.ids) for found in tokenizer.encode_batch(texts, add_special_tokens=False)]
-    assert packing.word_ids(packing.WORD_BPE).encode(texts) == want
+    encoder = packing.WordIds(packing.WORD_BPE)
+    # The second time, and in another order of marks, all parts are known.
+    assert encoder.encode(texts) == want and encoder.encode(texts) == want
+    assert encoder.encode(["a.b", "b.a"]) == [packing.packed_ids(tokenizer.encode(t).ids) for t in ("a.b", "b.a")]
