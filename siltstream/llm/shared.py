@@ -29,6 +29,17 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows and bytes of text up to which a written table may travel to every task.
+MOST_SENT_ROWS, MOST_SENT_BYTES = 500_000, 32 << 20
+
+
+def sent_if_small(table: DataFrame, size: Column) -> DataFrame:
+    """A written table, marked for broadcast if its rows and the sum of their ``size`` are
+    within bounds, so that what it is joined to need not move; else as it is."""
+    rows, held = table.agg(F.count(F.lit(1)), F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()
+    return F.broadcast(table) if rows <= MOST_SENT_ROWS and held <= MOST_SENT_BYTES else table
+
+
 def text_hash() -> Column:
     """Tells rows apart that repeat an id with different texts."""
     return F.xxhash64(F.coalesce("text", F.lit("")))

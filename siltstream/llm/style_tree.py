@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstream.llm.shared import saved
+from siltstream.llm.shared import saved, sent_if_small
 
 #: Branches below this importance (0 to 1) are noise.
 IMPORTANT = 0.4
@@ -289,7 +289,9 @@ def features(pages: DataFrame, distinct: DataFrame) -> DataFrame:
         yield flush()
 
     rows = pages.select(hostname(F.col("url")).alias("host"), "html", payload_hash().alias("hash"))
-    several = distinct.where("all_copies > 1")
+    # The pages themselves move only if the copied payloads are too many to be sent.
+    several = saved(distinct.where("all_copies > 1"), "several")
+    several = sent_if_small(several, F.length("host") + 24)
     rows = rows.join(several, ["host", "hash"], "left").select("host", "html", "copies", "all_copies")
     found = rows.mapInArrow(run, "host string, path string, kind int, feature long, n double, all_n double, inside double, outside double")
     # Shares of copies add up to whole numbers, but for the last digits.
@@ -420,7 +422,8 @@ def extract(pages: DataFrame) -> DataFrame:
     host. Repeated rows and copies of a page keep a row each and count once in the tree. Null ids and URLs stay
     null. An empty table gives no rows; other columns are not read.
     """
-    noise = noise_branches(pages).withColumnRenamed("host", "_host")
+    branches = F.aggregate("branches", F.lit(0), lambda total, branch: total + F.length(branch))
+    noise = sent_if_small(noise_branches(pages), branches).withColumnRenamed("host", "_host")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
