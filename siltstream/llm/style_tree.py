@@ -58,6 +58,24 @@ MAIN_WORDS = frozenset("article body content entry main post story text".split()
 #: A class that begins so tells of something else on the page.
 ELSEWHERE = frozenset("has no with without is not".split())
 
+#: Words that, joined to a word of noise in one class, leave it noise inside an article.
+LAYOUT_WORDS = frozenset(
+    "area bar block body bottom box button buttons card col container content element footer form frame group head"
+    " header inline inner item items label left link links list message module outer panel position right row section"
+    " slot space text title top unit widget wrap wrapper zone".split()
+)
+#: Words of lines about the site. Inside an article a line of many pages goes only at the
+#: article's edge and with one of these.
+NOTICE_WORDS = frozenset(
+    "account advertisement advertising all app bookmark click comment comments contact cookie cookies copyright"
+    " download facebook follow licence license licensed linkedin login newsletter permission pinterest policy"
+    " powered print privacy reddit register reserved rights rss share shares sign site sponsored subscribe"
+    " subscription terms tweet twitter website whatsapp".split()
+)
+HEADINGS = {f"h{k}": k for k in range(1, 7)}
+#: Characters of a path; what is nested deeper has a path of its own under a hash of this one.
+MOST_PATH = 1024
+
 TAG = re.compile(
     r"<!--(?:.*?--!?>|.*\Z)|<[!?][^>]*(?:>|\Z)|</?([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.DOTALL
 )
@@ -75,6 +93,16 @@ class Mark:
     lifted: bool = False
 
 
+@dataclass(slots=True)
+class Article:
+    """An article or main part of a page, the marks of noise on it and around it, and
+    whether it holds text. Those with the fewest marks are the page's own, others are
+    comments or teasers."""
+
+    marks: list[Mark]
+    text: bool = False
+
+
 @dataclass(slots=True)
 class Node:
     """An open element: its style path, whether it lies in noise by its kind or in the marked
@@ -86,11 +114,14 @@ class Node:
     main: bool
     children: list[str]
     marks: tuple[Mark, ...] = ()
+    article: Article | None = None
 
 
-def marked(tag: str, attributes: str) -> tuple[str, bool, bool, Mark | None]:
+def marked(tag: str, attributes: str, inside: bool = False) -> tuple[str, bool, bool, Mark | None]:
     """The name of an element in a path, whether it is hidden, whether it is the main part of
-    the page, and the mark of a word of noise, if no name beside it is one of the article."""
+    the page, and the mark of a word of noise, if no name beside it is one of the article.
+    ``inside`` an article a word of noise in a compound such as notice-period says nothing,
+    unless the other words are of layout."""
     if not attributes or "=" not in attributes and "hidden" not in attributes.lower():
         return tag, False, tag in MAIN, None
     name, noise, main, mark = tag, False, tag in MAIN, None
@@ -103,14 +134,17 @@ def marked(tag: str, attributes: str) -> tuple[str, bool, bool, Mark | None]:
             words: set[str] = set()
             for part in value.split():
                 found = WORDS.findall(part)
-                if found and found[0] not in ELSEWHERE:
+                other = not (NOISE_WORDS | WEAK_WORDS | MAIN_WORDS | LAYOUT_WORDS).issuperset(found)
+                if found and found[0] not in ELSEWHERE and not (inside and len(found) > 1 and other):
                     words.update(found)
                     plain |= MAIN_WORDS.issuperset(found)
             if words & NOISE_WORDS or words & WEAK_WORDS and not (main or words & MAIN_WORDS):
                 mark = Mark(False)
             said |= words
             if key == "class" and value:
-                name = f"{tag}.{'.'.join(sorted(value.split()))}"[:80]
+                name = f"{tag}.{'.'.join(sorted(value.split()))}".replace("/", "|")
+                if len(name) > 80:
+                    name = f"{name[:60]}#{xxhash.xxh64_hexdigest(name.encode('utf-8', 'replace'))}"
         elif key == "hidden" or key == "aria-hidden" and value == "true":
             noise = True
         elif key == "style" and HIDDEN.search(value):
@@ -133,6 +167,7 @@ def walk(page: str) -> tuple[list[tuple[str, str, bool, bool]], Counter]:
     blocks: list[tuple[str, str, Node]] = []
     styles: Counter = Counter()
     text: list[str] = []
+    articles: list[Article] = []
 
     def end_block() -> None:
         if text:
@@ -142,6 +177,8 @@ def walk(page: str) -> tuple[list[tuple[str, str, bool, bool]], Counter]:
             if joined:
                 top = stack[-1]
                 blocks.append((top.path, joined, top))
+                if top.article:
+                    top.article.text = True
 
     def pop(count: int) -> None:
         for _ in range(count):
@@ -190,7 +227,7 @@ def walk(page: str) -> tuple[list[tuple[str, str, bool, bool]], Counter]:
             stop = page.find(">", at) if close else -1
             at = stop + 1 if stop >= 0 else end
             continue
-        name, noise, is_main, mark = marked(tag, found[2])
+        name, noise, is_main, mark = marked(tag, found[2], stack[-1].main)
         if tag not in BLOCKS and not noise and not mark and tag not in NOISE:
             continue  # inline markup
         if tag in EMPTY or found[2].endswith("/") and tag not in BLOCKS:
@@ -211,14 +248,25 @@ def walk(page: str) -> tuple[list[tuple[str, str, bool, bool]], Counter]:
         noise = top.noise or noise and tag != "body" or tag in NOISE or outside
         main = (top.main or is_main) and not noise
         nested = is_main and any(node.tag == "article" for node in stack)
-        found_article = is_main and not nested and not (top.main and mark)
+        article = top.article
         for above in top.marks:
-            above.lifted |= found_article or above.beside and tag in BLOCKS
-        # The article itself, and what holds the whole page, are not noise by a word.
-        own = mark and tag not in ("html", "body") and (nested or not is_main)
-        stack.append(Node(tag, f"{top.path}/{name}", noise, main, [], (*top.marks, mark) if own else top.marks))
+            above.lifted |= above.beside and tag in BLOCKS
+        # The element that holds the whole page is not noise by a word.
+        own = (*top.marks, mark) if mark and tag not in ("html", "body") else top.marks
+        if is_main and not nested and not (top.main and mark):
+            article = Article(list(own))
+            articles.append(article)
+        path = top.path
+        if len(path) > MOST_PATH:
+            path = f"~{xxhash.xxh64_hexdigest(path.encode('utf-8', 'replace'))}"
+        stack.append(Node(tag, f"{path}/{name}", noise, main, [], own, article))
     end_block()
     pop(len(stack))
+    told = [article.marks for article in articles if article.text]
+    for marks in told:
+        if len(marks) == min(map(len, told)):
+            for mark in marks:
+                mark.lifted = True
     out = []
     for path, joined, node in blocks:
         noise = node.noise or not all(mark.lifted for mark in node.marks)
@@ -389,6 +437,10 @@ def main_text(page: str, branches: frozenset[str], decided: bool = False) -> str
     """The text blocks of a page that are in no low branch, no low content and in no marked
     noise, joined by line breaks.
 
+    Inside the marked article a heading stays if text under it does, and of single contents
+    of low importance only notices at its edges go: lines that many pages share are part of
+    their articles otherwise.
+
     Without a tree that has ``decided`` on them, blocks outside the marked article of a page
     that has one with text are left out.
     """
@@ -400,14 +452,32 @@ def main_text(page: str, branches: frozenset[str], decided: bool = False) -> str
             low[path] = any("/".join(parts[:k]) in branches for k in range(2, len(parts) + 1))
         return low[path]
 
-    kept = [
-        (text, main)
-        for path, text, noise, main in walk(page)[0]
-        if not noise and not (branches and (in_low(path) or str(content_hash(path, text)) in branches))
-    ]
-    if not decided and any(main for _, main in kept):
-        kept = [entry for entry in kept if entry[1]]
-    return "\n".join(text for text, _ in kept)
+    blocks = [(path, text, main) for path, text, noise, main in walk(page)[0] if not noise]
+    branch = [bool(branches) and in_low(path) for path, _, _ in blocks]
+    single = [bool(branches) and str(content_hash(path, text)) in branches for path, text, _ in blocks]
+    article = [k for k, (_, _, main) in enumerate(blocks) if main]
+    keep = [not (b or s) for b, s in zip(branch, single)]
+    # Inside the article a line that many pages have goes from its edges, if it is a notice.
+    for k in article:
+        keep[k] = not branch[k]
+    for side in (article, article[::-1]):
+        for k in side:
+            if keep[k] and not (single[k] and not NOTICE_WORDS.isdisjoint(WORDS.findall(blocks[k][1].lower()))):
+                break
+            keep[k] = False
+    # A heading of the article is as important as what it stands over.
+    over: list[int] = []
+    for k in article:
+        level = HEADINGS.get(blocks[k][0].rpartition("/")[2].partition(".")[0])
+        if level:
+            over = [h for h in over if HEADINGS[blocks[h][0].rpartition("/")[2].partition(".")[0]] < level] + [k]
+        elif keep[k]:
+            for h in over:
+                keep[h] = True
+            over = []
+    if not decided and any(keep[k] for k in article):
+        keep = [kept and main for kept, (_, _, main) in zip(keep, blocks)]
+    return "\n".join(text for (_, text, _), kept in zip(blocks, keep) if kept)
 
 
 def extract(pages: DataFrame) -> DataFrame:

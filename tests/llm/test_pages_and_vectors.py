@@ -240,3 +240,52 @@ def test_all_queries_are_registered():
     for n in range(1, 11):
         assert sum(name.startswith(f"op{n}_") for name in names) == 1
     assert "pipeline" in names
+
+
+def test_headings_and_closing_lines_stay_and_comments_go(spark, prose):
+    """200 pages of one host: what their articles share stays, what stands around them goes."""
+    rows, want = [], []
+    for k in range(200):
+        a, b, c, said = prose(40), prose(30), prose(12), prose(9)
+        intro = "<h2>Introduction</h2>" if k % 2 else ""
+        rows.append((
+            k,
+            f"https://blog.example/{k}",
+            f'<html><body><nav><a>Home</a></nav><div class="wrap"><article class="post">'
+            f"<h1>{c}</h1>{intro}<p>{a}</p><p class='notice-period'>Notice {k} days</p><div class='ad-hoc'>{said} team</div>"
+            f"<div class='newsletter-box'>Join us {k}</div><h2>References</h2><h3>Books</h3><p>{b}</p><p>Chapter closed.</p></article>"
+            f'<div class="comments-area"><h2>Comments</h2><article class="comment-body"><p>{said} indeed</p></article></div>'
+            f'<div class="related"><article class="teaser"><p>{said} teaser</p></article></div></div>'
+            f"<footer>Imprint</footer></body></html>",
+        ))
+        head = [c, "Introduction"] if intro else [c]
+        want.append("\n".join([*head, a, f"Notice {k} days", f"{said} team", "References", "Books", b, "Chapter closed."]))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r.page_id: r.text for r in style_tree.extract(pages).collect()}
+    assert [found[k] for k in range(200)] == want
+
+
+def test_articles_with_marks_of_their_own_stay_beside_comments():
+    page = (
+        '<div class="content-sidebar-wrap"><main class="content"><article class="post tag-cookies"><p>the post</p></article>'
+        '<section class="comments"><article class="comment"><p>a reader</p></article></section></main></div>'
+    )
+    assert style_tree.main_text(page, frozenset()) == "the post"
+    listing = "".join(f'<article class="post category-newsletter"><p>post {k}</p></article>' for k in range(3))
+    assert style_tree.main_text(listing, frozenset()) == "post 0\npost 1\npost 2"
+    empty = '<article></article><div class="promo"><article><p>the only text</p></article></div>'
+    assert style_tree.main_text(empty, frozenset()) == "the only text"
+
+
+def test_long_lists_of_classes_are_told_apart():
+    shared = " ".join(f"u-{k:03}" for k in range(30))
+    page = f'<div class="{shared} zz-left"><p>a</p></div><div class="{shared} zz-right"><p>b</p></div>'
+    (left, *_), (right, *_) = style_tree.walk(page)[0]
+    assert left != right and max(len(left), len(right)) < 200
+    assert style_tree.walk('<div class="w-1/2"><p>a</p></div>')[0][0][0].count("/") == 2
+
+
+def test_deep_pages_take_bounded_memory():
+    blocks, styles = style_tree.walk("<div>" * 50_000 + "deep" + "</div>" * 50_000)
+    assert [text for _, text, _, _ in blocks] == ["deep"]
+    assert max(len(path) for path, _ in styles) < 2 * style_tree.MOST_PATH
