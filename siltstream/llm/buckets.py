@@ -6,30 +6,37 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstream.llm.shared import saved
 
 #: Members of a bucket that one cell compares with as many others.
 BLOCK = 512
+MOST_WEIGHT = 1 << 21
 
 
-def cells(members: DataFrame, keys: list[str], member: str, block: int = BLOCK) -> DataFrame:
+def cells(
+    members: DataFrame, keys: list[str], member: str, block: int = BLOCK, weight: Column | None = None
+) -> DataFrame:
     """Deals the members of each bucket into cells so that every two of them meet.
 
     Buckets with a single member are left out. A bucket of up to ``block`` members is one
     cell. A larger one is cut into blocks by a hash of the member, with one cell for every
-    two blocks, so no cell holds much more than two blocks however large the bucket is.
-    Adds the cell's ends ``i`` and ``j`` and the block ``own`` of the row.
+    two blocks, so no cell holds much more than two blocks however large the bucket is. With
+    a ``weight``, such as the size of a member's payload, a block also holds about MOST_WEIGHT
+    of it, or one member. Adds the cell's ends ``i`` and ``j`` and the block ``own`` of the row.
     """
     # Written first: a join with an aggregate of its own rows could not split a hot key.
-    sizes = saved(members.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1"), "sizes")
-    rows = members.join(sizes, keys).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    held = F.lit(0) if weight is None else F.sum(weight)
+    sizes = members.groupBy(*keys).agg(F.count("*").alias("n"), held.alias("held")).where("n > 1")
+    rows = members.join(saved(sizes, "sizes"), keys)
+    blocks = F.least(F.col("n"), F.ceil(F.greatest(F.col("n") / block, F.col("held") / MOST_WEIGHT)))
+    rows = rows.withColumn("blocks", blocks.cast("int"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64(F.lit(7), member), "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    return rows.drop("n", "blocks", "other")
+    return rows.drop("n", "held", "blocks", "other")
 
 
 def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -58,11 +65,12 @@ def linked(
     keys: list[str],
     member: str,
     payload: str,
-    links: Callable[[list], np.ndarray],
+    links: Callable[[list | pa.ListArray], np.ndarray],
 ) -> DataFrame:
     """Links ``(a, b)`` that join what hangs together in each cell made by :func:`cells`.
 
-    ``links`` gets the payloads of a cell and returns a boolean matrix of the linked ones.
+    ``links`` gets the payloads of a cell, numbers as a list and lists as they lie in Arrow,
+    and returns a boolean matrix of the linked ones.
     A cell of n members gives less than n links: each member is tied to the first of those
     that it reaches inside the cell.
     """
@@ -75,7 +83,9 @@ def linked(
             if group.num_rows < 2:
                 continue
             names = group[member].to_numpy()
-            for first, reached in trees(links(group[payload].to_pylist())):
+            given = group[payload].combine_chunks()
+            given = given if pa.types.is_list(given.type) else given.to_pylist()
+            for first, reached in trees(links(given)):
                 a += [int(names[first])] * len(reached)
                 b += names[reached].tolist()
             if len(a) > 50_000:

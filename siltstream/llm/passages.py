@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from siltstream.llm.buckets import cells, linked
 from siltstream.llm.packing import chunks
-from siltstream.llm.shared import components, saved, text_hash
+from siltstream.llm.shared import components, saved, sent_if_small, text_hash
 from siltstream.llm.words import Words, grams, mixed, random_odd
 
 #: Words of a shingle, and the Jaccard similarity of shingle sets that links two paragraphs.
@@ -33,9 +33,9 @@ UNIT = "hash long, doc_id long, text_hash long, start long, end long, bands arra
 PLACE = ["doc_id", "text_hash", "start", "end"]
 HIT = [*PLACE, "kept_doc_id", "kept_text", "kept_start", "kept_end", "cluster_id"]
 HIT_SCHEMA = pa.schema([(name, pa.int64()) for name in HIT])
-AROUND = ["before", "starts", "after", "ends"]
-CONTEXT = ", ".join([*(f"{name} long" for name in PLACE), *(f"{name} array<long>" for name in AROUND)])
-CONTEXT_SCHEMA = pa.schema([*((name, pa.int64()) for name in PLACE), *((name, pa.list_(pa.int64())) for name in AROUND)])
+AROUND = ["before", "back", "after", "ahead"]
+CONTEXT = ", ".join([*(f"{name} long" for name in PLACE), *(f"{name} array<int>" for name in AROUND)])
+CONTEXT_SCHEMA = pa.schema([*((name, pa.int64()) for name in PLACE), *((name, pa.list_(pa.int32())) for name in AROUND)])
 UNIT_SCHEMA = pa.schema(
     [
         ("hash", pa.int64()),
@@ -149,11 +149,12 @@ def unit_batch(parts: list[tuple], bands: np.ndarray | None) -> pa.RecordBatch:
     )
 
 
-def jaccard_links(sets: list[list[int]], similarity: float) -> np.ndarray:
+def jaccard_links(sets: pa.ListArray | list[list[int]], similarity: float) -> np.ndarray:
     """Which of the sets are at the Jaccard similarity or above."""
-    sizes = np.array([len(s) for s in sets])
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    _, value = np.unique(np.concatenate([np.asarray(s, np.int64) for s in sets]), return_inverse=True)
+    sets = sets if isinstance(sets, pa.ListArray) else pa.array(sets, pa.list_(pa.int64()))
+    sizes = sets.value_lengths().to_numpy(zero_copy_only=False)
+    owner = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
+    _, value = np.unique(sets.flatten().to_numpy(), return_inverse=True)
     order = np.argsort(value, kind="stable")
     owner, value = owner[order], value[order]
     # Only values that several sets have count in an intersection.
@@ -177,8 +178,9 @@ def near_links(documents: DataFrame, classes: DataFrame, similarity: float) -> D
     """Links between classes of equal paragraphs whose shingle sets are near: those that
     share a band are compared by their whole sets, which are cut out of the first
     paragraph of the class again, for these classes only."""
-    keyed = classes.select("hash", F.posexplode("bands").alias("band", "value"))
-    dealt = saved(cells(keyed, ["band", "value"], "hash"), "cells")
+    size = (F.col("first.end") - F.col("first.start")).alias("size")
+    keyed = classes.select("hash", size, F.posexplode("bands").alias("band", "value"))
+    dealt = saved(cells(keyed, ["band", "value"], "hash", weight=F.col("size")).drop("size"), "cells")
     wanted = dealt.select("hash").distinct().join(classes, "hash")
     wanted = wanted.groupBy(F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash")).agg(
         F.collect_list(F.struct("hash", "first.start", "first.end")).alias("places")
@@ -238,29 +240,45 @@ def joined(rows: DataFrame) -> DataFrame:
 
 
 def contexts(documents: DataFrame, places: DataFrame, span: int) -> DataFrame:
-    """The up to ``span`` words before and after each place: their hashes, from the place
-    outwards, and where each starts (before) or ends (after)."""
+    """The up to ``span`` words before and after each place, from the place outwards: 32 bits
+    of their hashes, and how far each starts from the one after it (before) or ends from the
+    one before it (after)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, text_id, text, wanted in zip(*batch.columns):
-                words, out = Words(text.as_py() or ""), []
-                hashes = words.hashes.view(np.int64)
-                for place in wanted.as_py():
-                    a, b = np.searchsorted(words.starts, place["start"]), np.searchsorted(words.ends, place["end"], "right")
-                    before, after = slice(max(0, a - span), a), slice(b, b + span)
-                    out.append(
-                        {
-                            "doc_id": doc.as_py(),
-                            "text_hash": text_id.as_py(),
-                            **place,
-                            "before": hashes[before][::-1].tolist(),
-                            "starts": words.starts[before][::-1].tolist(),
-                            "after": hashes[after].tolist(),
-                            "ends": words.ends[after].tolist(),
-                        }
-                    )
-                yield pa.RecordBatch.from_pylist(out, schema=CONTEXT_SCHEMA)
+                words = Words(text.as_py() or "")
+                hashes = (words.hashes >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                fields = wanted.values
+                start, end = (fields.field(name).to_numpy() for name in ("start", "end"))
+                n = len(start)
+                first = np.searchsorted(words.starts, start)
+                last = np.searchsorted(words.ends, end, "right")
+                before = np.minimum(first, span)
+                after = np.minimum(len(words) - last, span)
+                # The places of the words on one side, one run of indices per place.
+                left = np.repeat(first, before) - 1 - counted(before)
+                right = np.repeat(last, after) + counted(after)
+                # Steps from word to word; the first one from the place itself.
+                back = words.starts[np.minimum(left + 1, len(words) - 1)] - words.starts[left]
+                ahead = words.ends[right] - words.ends[np.maximum(right - 1, 0)]
+                heads = np.cumsum(before) - before
+                some = before > 0
+                back[heads[some]] = (start - words.starts[np.maximum(first - 1, 0)])[some]
+                heads = np.cumsum(after) - after
+                some = after > 0
+                ahead[heads[some]] = (words.ends[np.minimum(last, len(words) - 1)] - end)[some]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(n, doc.as_py()), pa.int64()),
+                        pa.array(np.full(n, text_id.as_py()), pa.int64()),
+                        pa.array(start, pa.int64()),
+                        pa.array(end, pa.int64()),
+                        *(lists(values, before) for values in (hashes[left], back)),
+                        *(lists(values, after) for values in (hashes[right], ahead)),
+                    ],
+                    schema=CONTEXT_SCHEMA,
+                )
 
     wanted = places.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "end")).alias("places"))
     rows = documents.select("doc_id", text_hash().alias("text_hash"), "text").join(wanted, ["doc_id", "text_hash"])
@@ -269,6 +287,16 @@ def contexts(documents: DataFrame, places: DataFrame, span: int) -> DataFrame:
     return rows.mapInArrow(run, CONTEXT)
 
 
+def counted(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each of runs of the sizes."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values, pa.int32()))
+
+
 def extended(documents: DataFrame, rows: DataFrame, span: int) -> DataFrame:
     """Passages joined and grown word by word to both sides, as far as the text is the one
     around the passage that stays. ``span`` words are enough: a run that goes on for more
@@ -277,7 +305,7 @@ def extended(documents: DataFrame, rows: DataFrame, span: int) -> DataFrame:
     kept = hits.select(*[F.col(k).alias(c) for k, c in zip(("kept_doc_id", "kept_text", "kept_start", "kept_end"), PLACE)])
     around = saved(contexts(documents, hits.select(*PLACE).union(kept), span), "contexts")
     other = [F.col(c).alias(k) for k, c in zip(("kept_doc_id", "kept_text", "kept_start", "kept_end"), PLACE)]
-    other = around.select(*other, F.col("before").alias("kept_before"), F.col("after").alias("kept_after"), F.col("starts").alias("kept_starts"))
+    other = around.select(*other, F.col("before").alias("kept_before"), F.col("after").alias("kept_after"), F.col("back").alias("kept_back"))
     hits = hits.join(around, PLACE).join(other, ["kept_doc_id", "kept_text", "kept_start", "kept_end"])
 
     def alike(mine: str, theirs: str) -> Column:
@@ -286,19 +314,30 @@ def extended(documents: DataFrame, rows: DataFrame, span: int) -> DataFrame:
         first = F.array_position(equal, False)
         return F.when(first > 0, first - 1).otherwise(F.size(equal)).cast("int")
 
+    def moved(steps: str, count: str) -> Column:
+        """How far the first ``count`` steps lead."""
+        return F.aggregate(F.slice(steps, 1, F.col(count)), F.lit(0).cast("long"), lambda total, step: total + step)
+
     # In one text, a place does not grow into the one that stays.
     one = (F.col("doc_id") == F.col("kept_doc_id")) & (F.col("text_hash") == F.col("kept_text"))
-    room = F.size(F.filter("starts", lambda s: s >= F.col("kept_end")))
+    begin = F.struct(F.lit(0).alias("n"), F.col("start").alias("at"))
+
+    def word(state: Column, size: Column) -> Column:
+        # Words only lie further to the left, so once one does not fit none after it does.
+        at = state["at"] - size
+        return F.struct((state["n"] + (at >= F.col("kept_end")).cast("int")).alias("n"), at.alias("at"))
+
+    room = F.aggregate("back", begin, word, lambda state: state["n"])
     left = F.when(one, F.least(alike("before", "kept_before"), room)).otherwise(alike("before", "kept_before"))
     hits = hits.withColumn("left", left).withColumn("right", alike("after", "kept_after"))
     return hits.select(
         "doc_id",
-        F.when(F.col("left") > 0, F.get("starts", F.col("left") - 1)).otherwise(F.col("start")).alias("start"),
-        F.when(F.col("right") > 0, F.get("ends", F.col("right") - 1)).otherwise(F.col("end")).alias("end"),
+        (F.col("start") - moved("back", "left")).alias("start"),
+        (F.col("end") + moved("ahead", "right")).alias("end"),
         F.lit("passage").alias("kind"),
         "cluster_id",
         "kept_doc_id",
-        F.when(F.col("left") > 0, F.get("kept_starts", F.col("left") - 1)).otherwise(F.col("kept_start")).alias("kept_start"),
+        (F.col("kept_start") - moved("kept_back", "left")).alias("kept_start"),
         "text_hash",
     )
 
@@ -347,8 +386,8 @@ def repeats(
     runs = found.where("bands is null").drop("bands")
     # What a join takes from an aggregate of the same rows is written first, so that both
     # sides are plain shuffles and a very common passage is split.
-    several = runs.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    runs = saved(runs.join(saved(several, "several"), "hash"), "passages")
+    several = saved(runs.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "several")
+    runs = saved(runs.join(sent_if_small(several, F.lit(8)), "hash", "left_semi"), "passages")
     names = saved(runs.groupBy("hash").agg(*ends).where("first <> last"), "kept")
     runs = runs.join(names.select("hash", F.col("hash").alias("cluster_id"), "first"), "hash")
 
