@@ -419,18 +419,23 @@ def cut_out(documents: DataFrame, places: DataFrame) -> DataFrame:
     blank ones among them; so are rows without a ``doc_id``. ``n_chars``, where it is a
     column, is set anew for the cut documents.
     """
-    spans = places.groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).agg(
-        F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_spans")
+    spans = places.groupBy(F.col("doc_id").alias("of"), "text_hash").agg(
+        F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans")
     )
-    same = (documents["doc_id"] == spans["_doc"]) & (text_hash() == spans["_hash"])
-    rows = documents.join(spans, same, "left").drop("_doc", "_hash")
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(without(F.col("text"), F.col("_spans")))
-    rows = rows.withColumn("_text", text).where(F.col("_spans").isNull() | F.col("_text").rlike(r"\S"))
-    columns = [F.col("_text").alias(c) if c == "text" else F.col(c) for c in documents.columns]
-    if "n_chars" in documents.columns:
-        size = F.length("_text").cast(documents.schema["n_chars"].dataType)
-        size = F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(size)
-        columns = [size.alias("n_chars") if c == "n_chars" else k for c, k in zip(documents.columns, columns)]
+    # The row in one column, so that no name of its own clashes with those used here.
+    rows = documents.select(F.struct(*documents.columns).alias("row"), text_hash().alias("hash"))
+    rows = rows.join(spans, (F.col("row.doc_id") == F.col("of")) & (F.col("hash") == F.col("text_hash")), "left")
+    uncut = F.col("spans").isNull()
+    text = F.when(uncut, F.col("row.text")).otherwise(without(F.col("row.text"), F.col("spans")))
+    rows = rows.withColumn("left", text).where(uncut | F.col("left").rlike(r"\S"))
+    columns = []
+    for field in documents.schema:
+        own = F.col("row").getField(field.name)
+        if field.name == "text":
+            own = F.col("left")
+        elif field.name == "n_chars":
+            own = F.when(uncut, own).otherwise(F.length("left").cast(field.dataType))
+        columns.append(own.alias(field.name))
     return rows.select(*columns)
 
 

@@ -146,9 +146,10 @@ def one_of_each(documents: DataFrame) -> DataFrame:
     kept = groups.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("kept"))
     others = groups.join(saved(kept, "kept"), "component_id").where(F.struct("doc_id", "text_hash") != F.col("kept"))
     others = others.select(F.col("doc_id").alias("_other"), F.col("text_hash").alias("_other_hash")).distinct()
-    rows = documents.withColumn("_hash", text_hash())
-    same = (rows["doc_id"] == others["_other"]) & (rows["_hash"] == others["_other_hash"])
-    return rows.join(others, same, "left_anti").dropDuplicates(["doc_id", "_hash"]).drop("_hash")
+    # The row in one column, so that no name of its own clashes with those used here.
+    rows = documents.select(F.struct(*documents.columns).alias("row"), "doc_id", text_hash().alias("hash"))
+    same = (rows["doc_id"] == others["_other"]) & (rows["hash"] == others["_other_hash"])
+    return rows.join(others, same, "left_anti").dropDuplicates(["doc_id", "hash"]).select("row.*")
 
 
 def hex16(bits: Column) -> Column:

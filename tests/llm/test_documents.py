@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -456,3 +457,33 @@ def test_ids_of_odd_words_are_those_of_the_named_call(rng):
     # The second time, and in another order of marks, all parts are known.
     assert encoder.encode(texts) == want and encoder.encode(texts) == want
     assert encoder.encode(["a.b", "b.a"]) == [packing.packed_ids(tokenizer.encode(t).ids) for t in ("a.b", "b.a")]
+
+
+CLASHING = (
+    "_doc _hash _spans _text _other _other_hash _id hash row spans of left leak text_hash start end kind bits key"
+    " component_id cluster_id kept_doc_id kept_start first last places bands n doc score predicted copies"
+).split()
+
+
+def test_extra_columns_of_any_name_stay(spark, tmp_path, prose):
+    """All working names as columns of the documents: they come out of every stage."""
+    shared = prose(60)
+    rows = [(1, f"{prose(40)} {shared}"), (2, f"{shared} {prose(50)}"), (3, prose(30)), (4, None), (5, "")]
+    rows.append((6, rows[0][1]))
+    columns = [F.lit(f"own {name}").alias(name) for name in CLASHING]
+    table = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", "text", *columns)
+
+    def whole(found):
+        assert found.columns == table.columns
+        for r in found.collect():
+            assert [r[name] for name in CLASHING] == [f"own {name}" for name in CLASHING]
+        return {r.doc_id: r.text for r in found.collect()}
+
+    assert whole(simhash.one_of_each(table)).keys() == {1, 2, 3, 4}
+    places = passages.repeats(table)
+    cut = whole(passages.cut_out(table, places))
+    assert cut[1] == rows[0][1] and shared not in cut[2] and 6 not in cut
+    spark.createDataFrame([(1, rows[2][1])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert whole(corpus_pipeline.without_leaks(spark, table, str(tmp_path))).keys() == {1, 2, 4, 5, 6}
+    assert packing.pack(table).count() > 0
+    assert {r.doc_id for r in contamination.tilings(table, spark.read.parquet(f"{tmp_path}/benchmark.parquet")).collect()} == {3}
