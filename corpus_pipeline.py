@@ -33,8 +33,10 @@ def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     stand for several."""
     texts = docs.select(text_hash().alias("doc_id"), "text")
     leaks = contamination.tilings(texts, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    leaks = leaks.select(F.col("doc_id").alias("_hash")).distinct()
-    return docs.join(leaks, text_hash() == leaks["_hash"], "left_anti").select(*docs.columns)
+    leaks = leaks.select(F.col("doc_id").alias("leak")).distinct()
+    # The row in one column, so that no name of its own clashes with those used here.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), text_hash().alias("hash"))
+    return rows.join(leaks, F.col("hash") == F.col("leak"), "left_anti").select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
