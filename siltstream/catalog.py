@@ -33,6 +33,7 @@ from siltstream.sinks.topics import with_record_id, write_files
 from siltstream.sources.files import read_landed
 from siltstream.sources.once import without_repeats
 from siltstream.streaming.changelog import read_current_state, start_current_state
+from siltstream.streaming.evolving import read_typed_capture, start_typed_capture
 from siltstream.streaming.chunked import read_chunked_capture, start_chunked_capture
 from siltstream.streaming import job as streaming_job
 from siltstream.streaming.job import JobOptions
@@ -416,6 +417,19 @@ def cdc_net_new_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.net_rows(cdc_retract_new_rows(spark, sf_dir), ORDER_COLUMNS)
 
 
+def cdc_evolving_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders captured without a declared schema, while a column comes and one widens."""
+    out = new_folder(spark, "evolving")
+
+    def start(stream: DataFrame, job: JobOptions) -> StreamingQuery:
+        return start_typed_capture(C.parse_changes(stream), X.DATABASE, "orders", job, out)
+
+    _in_two_arrivals(X.evolving_changes(spark, sf_dir), F.col("arrival") == 1, start)
+    return read_typed_capture(spark, out).select(
+        "after.id", F.col("after.price").cast("decimal(17,2)").cast("string").alias("price"), "after.note", "version"
+    )
+
+
 def _order_chunks(spark: SparkSession, sf_dir: str) -> KeyChunks:
     last = X.table(spark, sf_dir, "orders").agg(F.max("o_orderkey")).first()[0]
     return KeyChunks("id", tuple(last * k // CHUNKS for k in range(1, CHUNKS)))
@@ -560,6 +574,7 @@ QUERIES: dict[str, Query] = {
         cdc_retract_new_rows,
         cdc_retract_new_rows_stream,
         cdc_net_new_rows,
+        cdc_evolving_stream,
         cdc_chunked_union,
         cdc_chunked_capture_stream,
         sink_default_topic,

@@ -248,6 +248,27 @@ def rekeyed_changes(spark: SparkSession, sf_dir: str, old_rows: bool = True) ->
     )
 
 
+# Fixed value: from this order date on, rows have a note and prices with cents.
+CHANGED_ON = "1995-06-01"
+
+
+def evolving_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One create event per order and the number of its arrival: of the first ones the row
+    has a whole price, later ones have cents and a further column."""
+    orders = spread(table(spark, sf_dir, "orders"), "o_orderkey")
+    early = f"o_orderdate < DATE'{CHANGED_ON}'"
+    key, price = "CAST(o_orderkey AS STRING)", "CAST({} AS STRING)"
+    row = (
+        f"""concat('{{"id":', {key}, ',"price":', if({early}, {price.format("CAST(floor(o_totalprice) AS BIGINT)")},"""
+        f""" {price.format("CAST(o_totalprice AS DECIMAL(15,2))")}), if({early}, '', concat(',"note":"n', {key}, '"')), '}}')"""
+    )
+    return orders.selectExpr(
+        f"if({early}, 1, 2) AS arrival",
+        "CAST(o_orderkey AS BIGINT) AS order_id",
+        f"""concat('{{"before":null,"after":', {row}, ',"source":{{"db":"{DATABASE}","table":"orders"}},"op":"c","ts_ms":', {key}, '}}') AS value""",
+    )
+
+
 # What is wrong with an event, by the order's key modulo 20; all others are creates.
 _FAULTS = {
     0: "left({text}, length({text}) - 1)",

@@ -7,7 +7,7 @@ together as JSON.
 from __future__ import annotations
 
 from siltstream.catalog import CHUNK_EVERY_MS, CHUNK_READ_MS, CHUNK_TAKES_MS, CHUNKS, SNAPSHOT_MS
-from siltstream.fixtures import MOVED, faulty_text
+from siltstream.fixtures import CHANGED_ON, MOVED, faulty_text
 
 # One row per event: what the log text says, without the text.
 _LOGS = """
@@ -318,6 +318,13 @@ FROM faulty WHERE fault IN (0, 1, 7) OR order_id > 100 GROUP BY 1""",
     "cdc_retract_new_rows": _RETRACT_NEW,
     "cdc_retract_new_rows_stream": _RETRACT_NEW,
     "cdc_net_new_rows": f"SELECT *, CAST(1 AS BIGINT) AS net FROM ({_REKEYED})",
+    "cdc_evolving_stream": f"""
+SELECT CAST(o_orderkey AS BIGINT) AS id,
+       CAST(CAST(CASE WHEN o_orderdate < DATE '{CHANGED_ON}' THEN floor(o_totalprice) ELSE o_totalprice END
+            AS DECIMAL(17,2)) AS VARCHAR) AS price,
+       CASE WHEN o_orderdate < DATE '{CHANGED_ON}' THEN NULL ELSE 'n' || o_orderkey END AS note,
+       CASE WHEN o_orderdate < DATE '{CHANGED_ON}' THEN 1 ELSE 2 END AS version
+FROM orders""",
     "cdc_chunked_union": _CHUNKED,
     "cdc_chunked_capture_stream": _CHUNKED,
     "sink_repeats_dropped": _FANOUT,
