@@ -66,6 +66,28 @@ def compact_current_state(spark: SparkSession, path: str, keys: Sequence[str]) -
         rows.write.mode("overwrite").parquet(f"{path}/base={batches[-1]}")
 
 
+def clean_current_state(spark: SparkSession, path: str, keep_bases: int = 2) -> list[str]:
+    """Delete the folders that the last ``keep_bases`` complete bases make superfluous, and
+    return their names.
+
+    Readers that began with one of them fail, so keep as many bases as compactions may pass
+    during a reading. Nothing is deleted while there are fewer bases.
+    """
+    if keep_bases < 1:
+        raise ValueError("one base has to stay")
+    bases = complete_folders(spark, path, "base")
+    if len(bases) < keep_bases:
+        return []
+    oldest = bases[-keep_bases]
+    # What the oldest base that stays holds itself, and bases before it.
+    gone = [f"base={n}" for n in bases if n < oldest]
+    gone += [f"batch={n}" for n in complete_folders(spark, path, "batch") if n <= oldest]
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(path)
+    store = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [name for name in gone if store.delete(hadoop.Path(root, name), True)]
+
+
 def read_current_state(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
     """The table's rows from the updates written so far: per key the latest batch counts."""
     return _last(spark, path, keys).where(is_live()).select("after.*")

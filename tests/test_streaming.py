@@ -10,7 +10,7 @@ from siltstream.operators import logs as L
 from siltstream.plans.change_capture import run_database_capture
 from siltstream.plans.log_split import run_log_split, split_logs
 from siltstream.sources.files import read_landed, read_lines
-from siltstream.streaming.changelog import read_current_state, start_current_state
+from siltstream.streaming.changelog import clean_current_state, read_current_state, start_current_state
 from siltstream.streaming.first_seen import FirstSeenProcessor
 from siltstream.streaming.job import JobOptions
 
@@ -163,6 +163,20 @@ def test_current_state_can_be_upserted_elsewhere(spark, tmp_path):
         _run_current(spark, tmp_path)
 
 
+def test_superfluous_folders_of_a_running_table_can_go(spark, tmp_path):
+    events, table = _random_history(15, 90, seed=9)
+    out = f"{tmp_path}/out"
+    for part in range(6):
+        _land(spark, tmp_path, list(enumerate(events))[part * 15 : part * 15 + 15], "seq int, value string")
+    _run_current(spark, tmp_path, path=out, compact_every=2)
+    assert clean_current_state(spark, out, keep_bases=4) == []
+    assert sorted(clean_current_state(spark, out, keep_bases=2)) == ["base=1", "batch=0", "batch=1", "batch=2", "batch=3"]
+    assert _rows(read_current_state(spark, out, ["id"])) == _expected(table)
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["base=3", "base=5", "batch=4", "batch=5"]
+    with pytest.raises(ValueError):
+        clean_current_state(spark, out, keep_bases=0)
+
+
 def test_capture_stream_routes_to_topics(spark, tmp_path):
     events, _ = _random_history(5, 20, seed=8)
     frame = spark.createDataFrame([(e,) for e in [*events, "junk"]], "value string")
