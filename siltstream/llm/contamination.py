@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstream.llm.packing import chunks
+from siltstream.llm.shared import in_small_batches
 from siltstream.llm.words import Words, grams
 
 #: Words of the shortest tile, and of the seeds that join documents with items.
@@ -144,7 +145,7 @@ def tilings(
                     [pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema
                 )
 
-        return documents.select("doc_id", "text").mapInArrow(
+        return in_small_batches(documents.select("doc_id", "text")).mapInArrow(
             run,
             f"doc_id long, item_id long, item_words long, covered long, coverage double, tiles {TILES}",
         )

@@ -23,6 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer, pre_tokenizers
 
+from siltstream.llm.shared import in_small_batches
+
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 LENGTH = 2048
 #: Open windows of a task, of at most LENGTH ids each, before they are laid out anew.
@@ -42,7 +44,7 @@ class WordIds:
     PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
     OTHER = re.compile("[^\x00-\x1b\x20-\x84\x86-ɏ]")
     #: Words that a store holds before a new one is begun; the one before is kept as well.
-    MOST_WORDS = 700_000
+    MOST_WORDS = 500_000
     #: Parts that go through the tokenizer as one text.
     AT_ONCE = 200
 
@@ -312,7 +314,7 @@ def pack(
                 yield flush()
         yield flush()
 
-    return documents.select("doc_id", "text").mapInArrow(
+    return in_small_batches(documents.select("doc_id", "text")).mapInArrow(
         run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
     )
 
@@ -330,5 +332,7 @@ def chunks(batches: Iterator[pa.RecordBatch], most_chars: int = 1 << 21) -> Iter
             if held > most_chars:
                 yield ids, texts
                 ids, texts, held = [], [], 0
+        # What a batch took goes back, for other workers of the executor need it.
+        pa.default_memory_pool().release_unused()
     if ids:
         yield ids, texts

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from siltstream.llm.buckets import cells, linked
 from siltstream.llm.packing import chunks
-from siltstream.llm.shared import components, saved, sent_if_small, text_hash
+from siltstream.llm.shared import components, in_small_batches, saved, sent_if_small, text_hash
 from siltstream.llm.words import Words, grams, mixed, random_odd
 
 #: Words of a shingle, and the Jaccard similarity of shingle sets that links two paragraphs.
@@ -126,7 +126,7 @@ def units(documents: DataFrame, least_words: int, passage: int, span: int) -> Da
                 yield unit_batch(runs, None)
 
     rows = documents.select(F.struct("doc_id", text_hash().alias("text_hash")).alias("key"), "text")
-    return rows.mapInArrow(run, UNIT)
+    return in_small_batches(rows).mapInArrow(run, UNIT)
 
 
 def unit_batch(parts: list[tuple], bands: np.ndarray | None) -> pa.RecordBatch:

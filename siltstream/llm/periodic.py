@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from siltstream.llm.packing import chunks
+from siltstream.llm.shared import in_small_batches
 
 #: Words of a run, at least; it also has two periods.
 SHORTEST = 12
@@ -243,7 +244,7 @@ def periodic_runs(documents: DataFrame, shortest: int = SHORTEST) -> DataFrame:
             )
 
     schema = "doc_id long, runs array<struct<start:long,length:long,period:long>>, collapsed string"
-    return documents.select("doc_id", "text").mapInArrow(run, schema)
+    return in_small_batches(documents.select("doc_id", "text")).mapInArrow(run, schema)
 
 
 RUNS = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())]))

@@ -20,6 +20,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 
 from siltstream.llm.packing import chunks
+from siltstream.llm.shared import in_small_batches
 
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 BLANK = "▁"
@@ -341,7 +342,7 @@ def encode(documents: DataFrame, model: str = PIECE_BPE) -> DataFrame:
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), ids], ["doc_id", "ids"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return in_small_batches(documents.select("doc_id", "text")).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, model: str = PIECE_BPE) -> DataFrame:

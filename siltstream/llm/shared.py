@@ -29,6 +29,22 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of rows that go to a Python task at a time; a longer row goes alone.
+BATCH_BYTES = 4 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def in_small_batches(rows: DataFrame) -> DataFrame:
+    """The rows, to be sent to Python tasks a few MB at a time: several copies of a batch are
+    in memory at once, outside of Spark's own account. The bound is a setting of the session
+    and stays; a lower one of its own is kept."""
+    conf = rows.sparkSession.conf
+    held = conf.get(BATCH_SETTING).rstrip("bB")
+    if not held.isdigit() or int(held) > BATCH_BYTES:
+        conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    return rows
+
+
 #: Rows and bytes of text up to which a written table may travel to every task.
 MOST_SENT_ROWS, MOST_SENT_BYTES = 500_000, 32 << 20
 

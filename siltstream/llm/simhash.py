@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from siltstream.llm.buckets import cells, linked
 from siltstream.llm.packing import chunks
-from siltstream.llm.shared import components, saved, text_hash
+from siltstream.llm.shared import components, in_small_batches, saved, text_hash
 
 SHINGLE = 3
 SEED = 42
@@ -56,7 +56,7 @@ def fingerprints(documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(docs, pa.int64()), "bits": found, "text_hash": pa.array(hashes, pa.int64())})
 
     rows = documents.select(F.struct("doc_id", text_hash().alias("text_hash")).alias("key"), "text")
-    return rows.mapInArrow(run, "doc_id long, bits long, text_hash long")
+    return in_small_batches(rows).mapInArrow(run, "doc_id long, bits long, text_hash long")
 
 
 def segment(bits: Column, k: int, width: int = 16, offset: int = 0) -> Column:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstream.llm.packing import chunks
-from siltstream.llm.shared import saved
+from siltstream.llm.shared import in_small_batches, saved
 
 #: Labelled rows that the model is fitted on, at most about so many.
 MOST_ROWS = 20_000
@@ -170,7 +170,7 @@ class Model:
 
     def scored(self, documents: DataFrame) -> DataFrame:
         """Each row as the struct ``_row``, with its ``score``."""
-        rows = documents.select(F.struct("*").alias("_row"))
+        rows = in_small_batches(documents).select(F.struct("*").alias("_row"))
         if self.trees is None:
             return rows.withColumn("score", F.lit(float(self.share)))
         rows = self.raw(rows.withColumn("_vector", array_to_vector(self.lexicon.column(F.col("_row.text")))))
@@ -253,7 +253,7 @@ def learn_lexicon(rows: DataFrame, most_terms: int = MOST_TERMS) -> Lexicon:
     if not bad or not good:
         return Lexicon()
     base = bad / (bad + good)
-    found = rows.select("toxic", "text").mapInArrow(count, "term string, bad long, good long")
+    found = in_small_batches(rows).select("toxic", "text").mapInArrow(count, "term string, bad long, good long")
     found = found.groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     share = F.col("bad") / (F.col("bad") + F.col("good"))
     none = F.when(F.col("good") > 0, F.col("good") * F.log((1 - share) / (1 - base))).otherwise(0.0)
