@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,15 +10,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_own_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path under spark.checkpoint.dir, which the session or its cluster names.
 
-    Only a session without that setting, as in tests, gets a temporary folder.
+    Only a session on one machine without that setting, as in tests, gets a temporary folder;
+    on a cluster other machines would not see it, and ValueError is raised.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        context = spark.sparkContext
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder shared by all nodes")
+        if context.applicationId not in _own_folders:
+            _own_folders[context.applicationId] = tempfile.mkdtemp(prefix="shared-")
+        root = _own_folders[context.applicationId]
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

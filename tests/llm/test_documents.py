@@ -2,6 +2,7 @@
 
 import re
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -11,7 +12,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from siltstream.llm import contamination, language, packing, passages, simhash, toxicity
-from siltstream.llm.shared import components
+from siltstream.llm.shared import components, shared_folder
 
 EDGES = [(1, None), (2, ""), (3, " \n\t "), (4, "one"), (5, "one two"), (None, "one two three four"), (4, "one")]
 
@@ -487,3 +488,16 @@ def test_extra_columns_of_any_name_stay(spark, tmp_path, prose):
     assert whole(corpus_pipeline.without_leaks(spark, table, str(tmp_path))).keys() == {1, 2, 4, 5, 6}
     assert packing.pack(table).count() > 0
     assert {r.doc_id for r in contamination.tilings(table, spark.read.parquet(f"{tmp_path}/benchmark.parquet")).collect()} == {3}
+
+
+def test_only_one_machine_may_go_without_a_shared_folder():
+    def session(master, folder=None):
+        context = SimpleNamespace(master=master, applicationId=f"app of {master}")
+        return SimpleNamespace(conf={"spark.checkpoint.dir": folder}, sparkContext=context)
+
+    assert shared_folder(session("local[4]", "s3a://bucket/shared/"), "t").startswith("s3a://bucket/shared/t-")
+    first, second = (shared_folder(session("local[4]"), "t") for _ in range(2))
+    assert first != second and first.rpartition("/")[0] == second.rpartition("/")[0]
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,3000]", "k8s://https://host"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_folder(session(master), "t")
