@@ -7,7 +7,9 @@ from a landed folder and resume from their checkpoint in between.
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import StreamingQueryException
@@ -64,14 +66,21 @@ DECLARED_ROW = (
 )
 
 
+_own_folders: dict[str, str] = {}
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
-    """A working folder of a query. A session that names no shared folder, as in a trial
-    run on one machine, gets a temporary one."""
+    """A working folder of a query. A session on one machine that names no shared folder, as
+    in a trial run, gets a temporary one."""
     try:
         return streaming_job.new_folder(spark, label)
     except ValueError:
-        spark.conf.set(streaming_job.CHECKPOINT_DIR, tempfile.mkdtemp(prefix="siltstream-"))
-        return streaming_job.new_folder(spark, label)
+        context = spark.sparkContext
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise
+        if context.applicationId not in _own_folders:
+            _own_folders[context.applicationId] = tempfile.mkdtemp(prefix="siltstream-")
+        return f"{_own_folders[context.applicationId]}/{label}-{uuid.uuid4().hex}"
 
 
 def _parsed_logs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,10 @@
 from datetime import datetime
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
+from siltstream import catalog
 from siltstream.plans.change_capture import database_records
 from siltstream.plans.log_split import split_logs
 from siltstream.sinks import topics as K
@@ -130,3 +132,15 @@ def test_work_folders_are_below_the_shared_one(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
     assert new_folder(spark, "x") != new_folder(spark, "x")
     assert new_folder(spark, "x").startswith(shared_folder(spark))
+
+
+def test_only_one_machine_may_go_without_a_shared_folder():
+    def session(master):
+        context = SimpleNamespace(master=master, applicationId=f"app of {master}", getConf=dict)
+        return SimpleNamespace(conf={}, sparkContext=context)
+
+    first, second = (catalog.new_folder(session("local[4]"), "t") for _ in range(2))
+    assert first != second and first.rpartition("/")[0] == second.rpartition("/")[0]
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,3000]"):
+        with pytest.raises(ValueError):
+            catalog.new_folder(session(master), "t")
