@@ -39,7 +39,7 @@ def with_old_rows(
 
     Returns the carried columns and ``valid, before, after, db, table, op, ts_ms, step``,
     ready for :func:`~siltstream.operators.changelog.retract`. Works on streams, where it
-    keeps the last row of each key as state; there earlier micro-batches come first and
+    keeps the last row of each key as state, the keys dealt to groups by a hash; there earlier micro-batches come first and
     ``order`` decides inside one.
 
     In batch a key's history is cut into ``ranges`` (by default as many as shuffle partitions)
@@ -66,7 +66,12 @@ def with_old_rows(
         .otherwise(F.lit(I.CREATE))
     )
     found = supplied.where(has_old | (~deletes & F.col("after").isNotNull()))
-    filled = {"op": kind, "before": F.col("_old"), "after": F.when(~deletes, F.col("after"))}
+    filled = {
+        "valid": F.lit(True),
+        "op": kind,
+        "before": F.col("_old"),
+        "after": F.when(~deletes, F.col("after")),
+    }
     return found.select(*[filled[c].alias(c) if c in filled else F.col(c) for c in columns])
 
 

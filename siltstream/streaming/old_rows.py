@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
 import sys
 from collections.abc import Iterator, Sequence
-from typing import Any
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -19,71 +20,90 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 DELETE = "d"
 
+#: Keys are dealt to so many groups by a hash, and each group has one state. A micro-batch
+#: talks to the state store once per group it touches, not once per key. Checkpoints depend
+#: on it.
+GROUPS = 1 << 15
 
-def named(value: Any, kind: T.DataType) -> Any:
-    """A value whose structs are dicts, at any depth: events hold them so, state as tuples."""
-    if value is None:
-        return None
-    if isinstance(kind, T.StructType):
-        parts = [value[f.name] for f in kind] if isinstance(value, dict) else value
-        return {f.name: named(part, f.dataType) for f, part in zip(kind, parts)}
-    if isinstance(kind, T.ArrayType):
-        return [named(part, kind.elementType) for part in value]
-    if isinstance(kind, T.MapType):
-        return {k: named(v, kind.valueType) for k, v in value.items()}
+# Values of these types are equal and ordered in Python as they are in Spark.
+_PLAIN = (T.IntegralType, T.StringType, T.BooleanType, T.DecimalType, T.DateType, T.TimestampNTZType)
+
+
+def key_value(value: Column, kind: T.DataType) -> Column:
+    """A key as a value that Python can look up, equal there just where it is in Spark."""
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(value)
+    if isinstance(kind, T.FractionalType) and not isinstance(kind, T.DecimalType):
+        return (value + F.lit(0.0)).cast("string")
+    if isinstance(kind, (T.StructType, T.ArrayType)):
+        return F.to_json(F.struct(value))
     return value
 
 
 class OldRowProcessor(StatefulProcessor):
-    """Returns each event with the row its key had before as ``_old``; the state is that row.
+    """Returns each event with the row its key had before as ``_old``.
 
-    The events of a key in one micro-batch are put in order in memory.
+    The state of a group is the last row of each of its keys. The events of a group in one
+    micro-batch are put in order in memory.
     """
 
-    def __init__(self, columns: Sequence[str], order: Sequence[str], row: T.StructType):
+    def __init__(self, sent: Sequence[str], columns: Sequence[str], keys: Sequence[str], order: Sequence[str]):
         self._columns = list(columns)
-        self._order = list(order)
-        self._row = row
-
-    def _read(self) -> dict | None:
-        """The state's row in the form that row images of events have."""
-        return named(self._last.get(), self._row) if self._last.exists() else None
+        self._keys = [sent.index(name) for name in keys]
+        self._order = [sent.index(name) for name in order]
+        self._op, self._after = sent.index("op"), sent.index("after")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        # One value of the row's own type; a deleted row has no state.
-        self._last = handle.getValueState("last", self._row)
+        schema = T.StructType([T.StructField("rows", T.BinaryType())])
+        self._rows = handle.getValueState("rows", schema)
         self._result = Row(*self._columns, "_old")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        old = self._read()
-        had = old is not None
+        found = self._rows.get()
+        last = pickle.loads(found[0]) if found else {}
+        width = len(self._columns)
         for row in sorted(rows, key=self._position):
-            yield self._result(*row[: len(self._columns)], old)
-            old = None if row["op"] == DELETE else row["after"]
-        if old is not None:
-            self._last.update(tuple(old[name] for name in self._row.names))
-        elif had:
-            self._last.clear()
+            mine = tuple([row[k] for k in self._keys])
+            yield self._result(*row[:width], last.get(mine))
+            if row[self._op] == DELETE or row[self._after] is None:
+                last.pop(mine, None)
+            else:
+                last[mine] = row[self._after]
+        if last:
+            self._rows.update((pickle.dumps(last, protocol=5),))
+        elif found:
+            self._rows.clear()
 
     def _position(self, row: Row) -> tuple:
-        return _nulls_first([row[name] for name in self._order])
+        return _nulls_first([row[k] for k in self._order])
 
     def close(self) -> None:
         pass
 
 
 def supply_old_rows_stream(keyed: DataFrame, names: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """``keyed`` events with the row before them as ``_old``; see
-    :func:`~siltstream.operators.old_rows.with_old_rows`. State lasts as long as a row."""
+    """``keyed`` events, without the old row the feed said, with the row before them as
+    ``_old``; see :func:`~siltstream.operators.old_rows.with_old_rows`. State lasts as long as
+    a row."""
     use_rocksdb_state(keyed.sparkSession)
-    row = keyed.schema["after"].dataType
-    columns = [name for name in keyed.columns if name not in names]
-    at = [name for k in range(len(order)) for name in (f"_known{k}", f"_value{k}")]
-    placed = keyed.select(*columns, *names, *exact_order(keyed, order))
-    fields = [T.StructField(name, keyed.schema[name].dataType) for name in columns]
-    return placed.select(*columns, *at, *names).groupBy(*names).transformWithState(
-        statefulProcessor=OldRowProcessor(columns, at, row),
-        outputStructType=T.StructType([*fields, T.StructField("_old", row)]),
+    kinds = {field.name: field.dataType for field in keyed.schema.fields}
+    # Every column that goes through Python costs time per row.
+    columns = [name for name in keyed.columns if name not in names and name not in ("before", "valid")]
+    placed = keyed.select(
+        *columns,
+        *[key_value(F.col(name), kinds[name]).alias(name) for name in names],
+        *exact_order(keyed, order),
+    )
+    at: list[str] = []
+    for k, name in enumerate(order):
+        plain = name in columns and isinstance(kinds[name], _PLAIN)
+        at += [name] if plain else [f"_known{k}", f"_value{k}"]
+    sent = [*columns, *names, *[name for name in at if name not in columns]]
+    group = F.pmod(F.xxhash64(*names), F.lit(GROUPS)).cast("int").alias("_group")
+    fields = [T.StructField(name, kinds[name]) for name in columns]
+    return placed.select(*sent, group).groupBy("_group").transformWithState(
+        statefulProcessor=OldRowProcessor(sent, columns, names, at),
+        outputStructType=T.StructType([*fields, T.StructField("_old", kinds["after"])]),
         outputMode="append",
         timeMode="none",
     )

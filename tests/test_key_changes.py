@@ -209,3 +209,22 @@ def test_range_of_counts_the_bounds_below(spark):
 
 def test_events_say_their_key_in_json():
     assert json.loads(_event("d", before={"id": 9}, after=None))["before"] == {"id": 9}
+
+
+def test_keys_share_states_on_streams(spark, tmp_path, monkeypatch):
+    """The state store is asked once per group of keys, not once per key, and no row is mixed up."""
+    from siltstream.streaming import old_rows
+
+    monkeypatch.setattr(old_rows, "GROUPS", 4)
+    events, table, steps = moving_history(60, 500, 8, bare=True)
+    seen = []
+
+    def run(changes, job):
+        rows = C.retract(with_old_rows(changes, ["id"], ORDER))
+        query = job.start(rows.writeStream.format("parquet").option("path", f"{tmp_path}/out"))
+        seen.extend(p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators)
+
+    _in_parts(spark, tmp_path, events, run)
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert _steps(out) == steps and _rows(C.net_rows(out, COLUMNS)) == _expected(table)
+    assert 0 < max(seen) <= 4
