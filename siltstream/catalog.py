@@ -65,6 +65,8 @@ DECLARED_ROW = (
     " sale_attr_value_name string, sale_attr_name string"
 )
 
+# Fixed value: in about how many micro-batches a stream reads what was written twice.
+READINGS = 12
 
 _own_folders: dict[str, str] = {}
 
@@ -540,7 +542,9 @@ def sink_repeats_dropped_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     repeated, out = new_folder(spark, "repeated"), new_folder(spark, "once")
     _written_twice(spark, sf_dir, repeated)
     written = spark.read.parquet(repeated)
-    stream = read_landed(spark, repeated, written.schema, stream=True, max_files=2)
+    # The number of files follows the writer's tasks; that of micro-batches must not.
+    files = max(2, -(-len(written.inputFiles()) // READINGS))
+    stream = read_landed(spark, repeated, written.schema, stream=True, max_files=files)
     rows = without_repeats(stream, "1 day").writeStream.format("parquet").option("path", out)
     JobOptions(checkpoint=f"{out}-checkpoint", available_now=True).start(rows)
     return _topic_totals(spark.read.parquet(out))
