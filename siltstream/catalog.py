@@ -472,7 +472,7 @@ def cdc_chunked_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cdc_chunked_capture_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same beside the running feed: each chunk is read after a micro-batch of it; the
-    job is stopped in between."""
+    job is stopped after each."""
     feed, changes = X.database_changes(spark, sf_dir), _order_changes(spark, sf_dir)
     chunks = _order_chunks(spark, sf_dir)
     out, landed, table = (new_folder(spark, n) for n in ("chunked", "landed", "table"))
@@ -489,11 +489,11 @@ def cdc_chunked_capture_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     parted = new_folder(spark, "parted")
     feed.withColumn("part", part).write.partitionBy("part").parquet(parted)
     arrived = spark.read.parquet(parted)
-    for parts in (range(4), range(4, CHUNKS + 1)):
-        for n in parts:
-            some = arrived.where(F.col("part") == n).select(*feed.columns)
-            some.coalesce(1).write.mode("append").parquet(landed)
-        stream = read_landed(spark, landed, feed.schema, stream=True, max_files=1)
+    for n in range(CHUNKS + 1):
+        # All files of a part are one micro-batch, so that its rows are spread over the tasks.
+        some = arrived.where(F.col("part") == n).select(*feed.columns)
+        some.write.mode("append").parquet(landed)
+        stream = read_landed(spark, landed, feed.schema, stream=True)
         start_chunked_capture(
             C.parse_changes(stream, ORDER_ROW),
             X.DATABASE,

@@ -40,3 +40,10 @@ def test_micro_batches_do_not_follow_the_number_of_files(spark, sf_dir, readers,
     monkeypatch.setattr(JobOptions, "start", counted)
     assert [tuple(r) for r in catalog.sink_repeats_dropped_stream(spark, sf_dir).collect()] == [("t", 60, 60)]
     assert 1 < batches[-1] <= catalog.READINGS + 1
+
+
+def test_a_part_of_the_feed_lands_in_several_files(spark, sf_dir, readers):
+    assert catalog.cdc_chunked_capture_stream(spark, sf_dir).count()
+    landed, _ = readers[0]
+    assert {path for path, _ in readers} == {landed} and len(readers) == catalog.CHUNKS + 1
+    assert len(spark.read.parquet(landed).inputFiles()) > 2 * (catalog.CHUNKS + 1)
