@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstream.functions.json_values import compact, drop_null_members, exact_member, to_text
+from siltstream.functions.json_values import bound, compact, exact_member, to_text, without_nulls
 
 # The operation codes of a change event and their record types.
 SNAPSHOT = "r"
@@ -84,10 +84,5 @@ def image_json(image: Column, value: Column | None = None, member: str | None =
     text = to_text(image)
     if value is not None:
         own = F.when(image.isNotNull(), compact(exact_member(value, member)))
-        own = F.when(F.contains(own, F.lit(":null")), drop_null_members(own)).otherwise(own)
-        text = F.coalesce(own, text)
-    text = F.transform(
-        F.array(text),
-        lambda t: F.when(t.startswith("{"), t).otherwise(F.lit(EMPTY_IMAGE)),
-    )
-    return F.get(text, F.lit(0))
+        text = F.coalesce(bound(own, without_nulls), text)
+    return bound(text, lambda t: F.when(t.startswith("{"), t).otherwise(F.lit(EMPTY_IMAGE)))

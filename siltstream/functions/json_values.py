@@ -7,6 +7,8 @@ shape is open are declared ``VARIANT``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,6 +68,14 @@ def once(frame: DataFrame, keep: list[str], columns: dict[str, Column]) -> DataF
     return frame.select(*keep, F.inline(F.array(row)))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once per row, however often ``use`` names it.
+
+    Spark repeats an expression at every place it is named in the branches of a condition.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def emit_when(condition: Column, columns: dict[str, Column]) -> Column:
     """Generator of one row if ``condition`` holds, else of none."""
     row = F.struct(*[column.alias(name) for name, column in columns.items()])
@@ -155,7 +165,7 @@ def exact_member(text: Column, name: str) -> Column:
         f"^{_GAP}\\{{{_GAP}(?:(?!{named}){_MEMBER},{_GAP})*+{named}{_GAP}({_VALUE}){_GAP}"
         f"(?:,{_GAP}(?!{named}){_MEMBER})*+\\}}{_GAP}$"
     )
-    return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
+    return bound(F.regexp_extract(text, pattern, 1), lambda found: F.when(found != "", found))
 
 
 def exact_elements(text: Column) -> Column:
@@ -167,8 +177,10 @@ def exact_elements(text: Column) -> Column:
 
 def compact(text: Column) -> Column:
     """Valid JSON text without white space between its members."""
-    spaced = text.rlike("[ \t\r\n]")
-    return F.when(spaced, F.regexp_replace(text, _SPACE, "$1")).otherwise(text)
+    return bound(
+        text,
+        lambda t: F.when(t.rlike("[ \t\r\n]"), F.regexp_replace(t, _SPACE, "$1")).otherwise(t),
+    )
 
 
 def to_long(text: Column) -> Column:
@@ -184,13 +196,14 @@ def drop_null_members(text: Column) -> Column:
     return F.regexp_replace(text, _NULL_MEMBER, "$1")
 
 
+def without_nulls(text: Column) -> Column:
+    """:func:`drop_null_members` of text that may have some."""
+    return F.when(F.contains(text, F.lit(":null")), drop_null_members(text)).otherwise(text)
+
+
 def to_text(value: Column) -> Column:
     """JSON text of a variant, map or struct without null members."""
-    text = F.transform(
-        F.array(F.to_json(value)),
-        lambda t: F.when(F.contains(t, F.lit(":null")), drop_null_members(t)).otherwise(t),
-    )
-    return F.get(text, F.lit(0))
+    return bound(F.to_json(value), without_nulls)
 
 
 def member(name: str, value: Column) -> Column:

@@ -47,3 +47,15 @@ def test_a_part_of_the_feed_lands_in_several_files(spark, sf_dir, readers):
     landed, _ = readers[0]
     assert {path for path, _ in readers} == {landed} and len(readers) == catalog.CHUNKS + 1
     assert len(spark.read.parquet(landed).inputFiles()) > 2 * (catalog.CHUNKS + 1)
+
+
+def _patterns(frame):
+    return frame._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(")
+
+
+def test_members_are_cut_out_once(spark):
+    feed = spark.createDataFrame([("{}",)], "value string")
+    changes = C.parse_changes(feed)
+    assert _patterns(C.route_changes(changes)) == 2
+    assert _patterns(C.format_full(changes)) == 2
+    assert _patterns(feed.select(J.compact(J.exact_member(F.col("value"), "a")).alias("text"))) == 1
