@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstream.streaming.job import use_rocksdb_state
+
 RECORD_ID = "record_id"
 
 
@@ -36,7 +38,9 @@ def without_repeats(records: DataFrame, within: str, time: str | None = None) ->
     own = F.coalesce(RECORD_ID, F.concat(F.lit("none-"), F.expr("uuid()")))
     marked = records.withColumn("_id", own)
     if not records.isStreaming:
-        return marked.dropDuplicates(["_id"]).drop("_id")
+        # Dealt out first: otherwise whole rows are sorted on both sides of the shuffle.
+        return marked.repartition("_id").dropDuplicates(["_id"]).drop("_id")
+    use_rocksdb_state(records.sparkSession)
     clock = F.current_timestamp() if time is None else F.col(time)
     kept = marked.withColumn("_clock", clock).withWatermark("_clock", within)
     return kept.dropDuplicatesWithinWatermark(["_id"]).drop("_id", "_clock")

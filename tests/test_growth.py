@@ -59,3 +59,10 @@ def test_members_are_cut_out_once(spark):
     assert _patterns(C.route_changes(changes)) == 2
     assert _patterns(C.format_full(changes)) == 2
     assert _patterns(feed.select(J.compact(J.exact_member(F.col("value"), "a")).alias("text"))) == 1
+
+
+def test_repeats_are_sorted_once(spark, tmp_path):
+    rows = spark.range(9).select(F.col("id").cast("string").alias("record_id"), F.lit("v").alias("value"))
+    rows.write.parquet(f"{tmp_path}/in")
+    plan = without_repeats(spark.read.parquet(f"{tmp_path}/in"), "1 day")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") <= 1 and plan.count("Exchange") == 1
