@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from siltstream.llm.buckets import cells, linked
 from siltstream.llm.packing import chunks
 from siltstream.llm.shared import components, in_small_batches, saved, sent_if_small, text_hash
-from siltstream.llm.words import Words, grams, mixed, random_odd
+from siltstream.llm.words import Words, grams, mixed, random_odd, read_together
 
 #: Words of a shingle, and the Jaccard similarity of shingle sets that links two paragraphs.
 SHINGLE = 5
@@ -50,9 +50,12 @@ UNIT_SCHEMA = pa.schema(
 
 def paragraphs(words: Words, least_words: int) -> tuple[np.ndarray, np.ndarray]:
     """First words and numbers of words of the lines with ``least_words`` words or more."""
-    line = np.searchsorted(np.flatnonzero((words.codes == 10) | (words.codes == 13)), words.starts)
-    first = np.flatnonzero(np.diff(line, prepend=-1))
-    count = np.diff(np.append(first, len(line)))
+    breaks = np.flatnonzero((words.codes == 10) | (words.codes == 13))
+    heads = np.zeros(len(words) + 1, bool)
+    heads[0] = True
+    heads[np.searchsorted(words.starts, breaks)] = True
+    first = np.flatnonzero(heads[:-1])
+    count = np.diff(np.append(first, len(words)))
     long = count >= least_words
     return first[long], count[long]
 
@@ -69,7 +72,7 @@ def shingles(words: Words, first: np.ndarray, count: np.ndarray) -> tuple[np.nda
     count = count - SHINGLE + 1
     begin = np.cumsum(count) - count
     at = np.repeat(first - begin, count) + np.arange(count.sum())
-    return grams(words.hashes, SHINGLE)[at], begin
+    return grams(words.hashes, SHINGLE, at), begin
 
 
 def band_hashes(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -81,9 +84,11 @@ def band_hashes(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return out
 
 
-def passage_starts(hashes: np.ndarray, passage: int, span: int) -> np.ndarray:
+def passage_starts(hashes: np.ndarray, passage: int, span: int, counts: np.ndarray | None = None) -> np.ndarray:
     """Words at which passages start: the least of every ``span`` hashes of word pairs, so
-    that equal texts are cut alike wherever they stand (winnowing)."""
+    that equal texts are cut alike wherever they stand (winnowing). With ``counts`` the words
+    are those of several texts, and no passage runs from one into the next."""
+    counts = np.array([len(hashes)]) if counts is None else counts
     pairs = grams(hashes, 2)
     if len(hashes) < passage + span:
         return np.zeros(0, np.int64)
@@ -94,8 +99,13 @@ def passage_starts(hashes: np.ndarray, passage: int, span: int) -> np.ndarray:
         step = min(done, span - done)
         least = np.minimum(least[:-step], least[step:])
         done += step
-    starts = np.unique(least & np.uint64(PLACES - 1)).astype(np.int64)
-    return starts[starts + passage <= len(hashes)]
+    ends = np.repeat(np.cumsum(counts), counts)
+    # All pairs of the window are in one text, which is long enough.
+    whole = (places[: len(least)].astype(np.int64) + span < ends[: len(least)]) & (np.repeat(counts, counts)[: len(least)] >= passage + span)
+    found = np.zeros(len(hashes), bool)
+    found[(least[whole] & np.uint64(PLACES - 1)).astype(np.int64)] = True
+    starts = np.flatnonzero(found)
+    return starts[starts + passage <= ends[starts]]
 
 
 def units(documents: DataFrame, least_words: int, passage: int, span: int) -> DataFrame:
@@ -104,24 +114,22 @@ def units(documents: DataFrame, least_words: int, passage: int, span: int) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for docs, texts in chunks(batches):
-            lines, runs, values = [], [], []
-            for doc, text in zip(docs, texts):
-                if doc["doc_id"] is None:
-                    continue
-                words = Words(text)
+            known = [k for k, doc in enumerate(docs) if doc["doc_id"] is not None]
+            docs, texts = [docs[k] for k in known], [texts[k] for k in known]
+            keys = [np.array([doc[name] for doc in docs], np.int64) for name in ("doc_id", "text_hash")]
+            lines, bands, runs = [], [], []
+            for part in read_together(texts):
+                words = Words(texts[part])
+                own = [key[part] for key in keys]
                 first, count = paragraphs(words, least_words)
                 if len(first):
-                    found = shingles(words, first, count)[0]
-                    values.append((found, count - SHINGLE + 1))
-                    lines.append((doc, words, whole_hashes(words.hashes, first, count), first, count))
-                first = passage_starts(words.hashes, passage, span)
+                    bands.append(band_hashes(*shingles(words, first, count)))
+                    lines.append(unit_columns(words, own, first, count, whole_hashes(words.hashes, first, count)))
+                first = passage_starts(words.hashes, passage, span, words.counts)
                 if len(first):
-                    count = np.full(len(first), passage)
-                    runs.append((doc, words, grams(words.hashes, passage)[first], first, count))
+                    runs.append(unit_columns(words, own, first, passage, grams(words.hashes, passage, first)))
             if lines:
-                count = np.concatenate([c for _, c in values])
-                bands = band_hashes(np.concatenate([v for v, _ in values]), np.cumsum(count) - count)
-                yield unit_batch(lines, bands)
+                yield unit_batch(lines, np.concatenate(bands))
             if runs:
                 yield unit_batch(runs, None)
 
@@ -129,24 +137,22 @@ def units(documents: DataFrame, least_words: int, passage: int, span: int) -> Da
     return in_small_batches(rows).mapInArrow(run, UNIT)
 
 
-def unit_batch(parts: list[tuple], bands: np.ndarray | None) -> pa.RecordBatch:
-    sizes = [len(p[3]) for p in parts]
+def unit_columns(words: Words, keys: list[np.ndarray], first: np.ndarray, count: np.ndarray | int, hashes: np.ndarray) -> list[np.ndarray]:
+    """Runs of words of several texts as columns: their hashes, the keys of their texts, and
+    where they start and end in these."""
+    owner = np.searchsorted(words.firsts, first, "right") - 1
+    start, end = words.starts[first], words.ends[first + count - 1]
+    return [hashes.view(np.int64), *(key[owner] for key in keys), start - words.begins[owner], end - words.begins[owner]]
+
+
+def unit_batch(parts: list[list[np.ndarray]], bands: np.ndarray | None) -> pa.RecordBatch:
+    columns = [pa.array(np.concatenate(column)) for column in zip(*parts)]
     if bands is None:
-        bands = pa.nulls(sum(sizes), pa.list_(pa.int64()))
+        bands = pa.nulls(len(columns[0]), pa.list_(pa.int64()))
     else:
         bounds = np.arange(len(bands) + 1, dtype=np.int32) * BANDS
         bands = pa.ListArray.from_arrays(bounds, bands.view(np.int64).ravel())
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.concatenate([p[2] for p in parts]).view(np.int64)),
-            pa.array(np.repeat([p[0]["doc_id"] for p in parts], sizes)),
-            pa.array(np.repeat([p[0]["text_hash"] for p in parts], sizes)),
-            pa.array(np.concatenate([p[1].starts[p[3]] for p in parts])),
-            pa.array(np.concatenate([p[1].ends[p[3] + p[4] - 1] for p in parts])),
-            bands,
-        ],
-        schema=UNIT_SCHEMA,
-    )
+    return pa.RecordBatch.from_arrays([*columns, bands], schema=UNIT_SCHEMA)
 
 
 def jaccard_links(sets: pa.ListArray | list[list[int]], similarity: float) -> np.ndarray:
@@ -162,8 +168,8 @@ def jaccard_links(sets: pa.ListArray | list[list[int]], similarity: float) -> np
     owner, value = owner[several], value[several]
     both = np.zeros((len(sets), len(sets)), np.float32)
     last = int(value[-1]) + 1 if len(value) else 0
-    width = 4096
-    for at in range(0, last, width):
+    width = min(4096, last)
+    for at in range(0, last, 4096):
         a, b = np.searchsorted(value, [at, at + width])
         if a < b:
             has = np.zeros((len(sets), width), np.float32)
@@ -214,26 +220,50 @@ def near_links(documents: DataFrame, classes: DataFrame, similarity: float) -> D
     return linked(dealt.join(sets, "hash"), order, "hash", "shingles", lambda s: jaccard_links(s, similarity))
 
 
+def runs_of_hits(hits: dict[str, np.ndarray], text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order of passages found again in which those that hang together follow each other,
+    and where in it each run of these begins and ends. ``text`` numbers their texts. Of two
+    passages in a text, the one that starts later ends later."""
+    start, kept_end = hits["start"], hits["kept_end"]
+    far = start - hits["kept_start"]
+    order = np.lexsort((start, far, hits["kept_text"], hits["kept_doc_id"], text))
+    if not len(order):
+        return order, order, order
+    # As long in both texts.
+    even = hits["end"] - kept_end == far
+    a, b = order[:-1], order[1:]
+    chained = even[a] & even[b] & (start[b] <= hits["end"][a])
+    for same in (text, hits["kept_doc_id"], hits["kept_text"], far):
+        chained &= same[a] == same[b]
+    first = np.concatenate([[True], ~chained])
+    # In one text, the place that stays is not run into: a chain is cut where it would be.
+    own = (hits["doc_id"] == hits["kept_doc_id"]) & (hits["text_hash"] == hits["kept_text"])
+    begins = np.flatnonzero(first)
+    for at, end in zip(begins, np.append(begins[1:], len(order))):
+        if end - at > 1 and own[order[at]]:
+            stays = kept_end[order[at:end]]
+            k = 0
+            while (k := max(k + 1, int(np.searchsorted(stays, start[order[at + k]], "right")))) < end - at:
+                first[at + k] = True
+    heads = np.flatnonzero(first)
+    return order, heads, np.append(heads[1:], len(order)) - 1
+
+
 def joined(rows: DataFrame) -> DataFrame:
     """Passages that overlap in a document and likewise in the one that stays, as one hit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, text, hits in zip(*(column.to_pylist() for column in batch.columns)):
-                out: list[dict] = []
-                for hit in sorted(hits, key=lambda h: (h["kept_doc_id"], h["kept_text"], h["start"] - h["kept_start"], h["start"])):
-                    last = out[-1] if out else hit
-                    same = all(last[k] == hit[k] for k in ("kept_doc_id", "kept_text"))
-                    same &= last["start"] - last["kept_start"] == hit["start"] - hit["kept_start"]
-                    # As long in both texts, and the one that stays is not run into.
-                    same &= last["end"] - last["kept_end"] == hit["end"] - hit["kept_end"] == last["start"] - last["kept_start"]
-                    apart = (doc, text) != (hit["kept_doc_id"], hit["kept_text"]) or last["start"] >= hit["kept_end"]
-                    if out and same and apart and hit["start"] <= last["end"]:
-                        last["end"], last["kept_end"] = max(last["end"], hit["end"]), max(last["kept_end"], hit["kept_end"])
-                    else:
-                        out.append(hit)
-                rows = [{"doc_id": doc, "text_hash": text, **hit} for hit in out]
-                yield pa.RecordBatch.from_pylist(rows, schema=HIT_SCHEMA)
+            lists = batch.column(2)
+            sizes = lists.value_lengths().to_numpy()
+            keys = [np.repeat(batch.column(k).to_numpy(), sizes) for k in (0, 1)]
+            fields = lists.flatten()
+            columns = dict(zip(HIT, [*keys, *(fields.field(name).to_numpy() for name in HIT[2:])]))
+            order, heads, tails = runs_of_hits(columns, np.repeat(np.arange(len(sizes)), sizes))
+            ends = {"end", "kept_end"}
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(columns[name][order[tails if name in ends else heads]]) for name in HIT], schema=HIT_SCHEMA
+            )
 
     hits = F.collect_set(F.struct(*HIT[2:])).alias("hits")
     return rows.groupBy("doc_id", "text_hash").agg(hits).mapInArrow(run, ", ".join(f"{c} long" for c in HIT))
@@ -246,16 +276,20 @@ def contexts(documents: DataFrame, places: DataFrame, span: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, text_id, text, wanted in zip(*batch.columns):
-                words = Words(text.as_py() or "")
+            texts = [text or "" for text in batch.column(2).to_pylist()]
+            for part in read_together(texts):
+                some = batch.slice(part.start, part.stop - part.start)
+                words = Words(texts[part])
                 hashes = (words.hashes >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                fields = wanted.values
-                start, end = (fields.field(name).to_numpy() for name in ("start", "end"))
-                n = len(start)
+                owner = np.repeat(np.arange(some.num_rows), some.column(3).value_lengths().to_numpy())
+                fields = some.column(3).flatten()
+                keys = [some.column(k).to_numpy()[owner] for k in (0, 1)]
+                spots = [fields.field(name).to_numpy() for name in ("start", "end")]
+                start, end = (spot + words.begins[owner] for spot in spots)
                 first = np.searchsorted(words.starts, start)
                 last = np.searchsorted(words.ends, end, "right")
-                before = np.minimum(first, span)
-                after = np.minimum(len(words) - last, span)
+                before = np.minimum(first - words.firsts[owner], span)
+                after = np.minimum(words.firsts[owner] + words.counts[owner] - last, span)
                 # The places of the words on one side, one run of indices per place.
                 left = np.repeat(first, before) - 1 - counted(before)
                 right = np.repeat(last, after) + counted(after)
@@ -263,17 +297,14 @@ def contexts(documents: DataFrame, places: DataFrame, span: int) -> DataFrame:
                 back = words.starts[np.minimum(left + 1, len(words) - 1)] - words.starts[left]
                 ahead = words.ends[right] - words.ends[np.maximum(right - 1, 0)]
                 heads = np.cumsum(before) - before
-                some = before > 0
-                back[heads[some]] = (start - words.starts[np.maximum(first - 1, 0)])[some]
+                held = before > 0
+                back[heads[held]] = (start - words.starts[np.maximum(first - 1, 0)])[held]
                 heads = np.cumsum(after) - after
-                some = after > 0
-                ahead[heads[some]] = (words.ends[np.minimum(last, len(words) - 1)] - end)[some]
+                held = after > 0
+                ahead[heads[held]] = (words.ends[np.minimum(last, len(words) - 1)] - end)[held]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.full(n, doc.as_py()), pa.int64()),
-                        pa.array(np.full(n, text_id.as_py()), pa.int64()),
-                        pa.array(start, pa.int64()),
-                        pa.array(end, pa.int64()),
+                        *map(pa.array, [*keys, *spots]),
                         *(lists(values, before) for values in (hashes[left], back)),
                         *(lists(values, after) for values in (hashes[right], ahead)),
                     ],

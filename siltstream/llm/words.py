@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -52,30 +52,55 @@ class Words:
     """Hashes of the lower-cased words of a text, and where they start and end in it.
 
     Words are what white space parts, or runs of letters and digits if ``letters`` is set.
+    Several texts are read in one go, with a line break after each: ``begins`` has the place
+    where each one starts, ``firsts`` and ``counts`` its first word and number of words.
     """
 
-    def __init__(self, text: str, letters: bool = False) -> None:
-        self.codes = np.frombuffer(lowered(text).encode("utf-32-le"), np.uint32)
-        gap = lacking(str.isalnum)[self.codes] if letters else SPACES[np.minimum(self.codes, TABLED)]
-        edges = np.diff(np.concatenate([[True], gap, [True]]).astype(np.int8))
-        self.starts = np.flatnonzero(edges == -1)
-        self.ends = np.flatnonzero(edges == 1)
-        if not len(self.starts):
+    def __init__(self, text: str | list[str], letters: bool = False) -> None:
+        # Each in lower case by itself, for that of a letter may hang on those around it.
+        texts = [lowered(part) for part in ([text] if isinstance(text, str) else text)]
+        self.codes = np.frombuffer("\n".join(texts).encode("utf-32-le"), np.uint32)
+        gap = lacking(str.isalnum)[self.codes] if letters else SPACES.take(self.codes, mode="clip")
+        edges = np.flatnonzero(np.concatenate([[True], gap]) != np.concatenate([gap, [True]]))
+        self.starts, self.ends = edges[::2], edges[1::2]
+        sizes = np.array([len(part) + 1 for part in texts], np.int64)
+        self.begins = np.cumsum(sizes) - sizes
+        self.firsts = np.searchsorted(self.starts, self.begins)
+        self.counts = np.diff(np.append(self.firsts, len(self.starts)))
+        if not len(edges):
             self.hashes = np.zeros(0, np.uint64)
             return
-        first = self.starts[0]
-        place = np.arange(first, len(gap))
-        place -= np.repeat(self.starts, np.diff(np.append(self.starts, len(gap))))
-        values = self.codes[first:].astype(np.uint64) * PLACE[place & 63]
-        values[gap[first:]] = 0
-        self.hashes = mixed(np.add.reduceat(values, self.starts - first))
+        first, last = edges[0], edges[-1]
+        place = np.arange(first, last)
+        place -= np.repeat(self.starts, np.diff(np.append(self.starts, last)))
+        values = self.codes[first:last].astype(np.uint64) * PLACE[place & 63]
+        # Sums of the words and of the gaps between them in turn.
+        self.hashes = mixed(np.add.reduceat(values, edges[:-1] - first)[::2])
 
     def __len__(self) -> int:
         return len(self.starts)
 
 
-def grams(hashes: np.ndarray, size: int) -> np.ndarray:
-    """Rolling polynomial (Karp-Rabin) hashes of every ``size`` consecutive words."""
+#: Characters of short texts that are read in one go: their arrays stay in a core's cache.
+READ_CHARS = 1 << 16
+
+
+def read_together(texts: list[str], most_chars: int = READ_CHARS) -> Iterator[slice]:
+    """Cuts a list of texts where about ``most_chars`` are reached; a long text goes alone or
+    with the short ones before it."""
+    begin = held = 0
+    for k, text in enumerate(texts):
+        held += len(text) + 1
+        if held >= most_chars:
+            yield slice(begin, k + 1)
+            begin, held = k + 1, 0
+    if begin < len(texts):
+        yield slice(begin, len(texts))
+
+
+def grams(hashes: np.ndarray, size: int, at: np.ndarray | None = None) -> np.ndarray:
+    """Rolling polynomial (Karp-Rabin) hashes of every ``size`` consecutive words, or of those
+    that start ``at`` some words."""
     count = len(hashes) - size + 1
     if count <= 0:
         return np.zeros(0, np.uint64)
@@ -90,4 +115,4 @@ def grams(hashes: np.ndarray, size: int) -> np.ndarray:
         if 2 * power <= size:
             step = step[:-power] * np.uint64(base) + step[power:]
         base, power = base * base % (1 << 64), 2 * power
-    return mixed(out)
+    return mixed(out if at is None else out[at])

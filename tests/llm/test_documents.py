@@ -309,6 +309,61 @@ def test_rows_that_share_an_id_stand_for_themselves(documents, prose):
     assert sum(shared in r.text for r in cut) == 1
 
 
+def test_texts_are_read_together_as_each_alone(prose):
+    from siltstream.llm.words import Words, read_together
+
+    texts = [prose(k) for k in (0, 300, 1, 47, 48, 60)] + ["", " \n ", "ΟΔΟΣ", "İ ΟΔΟΣ", "a\r\nb\n" * 40, "word " * 90]
+    parts = list(read_together(texts, 1000))
+    assert 1 < len(parts) < len(texts) and [t for part in parts for t in texts[part]] == texts
+    words = Words(texts)
+    together = passages.passage_starts(words.hashes, passages.PASSAGE, passages.SPAN, words.counts)
+    lines = passages.paragraphs(words, 20)
+    for k, text in enumerate(texts):
+        alone, first, end = Words(text), words.firsts[k], words.firsts[k] + words.counts[k]
+        assert alone.hashes.tolist() == words.hashes[first:end].tolist()
+        assert alone.starts.tolist() == (words.starts[first:end] - words.begins[k]).tolist()
+        starts = passages.passage_starts(alone.hashes, passages.PASSAGE, passages.SPAN)
+        assert starts.tolist() == [s - first for s in together if first <= s < end]
+        heads, counts = passages.paragraphs(alone, 20)
+        mine = (lines[0] >= first) & (lines[0] < end)
+        assert (heads.tolist(), counts.tolist()) == ((lines[0][mine] - first).tolist(), lines[1][mine].tolist())
+
+
+def plain_runs(hits):
+    out = []
+    for hit in sorted(hits, key=lambda h: (*h[:4], h[4] - h[6], h[4])):
+        doc, text, kept, kept_text, start, end, kept_start, kept_end = hit
+        last = out[-1] if out else None
+        if (
+            last
+            and last[:4] == list(hit[:4])
+            and last[4] - last[6] == last[5] - last[7] == start - kept_start == end - kept_end
+            and start <= last[5]
+            and ((doc, text) != (kept, kept_text) or last[4] >= kept_end)
+        ):
+            last[5], last[7] = end, kept_end
+        else:
+            out.append(list(hit))
+    return sorted(out)
+
+
+def test_passages_that_hang_together_are_one_hit(rng):
+    names = ["doc_id", "text_hash", "kept_doc_id", "kept_text", "start", "end", "kept_start", "kept_end"]
+    for _ in range(60):
+        hits = set()
+        for _ in range(rng.randrange(80)):
+            start, far, odd = rng.randrange(60), rng.choice([4, 9, 30]), rng.random() < 0.1
+            own = (rng.randrange(2), rng.randrange(2))
+            kept = own if rng.random() < 0.6 else (rng.randrange(2), rng.randrange(2))
+            hits.add((*own, *kept, start + far, start + far + 8, start, start + 8 + odd))
+        hits = list({(*h[:5], h[6]): h for h in hits}.values())
+        columns = {name: np.array([h[k] for h in hits], np.int64) for k, name in enumerate(names)}
+        order, heads, tails = passages.runs_of_hits(columns, columns["doc_id"] * 2 + columns["text_hash"])
+        last = {"end", "kept_end"}
+        found = [columns[name][order[tails if name in last else heads]].tolist() for name in names]
+        assert sorted(map(list, zip(*found))) == plain_runs(hits)
+
+
 # --- benchmark leaks
 
 
