@@ -2,7 +2,9 @@ import json
 import random
 import time
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from siltstream.operators import changelog as C
@@ -11,6 +13,7 @@ from siltstream.plans.change_capture import run_database_capture
 from siltstream.plans.log_split import run_log_split, split_logs
 from siltstream.sources.files import read_landed, read_lines
 from siltstream.streaming.changelog import clean_current_state, read_current_state, start_current_state
+from siltstream.streaming import first_seen
 from siltstream.streaming.first_seen import FirstSeenProcessor
 from siltstream.streaming.job import JobOptions
 
@@ -117,6 +120,70 @@ def test_processor_orders_missing_positions_first():
     assert ordered == [(None, "b"), (1, None), (1, "a"), (2, "a")]
 
 
+class _Flags:
+    """The state of the first-seen rule, and how often it was asked."""
+
+    def __init__(self):
+        self.seen, self.group, self.calls = {}, None, 0
+
+    def getMapState(self, *_, **__):
+        return self
+
+    def containsKey(self, key):
+        self.calls += 1
+        return key in self.seen.setdefault(self.group, {})
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.seen[self.group][key] = value
+
+
+def test_rows_reach_the_state_packed():
+    """Two micro-batches of 20,000 rows of 300 devices: some hundred packed rows each, the
+    state is asked per device and not per row, and every row comes back with its flag."""
+    rng, flags, known = random.Random(5), _Flags(), set()
+    for part in range(2):
+        devices = [rng.choice([None, "hot", f"m{rng.randrange(300 + part)}"]) for _ in range(20_000)]
+        rows = pa.RecordBatch.from_pydict({
+            "id": list(range(20_000)), "mid": devices, "_known0": [True] * 20_000, "_value0": rng.sample(range(20_000), 20_000),
+            "_key": devices, "_group": [None if d is None else hash(d) % 64 for d in devices], "_spread": [3] * 20_000,
+        })
+        batches = [rows.slice(at, 500) for at in range(0, 20_000, 500)]
+        packed = [r for b in first_seen._pack(2, ["_known0", "_value0"])(iter(batches)) for r in b.to_pylist()]
+        assert len(packed) <= 64 + first_seen._PARTS
+        processor, flags.calls, out = FirstSeenProcessor(["_known0", "_value0"]), 0, []
+        processor.init(flags)
+        for group in {r["_group"] for r in packed}:
+            flags.group = group
+            mine = [Row(**r) for r in packed if r["_group"] == group]
+            out += [r.asDict() for r in processor.handleInputRows((group,), iter(mine), None)]
+        names = sorted({d for d in devices if d})
+        assert flags.calls <= 2 * len(names)
+        back = pa.Table.from_batches(first_seen._unpack([pa.RecordBatch.from_pylist(out)])).to_pylist()
+        position = rows.column("_value0").to_pylist()
+        want = {min((position[i], i) for i in range(20_000) if devices[i] == d)[1] for d in names if d not in known}
+        assert {r["id"] for r in back if r["first_seen"]} == want
+        assert sorted((r["id"], r["mid"]) for r in back) == sorted(zip(range(20_000), devices), key=lambda r: r[0])
+        known.update(names)
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "double", "struct<a:long>", "decimal(20,3)"])
+def test_keys_of_other_types_are_seen_once(spark, tmp_path, kind):
+    values = {
+        "timestamp": "timestamp_micros(id % 7)", "double": "if(id % 2 = 0, 0.0D, -0.0D) + id % 7",
+        "struct<a:long>": "named_struct('a', id % 7)", "decimal(20,3)": "cast((id % 7) / 8 AS decimal(20,3))",
+    }
+    rows = spark.range(200).selectExpr("id", f"if(id = 3, NULL, {values[kind]}) AS k", "array(id) AS more")
+    for part in (rows.where("id < 100"), rows.where("id >= 100")):
+        part.repartition(3).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = read_landed(spark, f"{tmp_path}/in", rows.schema, stream=True)
+        marked = first_seen.mark_first_seen_stream(stream, ["id"], key="k")
+        _job(tmp_path).start(marked.writeStream.format("parquet").option("path", f"{tmp_path}/out"))
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert {r.id for r in out.where("first_seen").collect()} == {0, 1, 2, 4, 5, 6, 10}
+    assert sorted(out.drop("first_seen").collect()) == sorted(rows.collect(), key=lambda r: r.id)
+
+
 def test_retract_stream_equals_batch(spark, tmp_path):
     events, _ = _random_history(20, 200, seed=4)
     rows = list(enumerate(events))
